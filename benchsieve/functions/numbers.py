@@ -36,6 +36,16 @@ def parse_number(df: DataFrame, name: str) -> Column:
     return F.when(column.rlike(PLAIN), column.try_cast("double")).otherwise(rare)
 
 
+def round_to(value: Column, digits: int) -> Column:
+    """Round half away from zero, on the binary value scaled by a power of ten.
+
+    Rounding the shortest decimal text of the value would lift 81.725, whose
+    binary value is below the half, to 81.73.
+    """
+    scale = float(10**digits)
+    return F.round(value * scale, 0) / scale
+
+
 def is_close(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= F.lit(1e-9) * F.greatest(F.abs(a), F.abs(b))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from benchsieve import policy
 from benchsieve.functions.distribution import group_stats, value_counts
 from benchsieve.functions.durable import join_on
+from benchsieve.functions.numbers import round_to
 
 MODEL = ["model_id", "provider"]
 SLICE = ["use_case", "prompt_complexity", "clarity"]
@@ -163,7 +164,7 @@ def rounded_profiles(profile_rows: DataFrame) -> DataFrame:
         "std_accuracy": 2,
     }
     return profile_rows.withColumns(
-        {c: F.round(c, d) for c, d in digits.items() if c in profile_rows.columns}
+        {c: round_to(F.col(c), d) for c, d in digits.items() if c in profile_rows.columns}
     )
 
 
@@ -227,9 +228,9 @@ def options_catalog(bench: DataFrame, min_samples: int = policy.Policy.min_sampl
     return join_on(summary, used, ["model_id"]).select(
         "model_id",
         "provider",
-        F.round("avg_accuracy", 2).alias("avg_accuracy"),
-        F.round("median_cost", 6).alias("median_cost"),
-        F.round("median_latency_ms", 1).alias("median_latency_ms"),
+        round_to(F.col("avg_accuracy"), 2).alias("avg_accuracy"),
+        round_to(F.col("median_cost"), 6).alias("median_cost"),
+        round_to(F.col("median_latency_ms"), 1).alias("median_latency_ms"),
         "sample_count",
         "use_cases",
     )

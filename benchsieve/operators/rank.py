@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from benchsieve import policy
 from benchsieve.functions.durable import broadcast_when_small, join_on, settle
-from benchsieve.functions.numbers import floored_percent_change, lower_is_better, percent_change
+from benchsieve.functions.numbers import (
+    floored_percent_change,
+    lower_is_better,
+    percent_change,
+    round_to,
+)
 from benchsieve.operators.aggregate import summary_order
 from benchsieve.policy import Policy, Weights
 
@@ -28,10 +33,10 @@ def rounded_stats() -> Column:
         "model_id",
         "provider",
         F.col("sample_count").cast("bigint").alias("sample_count"),
-        F.round("avg_accuracy", 2).alias("avg_accuracy"),
-        F.round("median_accuracy", 2).alias("median_accuracy"),
-        F.round("median_cost", 6).alias("median_cost"),
-        F.round("median_latency_ms", 1).alias("median_latency_ms"),
+        round_to(F.col("avg_accuracy"), 2).alias("avg_accuracy"),
+        round_to(F.col("median_accuracy"), 2).alias("median_accuracy"),
+        round_to(F.col("median_cost"), 6).alias("median_cost"),
+        round_to(F.col("median_latency_ms"), 1).alias("median_latency_ms"),
     )
 
 
@@ -124,10 +129,10 @@ def deltas(recommended: str = "recommended", current: str = "current") -> dict[s
     new, old = F.col(recommended), F.col(current)
 
     def change(field: str) -> Column:
-        return F.round(percent_change(new[field], old[field]), 1)
+        return round_to(percent_change(new[field], old[field]), 1)
 
     return {
-        "accuracy_delta": F.round(new["avg_accuracy"] - old["avg_accuracy"], 2),
+        "accuracy_delta": round_to(new["avg_accuracy"] - old["avg_accuracy"], 2),
         "accuracy_delta_pct": change("avg_accuracy"),
         "cost_delta_pct": change("median_cost"),
         "latency_delta_pct": change("median_latency_ms"),
@@ -264,7 +269,7 @@ def mean_composite_ranking(
 
 def top_recommendations(ranked: DataFrame, n: int = policy.PROFILE_TOP_N) -> DataFrame:
     return ranked.where(F.col("rank") <= n).withColumn(
-        "composite_score", F.round("composite_score", 4)
+        "composite_score", round_to(F.col("composite_score"), 4)
     )
 
 
@@ -298,16 +303,16 @@ def profile_deltas(
     best, base = F.col("_best"), F.col("_from")
 
     def percent(c: str) -> Column:
-        return F.round(floored_percent_change(best[c], base[c], 1e-9), 1)
+        return round_to(floored_percent_change(best[c], base[c], 1e-9), 1)
 
     return joined.select(
         *requests.columns,
         F.col("_from")["model_id"].alias("from_model"),
         F.when(base.isNotNull(), best["model_id"]).alias("to_model"),
-        F.round(best["avg_accuracy"] - base["avg_accuracy"], 2).alias("accuracy_delta"),
-        F.round(best["avg_cost"] - base["avg_cost"], 6).alias("cost_delta"),
+        round_to(best["avg_accuracy"] - base["avg_accuracy"], 2).alias("accuracy_delta"),
+        round_to(best["avg_cost"] - base["avg_cost"], 6).alias("cost_delta"),
         percent("avg_cost").alias("cost_delta_pct"),
-        F.round(best["avg_latency_ms"] - base["avg_latency_ms"], 1).alias("latency_delta_ms"),
+        round_to(best["avg_latency_ms"] - base["avg_latency_ms"], 1).alias("latency_delta_ms"),
         percent("avg_latency_ms").alias("latency_delta_pct"),
         F.coalesce("all_models_count", F.lit(0)).alias("all_models_count"),
     )
@@ -349,8 +354,8 @@ def mean_deltas(requests: DataFrame, ranked: DataFrame) -> DataFrame:
     return joined.select(
         *requests.columns,
         new["model_id"].alias("recommended_model"),
-        F.round(new["avg_accuracy"] - old("avg_accuracy"), 1).alias("accuracy_delta"),
-        F.round(
+        round_to(new["avg_accuracy"] - old("avg_accuracy"), 1).alias("accuracy_delta"),
+        round_to(
             floored_percent_change(new["avg_cost"], old("avg_cost"), 0.0001), 1
         ).alias("cost_delta"),
         (new["avg_latency"] - old("avg_latency")).cast("bigint").alias("latency_delta"),

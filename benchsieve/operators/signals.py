@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from benchsieve import policy
 from benchsieve.functions.durable import join_on
+from benchsieve.functions.numbers import round_to
 from benchsieve.functions.text import contains_any, normalise_prompt, strip, word_count
 
 
@@ -152,7 +153,7 @@ def resolve_signals(requests: DataFrame, logs: DataFrame | None = None) -> DataF
             "complexity": F.coalesce(override_complexity, predicted, F.col("heuristic_complexity")),
             "complexity_confidence": F.when(
                 override_complexity.isNull() & predicted.isNotNull(),
-                F.round(optional("predicted_confidence", "double"), 3),
+                round_to(optional("predicted_confidence", "double"), 3),
             ),
             "complexity_source": complexity_source,
             "clarity": F.coalesce(override_clarity, exact, normalised, F.col("heuristic_clarity")),

@@ -87,10 +87,10 @@ UNION ALL SELECT 1, prompt_complexity, '*', * FROM {source}
 UNION ALL SELECT 2, '*', '*', * FROM {source}"""
 
 
-DELTAS = """round(r_acc - c_acc, 2) AS accuracy_delta,
-  CASE WHEN c_acc <> 0 THEN round((r_acc - c_acc) / c_acc * 100, 1) END AS accuracy_delta_pct,
-  CASE WHEN c_cost <> 0 THEN round((r_cost - c_cost) / c_cost * 100, 1) END AS cost_delta_pct,
-  CASE WHEN c_lat <> 0 THEN round((r_lat - c_lat) / c_lat * 100, 1) END AS latency_delta_pct"""
+DELTAS = """round(r_acc - c_acc, 2) + 0e0 AS accuracy_delta,
+  CASE WHEN c_acc <> 0 THEN round((r_acc - c_acc) / c_acc * 100, 1) + 0e0 END AS accuracy_delta_pct,
+  CASE WHEN c_cost <> 0 THEN round((r_cost - c_cost) / c_cost * 100, 1) + 0e0 END AS cost_delta_pct,
+  CASE WHEN c_lat <> 0 THEN round((r_lat - c_lat) / c_lat * 100, 1) + 0e0 END AS latency_delta_pct"""
 
 POLICY_REASON = f"""CASE WHEN c_acc IS NULL THEN '{policy.REASON_NO_CURRENT}'
   WHEN accuracy_delta >= 2 THEN '{policy.REASON_ACCURACY}'
@@ -157,9 +157,8 @@ FROM (SELECT *,
   FROM means WINDOW s AS (PARTITION BY use_case, prompt_complexity)) c""",
     "tier_rows": _each_tier("bench"),
     "tier_summary": f"""
-SELECT tier, use_case, slice_complexity, slice_clarity, model_id, provider, {SUMMARY},
-  sum(count(*)) OVER (PARTITION BY {TIER}) AS slice_row_count
-FROM tier_rows GROUP BY ALL""",
+SELECT *, sum(sample_count) OVER (PARTITION BY {TIER}) AS slice_row_count
+FROM (SELECT {TIER}, model_id, provider, {SUMMARY} FROM tier_rows GROUP BY ALL) t""",
     "supported_5": "SELECT * FROM tier_summary WHERE sample_count >= 5",
     "supported_40": "SELECT * FROM tier_summary WHERE sample_count >= 40",
     "supported_100": "SELECT * FROM tier_summary WHERE sample_count >= 100",
@@ -268,9 +267,9 @@ SELECT model_id, provider, {SUMMARY} FROM bench GROUP BY ALL HAVING count(*) >=
     "slice_proto": f"""
 SELECT {TIER}, model_id, provider, {SUMMARY_COLUMNS}, avg_cost, avg_latency_ms,
   CAST(sum(sample_count) OVER (PARTITION BY {TIER}) AS BIGINT) AS slice_row_count
-FROM (SELECT {TIER}, model_id, provider, {SUMMARY}, avg(cost) AS avg_cost, avg(latency_ms) AS avg_latency_ms,
-    sum(count(*)) OVER (PARTITION BY {TIER}, model_id) AS support
-  FROM tier_loose GROUP BY ALL) t
+FROM (SELECT *, sum(sample_count) OVER (PARTITION BY {TIER}, model_id) AS support
+  FROM (SELECT {TIER}, model_id, provider, {SUMMARY}, avg(cost) AS avg_cost, avg(latency_ms) AS avg_latency_ms
+    FROM tier_loose GROUP BY ALL) u) t
 WHERE support >= 40""",
     "profiles": f"SELECT {PROFILE_COLUMNS} FROM profiles",
     "profiles_overall": "SELECT * FROM profiles_overall",
@@ -311,10 +310,10 @@ SELECT {TIER}, current_model, recommended_model, {DELTAS} FROM (
     "deltas_v1": """
 SELECT g.prompt_id, g.complexity, g.current_model, b.n AS all_models_count, o.model_id AS from_model,
   CASE WHEN o.model_id IS NOT NULL THEN b.model_id END AS to_model,
-  round(b.avg_accuracy - o.avg_accuracy, 2) AS accuracy_delta, round(b.avg_cost - o.avg_cost, 6) AS cost_delta,
-  round((b.avg_cost - o.avg_cost) / greatest(o.avg_cost, 1e-9) * 100, 1) AS cost_delta_pct,
-  round(b.avg_latency_ms - o.avg_latency_ms, 1) AS latency_delta_ms,
-  round((b.avg_latency_ms - o.avg_latency_ms) / greatest(o.avg_latency_ms, 1e-9) * 100, 1) AS latency_delta_pct
+  round(b.avg_accuracy - o.avg_accuracy, 2) + 0e0 AS accuracy_delta, round(b.avg_cost - o.avg_cost, 6) + 0e0 AS cost_delta,
+  round((b.avg_cost - o.avg_cost) / greatest(o.avg_cost, 1e-9) * 100, 1) + 0e0 AS cost_delta_pct,
+  round(b.avg_latency_ms - o.avg_latency_ms, 1) + 0e0 AS latency_delta_ms,
+  round((b.avg_latency_ms - o.avg_latency_ms) / greatest(o.avg_latency_ms, 1e-9) * 100, 1) + 0e0 AS latency_delta_pct
 FROM (SELECT s.prompt_id, s.complexity, s.current_model, coalesce(f.model_id, l.model_id) AS old
       FROM signals s LEFT JOIN profiles_flat f ON f.prompt_complexity = s.complexity AND f.model_id = s.current_model
       LEFT JOIN composite l ON l.prompt_complexity = s.complexity AND l.rank_from_last = 1 AND l.n > 1) g
@@ -322,8 +321,8 @@ JOIN composite b ON b.prompt_complexity = g.complexity AND b.rank = 1
 LEFT JOIN profiles_flat o ON o.prompt_complexity = g.complexity AND o.model_id = g.old""",
     "deltas_v0": """
 SELECT g.prompt_id, g.use_case, g.complexity, g.current_model, b.model_id AS recommended_model,
-  round(b.avg_accuracy - coalesce(c.avg_accuracy, 0e0), 1) AS accuracy_delta,
-  round((b.avg_cost - coalesce(c.avg_cost, 0e0)) / greatest(coalesce(c.avg_cost, 0e0), 0.0001e0) * 100, 1) AS cost_delta,
+  round(b.avg_accuracy - coalesce(c.avg_accuracy, 0e0), 1) + 0e0 AS accuracy_delta,
+  round((b.avg_cost - coalesce(c.avg_cost, 0e0)) / greatest(coalesce(c.avg_cost, 0e0), 0.0001e0) * 100, 1) + 0e0 AS cost_delta,
   CAST(trunc(b.avg_latency - coalesce(c.avg_latency, 0e0)) AS BIGINT) AS latency_delta,
   concat(upper(substr(g.complexity, 1, 1)), substr(g.complexity, 2), '-complexity ', g.use_case, ' prompt. ', b.model_id,
     ' outperforms ', g.current_model, ' on this task type in our benchmark data.') AS reason

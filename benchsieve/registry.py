@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from benchsieve.functions.numbers import round_to
 from benchsieve.functions.text import normalise_prompt
 from benchsieve.operators import aggregate, clean, rank, signals
 from benchsieve.operators.aggregate import TIER_SLICE
@@ -194,7 +195,7 @@ def slice_proto(spark, sf):
 @query
 def profiles(spark, sf):
     return aggregate.profiles(profile_rows(spark, sf)).withColumn(
-        "std_accuracy", F.round("std_accuracy", 6)
+        "std_accuracy", round_to(F.col("std_accuracy"), 6)
     )
 
 
@@ -220,7 +221,7 @@ def profiles_nested(spark, sf):
 @query
 def top5_by_complexity(spark, sf):
     return aggregate.top_by_complexity(aggregate.profiles(profile_rows(spark, sf))).withColumn(
-        "std_accuracy", F.round("std_accuracy", 6)
+        "std_accuracy", round_to(F.col("std_accuracy"), 6)
     )
 
 
@@ -290,7 +291,7 @@ def composite_v1(spark, sf):
 @query
 def composite_v0(spark, sf):
     scored = rank.mean_composite_ranking(aggregate.mean_summary(bench(spark, sf)))
-    return scored.withColumn("composite_score", F.round("composite_score", 9))
+    return scored.withColumn("composite_score", round_to(F.col("composite_score"), 9))
 
 
 def _pairs_with_best(spark, sf, first_of_model: bool) -> DataFrame:
