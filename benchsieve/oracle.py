@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from benchsieve import policy
-from benchsieve.functions.text import SPACE, WORD
+from benchsieve.functions.text import ACCENTED, PLAIN, SPACE, WORD
 from benchsieve.sources.adapters import TABLES, VIEWS, view_sql
 
 
@@ -181,6 +181,62 @@ LEFT JOIN votes_norm n ON n.use_case = p.use_case AND n.normalized_prompt = {nor
 }
 
 
+_PRICES = ", ".join(f"('{m}', {i:.9f}e0, {o:.9f}e0)" for m, (i, o) in policy.PRICES.items())
+_ESTIMATE = "CASE WHEN length({0}) > 0 THEN greatest(length({0}) // 4, 1) ELSE 0 END"
+CTES |= {
+    "counted_tokens": f"""
+SELECT *, input_tokens + output_tokens AS tokens FROM (
+  SELECT *, CAST(CASE WHEN fmt <> 'messages' OR conv_id % 3 > 0 THEN conv_id % 90
+      ELSE {_ESTIMATE.format('prompt')} END AS BIGINT) AS input_tokens,
+    CAST(CASE WHEN fmt = 'meta' THEN turn * 31 WHEN fmt = 'nova' THEN turn * 17 WHEN fmt = 'gemini' THEN turn * 19
+      WHEN conv_id % 3 = 1 THEN turn * 13 WHEN conv_id % 3 = 2 THEN turn * 11
+      ELSE (length(response) + 8) // 4 END AS BIGINT) AS output_tokens
+  FROM response_parts) c""",
+    "priced": f"""
+SELECT c.*, round(input_tokens / 1000e0 * coalesce(p.price_in, CASE fmt WHEN 'gemini' THEN 0.0001e0 ELSE 0.000002e0 END)
+  + output_tokens / 1000e0 * coalesce(p.price_out, CASE fmt WHEN 'gemini' THEN 0.0004e0 ELSE 0.000002e0 END), 6) AS cost
+FROM counted_tokens c LEFT JOIN (VALUES {_PRICES}) p(short_id, price_in, price_out) ON p.short_id = c.short_id""",
+    "successful": f"SELECT * FROM priced WHERE {strip('response')} <> ''",
+    "batched": """
+SELECT prompt_id, resp_id, short_id AS model_id, tokens, batch, response FROM (
+  WITH RECURSIVE ordered AS (
+    SELECT prompt_id, resp_id, short_id, response, CAST(least(length(response), 3000) // 4 AS BIGINT) AS tokens,
+      row_number() OVER (PARTITION BY prompt_id ORDER BY length(response), short_id, resp_id) AS nth FROM successful),
+  fold AS (
+    SELECT prompt_id, nth, tokens AS used, CAST(1 AS BIGINT) AS batch FROM ordered WHERE nth = 1
+    UNION ALL
+    SELECT o.prompt_id, o.nth, CASE WHEN f.used + o.tokens > 3000 THEN o.tokens ELSE f.used + o.tokens END,
+      CASE WHEN f.used + o.tokens > 3000 THEN f.batch + 1 ELSE f.batch END
+    FROM fold f JOIN ordered o ON o.prompt_id = f.prompt_id AND o.nth = f.nth + 1)
+  SELECT o.*, f.batch FROM ordered o JOIN fold f ON f.prompt_id = o.prompt_id AND f.nth = o.nth) b""",
+    "doc_chunks": """
+SELECT doc_id, text, lang, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 5 + 1 AS BIGINT) AS chunk FROM documents""",
+    "rated": """
+SELECT CASE quality WHEN 1 THEN 'good' ELSE 'bad' END AS label, CASE toxic WHEN 1 THEN 'bad' ELSE 'good' END AS predicted FROM labels""",
+    "report": """
+SELECT class, support, predicted_count, hits, coalesce(hits / nullif(predicted_count, 0), 0e0) AS precision,
+  coalesce(hits / nullif(support, 0), 0e0) AS recall, coalesce(2 * hits / nullif(predicted_count + support, 0), 0e0) AS f1
+FROM (SELECT class, count(*) FILTER (label = class) AS support, count(*) FILTER (predicted = class) AS predicted_count,
+    count(*) FILTER (label = class AND predicted = class) AS hits
+  FROM rated, (SELECT unnest(['good', 'bad']) AS class) k GROUP BY class) c""",
+    "drawn": """
+SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat('42:', doc_id)), doc_id) AS position,
+  count(*) OVER (PARTITION BY lang) AS size FROM documents""",
+    "doc_terms": f"""
+SELECT doc_id, term, count(*) AS tf FROM (
+  SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]))) AS term
+  FROM (SELECT doc_id, regexp_extract_all(regexp_replace(translate(lower(text), '{ACCENTED}', '{PLAIN}'), '\\p{{Mn}}+', '', 'g'), '{WORD}') AS w
+        FROM documents) a) b GROUP BY ALL""",
+    "vocab": """
+SELECT *, row_number() OVER (ORDER BY term) - 1 AS term_index FROM (
+  SELECT term, count(*) AS doc_freq, CAST(sum(tf) AS BIGINT) AS term_freq,
+    ln((1e0 + (SELECT count(*) FROM documents)) / (1e0 + count(*))) + 1e0 AS idf
+  FROM doc_terms GROUP BY term
+  HAVING count(*) >= 2 AND count(*) <= 0.95e0 * (SELECT count(*) FROM documents)
+  ORDER BY term_freq DESC, term LIMIT 5000) v""",
+}
+
+
 def with_ctes(body: str) -> str:
     """Prefix ``body`` with the common table expressions it needs."""
     needed: list[str] = []
@@ -345,5 +401,152 @@ SELECT policy_reason, count(*) AS row_count FROM (
         AND w.slice_complexity = c.slice_complexity AND w.slice_clarity = c.slice_clarity) a) b) d GROUP BY ALL"""
 
 
+SQL |= {
+    "text_extract": "SELECT resp_id, response FROM response_parts",
+    "tokens": "SELECT resp_id, input_tokens, output_tokens, tokens FROM counted_tokens",
+    "cost": "SELECT resp_id, short_id, cost FROM priced",
+    "failed_responses": f"""
+SELECT resp_id, CAST(0 AS BIGINT) AS accuracy_score, 0e0 AS cost, CAST(0 AS BIGINT) AS tokens,
+  'Model returned null/empty response' AS reason FROM response_parts WHERE {strip('response')} = ''""",
+    "bench_rows": f"""
+SELECT s.prompt_id, s.fmt AS provider, s.short_id AS model_id, a.prompt_complexity, 'reasoning' AS use_case, a.clarity, s.response,
+  coalesce(j.accuracy_score, 0e0) AS accuracy_score, s.cost, s.tokens, s.latency_ms
+FROM successful s
+JOIN (SELECT prompt_id, {COMPLEXITY} AS prompt_complexity, {CLARITY} AS clarity
+      FROM (SELECT conv_id AS prompt_id, max_by(text, turn) AS prompt FROM conversations GROUP BY conv_id) q) a ON a.prompt_id = s.prompt_id
+LEFT JOIN (SELECT prompt_id, short_id, CAST(max(length(response) % 101) AS DOUBLE) AS accuracy_score
+           FROM priced WHERE turn > 1 GROUP BY ALL) j ON j.prompt_id = s.prompt_id AND j.short_id = s.short_id""",
+    "allowed_models": f"""
+SELECT r.use_case, r.short_id, r.resp_id FROM (SELECT resp_id, short_id, CASE WHEN turn < 3 THEN 'text-generation' WHEN turn < 5 THEN 'code-generation'
+  ELSE 'reasoning' END AS use_case FROM response_parts) r
+WHERE {" OR ".join(f"(use_case = '{u}' AND short_id IN {names(m)})" for u, m in policy.USE_CASE_MODELS.items())}""",
+    "use_case_default": "SELECT prompt_id, 'text-generation' AS from_model, use_case AS from_use_case FROM prompts",
+    "request_errors": """
+SELECT doc_id, CASE lang WHEN 'es' THEN 'poetry' ELSE 'reasoning' END AS use_case,
+  CASE lang WHEN 'fr' THEN 'extreme' ELSE 'low' END AS complexity_override,
+  CASE lang WHEN 'de' THEN NULL ELSE 'CLEAR' END AS clarity_override,
+  CASE lang WHEN 'es' THEN 'Unsupported use_case ''poetry''.' WHEN 'fr' THEN 'Unsupported complexity ''extreme''.' END AS error
+FROM documents""",
+    "token_batches": "SELECT prompt_id, resp_id, model_id, tokens, batch FROM batched",
+    "judge_requests": """
+SELECT r.prompt_id, r.batch, r.response_count, concat('Score each response.', chr(10), chr(10), 'USER-SELECTED USE CASE:', chr(10), 'reasoning',
+  chr(10), chr(10), 'PROMPT:', chr(10), q.text, chr(10), chr(10), 'MODEL RESPONSES (', r.response_count, ' total):', chr(10), chr(10), r.body) AS request
+FROM (SELECT prompt_id, batch, count(*) AS response_count,
+    string_agg(concat('[Response ', nth, '] model_id: ', model_id, chr(10), substr(response, 1, 3000)),
+      concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY nth) AS body
+  FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id, batch ORDER BY tokens, model_id, resp_id) AS nth FROM batched) n
+  GROUP BY prompt_id, batch) r
+JOIN (SELECT conv_id, text FROM conversations WHERE turn = 0) q ON q.conv_id = r.prompt_id""",
+    "chunks": "SELECT prompt_id, CAST((row_number() OVER (ORDER BY prompt_id) - 1) // 5 + 1 AS BIGINT) AS chunk FROM prompts",
+    "chunks_relabel": "SELECT prompt_id, CAST((row_number() OVER (ORDER BY prompt_id) - 1) // 12 + 1 AS BIGINT) AS chunk FROM prompts",
+    "label_requests": """
+SELECT chunk, concat('Classify the prompts.', chr(10), chr(10), string_agg(concat('prompt_id: "', doc_id, '"', chr(10), 'lang: "', lang, '"',
+  chr(10), 'prompt: """', text, '"""'), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY doc_id)) AS request
+FROM doc_chunks GROUP BY chunk""",
+    "judge_merge": """
+SELECT batch_id, model_id, CAST(CASE batch_id % 7
+  WHEN 0 THEN CASE which WHEN 'a' THEN s ELSE 77 END WHEN 1 THEN CASE which WHEN 'a' THEN s ELSE 12 END
+  WHEN 2 THEN CASE which WHEN 'a' THEN s ELSE 50 END WHEN 3 THEN 0 WHEN 4 THEN 50
+  WHEN 5 THEN CASE which WHEN 'a' THEN s ELSE 8 END
+  ELSE CASE which WHEN 'a' THEN 5 ELSE 0 END END AS DOUBLE) AS accuracy_score
+FROM (SELECT batch_id, 'a' AS which, model_a AS model_id, 50 + batch_id % 50 AS s FROM judge_outputs
+      UNION ALL SELECT batch_id, 'b', model_b, 50 + batch_id % 50 FROM judge_outputs) j""",
+    "label_errors": f"""
+SELECT e.chunk, e.expected_count, coalesce(r.returned_count, 0) AS returned_count, e.expected_count - coalesce(r.matched, 0) AS missing_count,
+  CASE WHEN e.expected_count <> coalesce(r.returned_count, 0)
+    THEN concat('Expected ', e.expected_count, ' clarity labels, got ', coalesce(r.returned_count, 0)) ELSE r.problem END AS error
+FROM (SELECT chunk, count(*) AS expected_count FROM doc_chunks GROUP BY chunk) e
+LEFT JOIN (SELECT chunk, count(*) AS returned_count, count(*) FILTER (is_known) AS matched,
+    first(CASE WHEN NOT is_known THEN concat('Unexpected prompt_id returned: ', prompt_id)
+               ELSE concat('Invalid clarity label returned: ', label) END ORDER BY sent_id)
+      FILTER (NOT is_known OR label NOT IN {names(policy.CLARITIES)}) AS problem
+  FROM (SELECT c.chunk, l.sent_id, l.prompt_id, upper(l.clarity) AS label, k.doc_id IS NOT NULL AS is_known FROM label_returns l
+        JOIN doc_chunks c ON c.doc_id = l.sent_id LEFT JOIN doc_chunks k ON k.doc_id = l.prompt_id AND k.chunk = c.chunk) x
+  GROUP BY chunk) r ON r.chunk = e.chunk""",
+    "label_attach": """
+SELECT d.doc_id AS prompt_id, d.text, upper(l.clarity) AS clarity FROM documents d JOIN label_returns l ON l.prompt_id = d.doc_id""",
+    "pending": f"""
+SELECT p.prompt_id, p.use_case FROM prompts p WHERE NOT EXISTS (
+  SELECT 1 FROM labelled l WHERE {strip('l.prompt')} = p.prompt AND l.use_case = p.use_case)""",
+    "pending_first": f"""
+SELECT p.prompt_id, p.use_case FROM prompts p WHERE NOT EXISTS (
+  SELECT 1 FROM labelled l WHERE {strip('l.prompt')} = p.prompt AND l.use_case = p.use_case) ORDER BY p.prompt_id LIMIT 100""",
+    "labeller": "SELECT prompt_id, CASE WHEN length(prompt) > 500 THEN 'CLEAR' ELSE 'PARTIAL' END AS clarity FROM prompts",
+    "enriched_prompts": f"""
+SELECT prompt_id, concat(prompt, chr(10), chr(10), '[Prompt complexity: ', {COMPLEXITY}, ' | Prompt quality: ', prompt_id % 101, '/100]') AS enriched
+FROM prompts""",
+    "ingest_report": f"""
+SELECT *, CASE WHEN bad_clarity_count > 0 THEN 'rejected' WHEN prompt_count = 0 THEN 'empty' ELSE 'accepted' END AS status FROM (
+  SELECT file_name, count(*) AS row_count, count(*) FILTER (kept) AS prompt_count, count(*) FILTER (kept AND NOT known) AS bad_clarity_count
+  FROM (SELECT file_name, coalesce({strip('prompt')}, '') <> '' AS kept,
+      upper({strip('clarity')}) IN {names(policy.CLARITIES)} AS known FROM prompt_files) f GROUP BY file_name) g""",
+    "ingest_prompts": f"""
+SELECT file_name, row_pos, {strip('prompt')} AS prompt, upper({strip('clarity')}) AS clarity, 'mid' AS prompt_complexity, 'reasoning' AS use_case
+FROM prompt_files WHERE coalesce({strip('prompt')}, '') <> '' AND file_name NOT IN (
+  SELECT file_name FROM prompt_files WHERE coalesce({strip('prompt')}, '') <> '' AND upper({strip('clarity')}) NOT IN {names(policy.CLARITIES)})""",
+    "clarity_input": f"""
+SELECT file_name, CAST(n AS VARCHAR) AS prompt_id, {strip('prompt')} AS prompt
+FROM (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY row_pos) AS n FROM prompt_files) f
+WHERE coalesce({strip('prompt')}, '') <> ''""",
+    "relabel_input": f"""
+SELECT CAST(prompt_id AS VARCHAR) AS prompt_id, {strip('prompt')} AS prompt, use_case, 'CLEAR' AS clarity, 'high' AS old_prompt_complexity
+FROM prompts WHERE current_model <> 'absent-model' AND {strip('prompt')} <> ''""",
+    "distinct_prompts": f"""
+SELECT DISTINCT {strip('text')} AS prompt, CASE lang WHEN 'en' THEN 'low' ELSE 'mid' END AS prompt_complexity
+FROM documents WHERE lang IN ('en', 'de') AND {strip('text')} <> ''""",
+    "source_fallback": """
+SELECT use_case, CASE use_case WHEN 'reasoning' THEN 'primary' ELSE 'local_csv' END AS data_source, count(*) AS row_count FROM bench GROUP BY ALL""",
+    "scan_filtered": """
+SELECT src_id, model_id, accuracy_score FROM bench WHERE use_case = 'reasoning' AND prompt_complexity = 'mid' AND clarity = 'CLEAR'""",
+    "logs_filtered": f"""
+SELECT prompt, use_case, upper({strip('clarity')}) AS clarity FROM prompt_logs WHERE use_case = 'reasoning'""",
+    "provider_checks": """
+SELECT fmt AS source, count(*) FILTER (response <> '') AS passed, count(*) AS total FROM response_parts GROUP BY fmt""",
+    "provider_order": f"""
+SELECT provider, row_count, CAST(coalesce(list_position([{", ".join(f"'{p}'" for p in policy.PROVIDER_ORDER)}], provider) - 1, 99) AS BIGINT) AS provider_rank
+FROM (SELECT m.provider, count(*) AS row_count FROM response_parts r
+  LEFT JOIN (VALUES {", ".join(f"('{m}', '{p}')" for m, p, _ in policy.MODELS)}) m(short_id, provider) ON m.short_id = r.short_id GROUP BY ALL) c""",
+    "catalog_by_use_case": """
+SELECT s.model_id, s.provider, s.sample_count FROM (SELECT model_id, provider, count(*) AS sample_count FROM bench GROUP BY ALL HAVING count(*) >= 5) s
+WHERE s.model_id IN (SELECT model_id FROM bench WHERE use_case = 'reasoning')""",
+    "tfidf_vocabulary": "SELECT term, doc_freq, term_freq, round(idf, 9) AS idf, term_index FROM vocab",
+    "tfidf_weights": """
+SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS weight
+FROM (SELECT t.doc_id, t.term, (ln(CAST(t.tf AS DOUBLE)) + 1e0) * v.idf AS raw FROM doc_terms t JOIN vocab v ON v.term = t.term) r""",
+    "confusion": "SELECT label, predicted, count(*) AS row_count FROM rated GROUP BY ALL",
+    "class_report": "SELECT * FROM report",
+    "overall_report": """
+SELECT CAST(sum(support) AS BIGINT) AS row_count, sum(hits) / sum(support) AS accuracy, sum(f1 * support) / sum(support) AS weighted_f1 FROM report""",
+    "stratified_folds": "SELECT doc_id, lang, (position - 1) % 5 AS fold FROM drawn",
+    "stratified_split": """
+SELECT doc_id, lang, position <= round(size * 0.1e0) AS is_validation, dense_rank() OVER (ORDER BY lang) - 1 AS label_index FROM drawn""",
+    "job_progress": """
+SELECT *, coalesce(CAST(round(current * 100e0 / total) AS BIGINT), 0) AS percent FROM (
+  SELECT job_id, last(CASE type WHEN 'progress' THEN prompt_index ELSE processed_prompts END ORDER BY ts, event_id)
+      FILTER (type IN ('progress', 'file_started', 'file_done', 'file_delay')) AS current,
+    last(total ORDER BY ts, event_id) FILTER (type IN ('progress', 'file_started', 'file_done', 'file_delay')) AS total,
+    count(*) FILTER (type = 'progress') AS result_count, count(*) FILTER (type = 'model_failed') AS failed_count
+  FROM job_events GROUP BY job_id) j""",
+    "job_status": """
+SELECT job_id, coalesce(first(type ORDER BY ts, event_id) FILTER (type IN ('done', 'error')), 'running') AS status, count(*) AS event_count
+FROM job_events GROUP BY job_id""",
+    "job_failures": "SELECT event_id, job_id, model_id, prompt_index FROM job_events WHERE type = 'model_failed'",
+    "file_lifecycle": """
+SELECT job_id, file_index, CASE last(type ORDER BY ts, event_id) WHEN 'file_started' THEN 'processing' WHEN 'file_done' THEN 'completed' ELSE 'waiting' END AS status,
+  last(processed_prompts ORDER BY ts, event_id) AS processed_prompts
+FROM job_events WHERE type IN ('file_started', 'file_done', 'file_delay') GROUP BY job_id, file_index""",
+    "chunk_lifecycle": """
+SELECT job_id, chunk_index, CASE last(type ORDER BY ts, event_id) WHEN 'chunk_ready' THEN 'ready' WHEN 'chunk_forwarding' THEN 'forwarding'
+    WHEN 'chunk_forwarded' THEN 'forwarded' ELSE 'failed' END AS status, count(*) FILTER (type = 'chunk_ready') AS ready_count
+FROM job_events WHERE type LIKE 'chunk%' GROUP BY job_id, chunk_index""",
+    "events_until_end": """
+SELECT e.event_id, e.job_id, e.type FROM job_events e
+LEFT JOIN (SELECT job_id, first(ts ORDER BY ts, event_id) AS end_ts, first(event_id ORDER BY ts, event_id) AS end_id
+           FROM job_events WHERE type IN ('done', 'error') GROUP BY job_id) t ON t.job_id = e.job_id
+WHERE t.end_ts IS NULL OR e.ts < t.end_ts OR (e.ts = t.end_ts AND e.event_id <= t.end_id)""",
+    "events_by_complexity": "SELECT event_id, job_id, type FROM job_events WHERE prompt_complexity = 'mid'",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_ctes(body) for name, body in SQL.items()}

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from benchsieve.functions.durable import settle, shared_folder
+from benchsieve.functions.numbering import number_rows
 from benchsieve.functions.numbers import round_to
 from benchsieve.functions.text import normalise_prompt
-from benchsieve.operators import aggregate, clean, rank, signals
+from benchsieve.operators import aggregate, classify, clean, labels, rank, responses, signals
 from benchsieve.operators.aggregate import TIER_SLICE
 from benchsieve.plans import profiles as profile_plans
 from benchsieve.plans.recommend import recommend
 from benchsieve.policy import Policy
-from benchsieve.sources.adapters import view
+from benchsieve.sources import readers
+from benchsieve.sources.adapters import table, view, view_sql, with_raw_body
 from benchsieve.sources.readers import combine_phases
+from benchsieve.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -343,5 +348,444 @@ def deltas_v0(spark, sf):
 QUERIES["signals"] = QUERIES.pop("signals_resolved")
 
 
+# Responses, batches and labels
+
+
+def raw_responses(spark: SparkSession, sf: str) -> DataFrame:
+    return with_raw_body(view(spark, sf, "response_parts"))
+
+
+def priced_responses(spark: SparkSession, sf: str) -> DataFrame:
+    parsed = responses.parse_responses(raw_responses(spark, sf))
+    return responses.with_cost(parsed, readers.price_table(spark))
+
+
+@query
+def text_extract(spark, sf):
+    return responses.parse_responses(raw_responses(spark, sf)).select("resp_id", "response")
+
+
+@query
+def tokens(spark, sf):
+    return responses.parse_responses(raw_responses(spark, sf)).select(
+        "resp_id", "input_tokens", "output_tokens", "tokens"
+    )
+
+
+@query
+def cost(spark, sf):
+    return priced_responses(spark, sf).select("resp_id", "short_id", "cost")
+
+
+@query
+def failed_responses(spark, sf):
+    _, failed = clean.split_responses(priced_responses(spark, sf))
+    return failed.select("resp_id", "accuracy_score", "cost", "tokens", "reason")
+
+
+def judge_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """One score per prompt and model, taken from the judge's length rule below."""
+    scored = priced_responses(spark, sf).where(F.col("turn") > 1)
+    return scored.groupBy("prompt_id", F.col("short_id").alias("model_id")).agg(
+        F.max(F.pmod(F.char_length("response"), F.lit(101))).cast("double").alias("accuracy_score")
+    )
+
+
+@query
+def bench_rows(spark, sf):
+    priced = priced_responses(spark, sf)
+    named = priced.withColumns({"model_id": F.col("short_id"), "provider": F.col("fmt")})
+    asked = (
+        table(spark, sf, "conversations")
+        .groupBy(F.col("conv_id").alias("prompt_id"))
+        .agg(F.max_by("text", "turn").alias("prompt"))
+        .withColumn("use_case", clean.default_use_case(F.lit("reasoning")))
+    )
+    attributes = signals.resolve_signals(asked).select(
+        "prompt_id", F.col("complexity").alias("prompt_complexity"), "use_case", "clarity"
+    )
+    rows = responses.benchmark_rows(named, judge_scores(spark, sf), attributes)
+    return rows.drop("prompt")
+
+
+@query
+def allowed_models(spark, sf):
+    rows = view(spark, sf, "response_parts").select(
+        "resp_id",
+        "short_id",
+        F.when(F.col("turn") < 3, "text-generation")
+        .when(F.col("turn") < 5, "code-generation")
+        .otherwise("reasoning")
+        .alias("use_case"),
+    )
+    return clean.restrict_models(rows, readers.allowed_models(spark), "short_id")
+
+
+@query
+def use_case_default(spark, sf):
+    return prompts(spark, sf).select(
+        "prompt_id", clean.default_use_case(F.col("current_model")).alias("from_model"),
+        clean.default_use_case(F.concat(F.lit(" "), F.upper("use_case"))).alias("from_use_case"),
+    )
+
+
+@query
+def request_errors(spark, sf):
+    """Conversation roles and document languages as use cases and overrides."""
+    asked = table(spark, sf, "documents").select(
+        "doc_id",
+        F.when(F.col("lang") == "es", "poetry").otherwise(" Reasoning").alias("use_case"),
+        F.when(F.col("lang") == "fr", "extreme").otherwise("LOW").alias("complexity_override"),
+        F.when(F.col("lang") == "de", "").otherwise("clear").alias("clarity_override"),
+    )
+    return clean.validate_requests(asked)
+
+
+@query
+def token_batches(spark, sf):
+    parsed = responses.parse_responses(raw_responses(spark, sf))
+    successful, _ = clean.split_responses(parsed)
+    named = successful.withColumn("model_id", F.col("short_id"))
+    return labels.token_batches(named)
+
+
+@query
+def judge_requests(spark, sf):
+    parsed = responses.parse_responses(raw_responses(spark, sf))
+    successful, _ = clean.split_responses(parsed)
+    named = successful.withColumn("model_id", F.col("short_id"))
+    asked = (
+        table(spark, sf, "conversations")
+        .where(F.col("turn") == 0)
+        .select(
+            F.col("conv_id").alias("prompt_id"),
+            F.col("text").alias("prompt"),
+            F.lit("Reasoning").alias("use_case"),
+        )
+    )
+    return labels.judge_requests(labels.token_batches(named), named, asked, "Score each response.")
+
+
+@query
+def chunks(spark, sf):
+    return labels.fixed_chunks(prompts(spark, sf).select("prompt_id"), ["prompt_id"], 5)
+
+
+@query
+def chunks_relabel(spark, sf):
+    return labels.fixed_chunks(prompts(spark, sf).select("prompt_id"), ["prompt_id"], 12)
+
+
+@query
+def label_requests(spark, sf):
+    docs = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("prompt_id"), F.col("text").alias("prompt"), "lang"
+    )
+    chunked = labels.fixed_chunks(docs, ["prompt_id"], 5)
+    return labels.label_requests(chunked, "Classify the prompts.", ("lang",))
+
+
+@query
+def judge_merge(spark, sf):
+    answers = view(spark, sf, "judge_outputs")
+    members = answers.select(
+        "batch_id", F.explode(F.array("model_a", "model_b")).alias("model_id")
+    )
+    return labels.merge_scores(members, answers.select("batch_id", "judge_text"))
+
+
+def _label_job(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Documents in chunks of five, and the labels that came back for them."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("prompt_id"))
+    expected = labels.fixed_chunks(docs, ["prompt_id"], 5)
+    sent = expected.withColumnRenamed("prompt_id", "sent_id")
+    returned = view(spark, sf, "label_returns").join(sent, "sent_id")
+    return expected, returned.withColumn("position", F.col("sent_id"))
+
+
+@query
+def label_errors(spark, sf):
+    expected, returned = _label_job(spark, sf)
+    as_text = F.col("prompt_id").cast("string")
+    return labels.label_errors(
+        expected.withColumn("prompt_id", as_text), returned.withColumn("prompt_id", as_text)
+    )
+
+
+@query
+def label_attach(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("prompt_id"), "text")
+    returned = view(spark, sf, "label_returns").withColumn("clarity", F.upper("clarity"))
+    return labels.attach_labels(docs, returned)
+
+
+@query
+def pending(spark, sf):
+    return labels.pending(prompts(spark, sf), view(spark, sf, "labelled")).select(
+        "prompt_id", "use_case"
+    )
+
+
+@query
+def pending_first(spark, sf):
+    return labels.pending(prompts(spark, sf), view(spark, sf, "labelled"), 100).select(
+        "prompt_id", "use_case"
+    )
+
+
+@query
+def labeller(spark, sf):
+    """A user labeller over pandas batches: the rule counts characters."""
+
+    def rule(batch):
+        batch["clarity"] = batch["prompt"].str.len().map(lambda n: "CLEAR" if n > 500 else "PARTIAL")
+        return batch[["prompt_id", "clarity"]]
+
+    rows = prompts(spark, sf).select("prompt_id", "prompt")
+    return labels.label_with(rows, rule, "prompt_id bigint, clarity string")
+
+
+@query
+def enriched_prompts(spark, sf):
+    asked = signals.with_heuristics(prompts(spark, sf))
+    return asked.select(
+        "prompt_id",
+        labels.enriched_prompt(
+            F.col("prompt"), F.col("heuristic_complexity"), F.col("prompt_id") % 101
+        ).alias("enriched"),
+    )
+
+
+# Sources
+
+
+@query
+def ingest_report(spark, sf):
+    return readers.prompt_file_report(view(spark, sf, "prompt_files"))
+
+
+@query
+def ingest_prompts(spark, sf):
+    return readers.ingest_prompts(view(spark, sf, "prompt_files"), "reasoning", "mid").select(
+        "file_name", "row_pos", "prompt", "clarity", "prompt_complexity", "use_case"
+    )
+
+
+@query
+def clarity_input(spark, sf):
+    rows = number_rows(
+        view(spark, sf, "prompt_files").withColumnRenamed("row_pos", "source_order"),
+        ["source_order"],
+        ["file_name"],
+        "row_pos",
+    )
+    return readers.ingest_clarity_input(rows)
+
+
+@query
+def relabel_input(spark, sf):
+    rows = prompts(spark, sf).select(
+        F.col("prompt_id").alias("row_pos"),
+        F.concat(F.lit("\n "), "prompt").alias("prompt"),
+        F.when(F.col("current_model") == "absent-model", "poetry").otherwise(F.upper("use_case")).alias("use_case"),
+        F.lit(" clear").alias("clarity"),
+        F.lit("High ").alias("prompt_complexity"),
+    )
+    return clean.clean_relabel_input(rows)
+
+
+@query
+def distinct_prompts(spark, sf):
+    rows = table(spark, sf, "documents").select(
+        F.col("text").alias("prompt"),
+        F.when(F.col("lang") == "en", "LOW").when(F.col("lang") == "de", " mid").otherwise("none").alias("prompt_complexity"),
+    )
+    return clean.distinct_labelled_prompts(rows)
+
+
+@query
+def source_fallback(spark, sf):
+    rows = bench(spark, sf)
+    merged = readers.with_fallback(readers.scan_benchmark(rows, use_case="reasoning"), rows)
+    return merged.groupBy("use_case", "data_source").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+@query
+def scan_filtered(spark, sf):
+    rows = readers.scan_benchmark(bench(spark, sf), "reasoning", "mid", "CLEAR")
+    return rows.select("src_id", "model_id", "accuracy_score")
+
+
+@query
+def logs_filtered(spark, sf):
+    rows = readers.scan_prompt_logs(clean.clean_prompt_logs(logs(spark, sf)), use_case="reasoning")
+    return rows.select("prompt", "use_case", "clarity")
+
+
+@query
+def provider_checks(spark, sf):
+    checks = view(spark, sf, "response_parts").select(
+        F.col("fmt").alias("source"), (F.col("response") != "").alias("passed")
+    )
+    return aggregate.provider_checks(checks)
+
+
+@query
+def provider_order(spark, sf):
+    models = readers.model_catalogue(spark)
+    used = view(spark, sf, "response_parts").join(F.broadcast(models), "short_id", "left")
+    return (
+        used.groupBy("provider")
+        .agg(F.count(F.lit(1)).alias("row_count"))
+        .withColumn("provider_rank", aggregate.provider_rank(F.col("provider")))
+    )
+
+
+@query
+def catalog_by_use_case(spark, sf):
+    options = aggregate.options_catalog(bench(spark, sf))
+    return clean.filter_catalog(options, "reasoning").select("model_id", "provider", "sample_count")
+
+
+# Classification
+
+
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return classify.training_rows(
+        table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("label")),
+        "text",
+        "label",
+    )
+
+
+def _terms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    docs = _documents(spark, sf)
+    terms = settle(classify.document_terms(docs))
+    return terms, classify.vocabulary(terms, docs.count())
+
+
+@query
+def tfidf_vocabulary(spark, sf):
+    _, vocab = _terms(spark, sf)
+    return vocab.select(
+        "term",
+        "doc_freq",
+        "term_freq",
+        round_to(F.col("idf"), 9).alias("idf"),
+        F.col("index").cast("bigint").alias("term_index"),
+    )
+
+
+@query
+def tfidf_weights(spark, sf):
+    terms, vocab = _terms(spark, sf)
+    return classify.term_weights(terms, vocab).select(
+        "doc_id", "term", round_to(F.col("weight"), 6).alias("weight")
+    )
+
+
+def _rated(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "labels").select(
+        F.when(F.col("quality") == 1, "good").otherwise("bad").alias("label"),
+        F.when(F.col("toxic") == 1, "bad").otherwise("good").alias("predicted"),
+    )
+
+
+@query
+def confusion(spark, sf):
+    return classify.confusion(_rated(spark, sf), "label", "predicted")
+
+
+@query
+def class_report(spark, sf):
+    return classify.class_report(_rated(spark, sf), "label", "predicted")
+
+
+@query
+def overall_report(spark, sf):
+    return classify.overall_report(_rated(spark, sf), "label", "predicted")
+
+
+@query
+def stratified_folds(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", "lang")
+    return classify.stratified_folds(rows, "lang", "doc_id", 5)
+
+
+@query
+def stratified_split(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", "lang")
+    return classify.stratified_split(rows, "lang", "doc_id")
+
+
+@query
+def classifier_scores(spark, sf):
+    docs = _documents(spark, sf)
+    return classify.train(docs).score(docs).select("doc_id", "label", "predicted", "confidence")
+
+
+@query
+def classifier_folds(spark, sf):
+    return classify.cross_validate(_documents(spark, sf))
+
+
+# Streams
+
+
+def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The events table as a stream of job events."""
+    schema = table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    name = f"events_{uuid.uuid4().hex}"
+    stream.createOrReplaceTempView(name)
+    return spark.sql(view_sql("job_events", {"events": name}))
+
+
+def _streamed(spark: SparkSession, sf: str, roll_up, keys: list[str], mode: str = "update") -> DataFrame:
+    folder = f"{shared_folder(spark)}/benchsieve/stream-{uuid.uuid4().hex}"
+    rolled = roll_up(event_stream(spark, sf))
+    jobs.write_updates(rolled, f"{folder}/rows", f"{folder}/checkpoint", mode)
+    return jobs.latest_rows(spark, f"{folder}/rows", rolled.schema, keys)
+
+
+@query
+def job_progress(spark, sf):
+    return _streamed(spark, sf, jobs.job_progress, ["job_id"])
+
+
+@query
+def job_status(spark, sf):
+    return _streamed(spark, sf, jobs.job_status, ["job_id"])
+
+
+@query
+def job_failures(spark, sf):
+    def pick(events):
+        return jobs.failures(events).select("event_id", "job_id", "model_id", "prompt_index")
+
+    return _streamed(spark, sf, pick, ["event_id"], "append")
+
+
+@query
+def file_lifecycle(spark, sf):
+    return _streamed(spark, sf, jobs.file_lifecycle, ["job_id", "file_index"])
+
+
+@query
+def chunk_lifecycle(spark, sf):
+    return _streamed(spark, sf, jobs.chunk_lifecycle, ["job_id", "chunk_index"])
+
+
+@query
+def events_until_end(spark, sf):
+    return jobs.until_terminal(view(spark, sf, "job_events")).select("event_id", "job_id", "type")
+
+
+@query
+def events_by_complexity(spark, sf):
+    events = clean.filter_events(view(spark, sf, "job_events"), "mid")
+    return events.select("event_id", "job_id", "type")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

@@ -7,7 +7,8 @@ tables and whole texts. The same text runs in Spark and in a checking engine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from benchsieve import policy
 
@@ -89,16 +90,20 @@ SELECT concat('  ', translate(p.prompt, 'abcde', 'ABCDE'), ' ') AS prompt, p.use
 FROM {prompts} p JOIN {conversations} c ON p.prompt_id = (c.conv_id * 1000 + c.turn) * 2 + 1""",
     "job_events": r"""
 SELECT event_id, ts, concat('job-', CAST(user_id AS STRING)) AS job_id,
-  CASE event_type WHEN 'error' THEN 'model_failed' WHEN 'signup' THEN 'file_done'
-       WHEN 'purchase' THEN 'chunk_ready' ELSE 'progress' END AS type,
+  CASE WHEN event_type = 'view' AND value > 150 THEN 'done'
+       WHEN event_type = 'click' AND value > 200 THEN 'error'
+       WHEN event_type = 'error' THEN 'model_failed'
+       WHEN event_type = 'signup' THEN CASE event_id % 3 WHEN 0 THEN 'file_started' WHEN 1 THEN 'file_done' ELSE 'file_delay' END
+       WHEN event_type = 'purchase' THEN CASE event_id % 4 WHEN 0 THEN 'chunk_ready' WHEN 1 THEN 'chunk_forwarding'
+            WHEN 2 THEN 'chunk_forwarded' ELSE 'chunk_forward_failed' END
+       ELSE 'progress' END AS type,
   CAST(event_id % 50 + 1 AS BIGINT) AS prompt_index, CAST(50 AS BIGINT) AS total,
   concat('m', CAST(event_id % 26 AS STRING)) AS model_id,
   CASE event_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'mid' ELSE 'high' END AS prompt_complexity,
   value AS cost,
-  concat('file_', CAST(event_id % 4 AS STRING), '.csv') AS file_name,
   CAST(event_id % 4 + 1 AS BIGINT) AS file_index,
   CAST(event_id % 7 + 1 AS BIGINT) AS chunk_index,
-  CAST(event_id % 90 AS BIGINT) AS processed_prompts
+  CAST(event_id % 50 AS BIGINT) AS processed_prompts
 FROM {events}""",
     # Assistant turns as model responses; the prompt is the turn before.
     "response_parts": f"""
@@ -157,6 +162,73 @@ def view_sql(name: str, table: dict[str, str]) -> str:
     return VIEWS[name].format(**inner)
 
 
+def with_raw_body(parts: DataFrame) -> DataFrame:
+    """Response parts with the JSON body a provider of their format would send."""
+    response, conv_id, turn = F.col("response"), F.col("conv_id"), F.col("turn")
+
+    def usage(in_name: str, out_name: str, tokens_in: Column, tokens_out: Column) -> Column:
+        return F.struct(tokens_in.alias(in_name), tokens_out.alias(out_name))
+
+    message = F.struct(response.alias("content"))
+    reasoned = F.struct(response.alias("content"), F.lit("abcdefgh").alias("reasoning_content"))
+    body = (
+        F.when(
+            F.col("fmt") == "meta",
+            F.to_json(
+                F.struct(
+                    response.alias("generation"),
+                    (conv_id % 90).alias("prompt_token_count"),
+                    (turn * 31).alias("generation_token_count"),
+                )
+            ),
+        )
+        .when(
+            F.col("fmt") == "nova",
+            F.to_json(
+                F.struct(
+                    F.struct(
+                        F.struct(F.array(F.struct(response.alias("text"))).alias("content")).alias("message")
+                    ).alias("output"),
+                    usage("inputTokens", "outputTokens", conv_id % 90, turn * 17).alias("usage"),
+                )
+            ),
+        )
+        .when(
+            F.col("fmt") == "gemini",
+            F.to_json(
+                F.struct(
+                    response.alias("text"),
+                    usage(
+                        "prompt_token_count", "candidates_token_count", conv_id % 90, turn * 19
+                    ).alias("usage_metadata"),
+                )
+            ),
+        )
+        .when(
+            conv_id % 3 == 0,
+            F.to_json(F.struct(F.array(F.struct(reasoned.alias("message"))).alias("choices"))),
+        )
+        .when(
+            conv_id % 3 == 1,
+            F.to_json(
+                F.struct(
+                    F.array(F.struct(message.alias("message"))).alias("choices"),
+                    usage("prompt_tokens", "completion_tokens", conv_id % 90, turn * 13).alias("usage"),
+                )
+            ),
+        )
+        .otherwise(
+            F.to_json(
+                F.struct(
+                    F.array(F.struct(response.alias("text"))).alias("content"),
+                    usage("input_tokens", "output_tokens", conv_id % 90, turn * 11).alias("usage"),
+                )
+            )
+        )
+    )
+    return parts.drop("response").withColumn("raw_body", body)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
