@@ -170,7 +170,12 @@ def judge_requests(
     )
 
 
-def label_requests(chunked: DataFrame, instruction: str, fields: tuple[str, ...] = ()) -> DataFrame:
+def label_requests(
+    chunked: DataFrame,
+    instruction: str,
+    fields: tuple[str, ...] = (),
+    order: str = "prompt_id",
+) -> DataFrame:
     """One request text per label chunk; ``fields`` are shown between id and prompt."""
 
     def quoted(name: str) -> Column:
@@ -184,7 +189,7 @@ def label_requests(chunked: DataFrame, instruction: str, fields: tuple[str, ...]
     return chunked.groupBy("chunk").agg(
         F.concat(
             F.lit(f"{instruction}\n\n"),
-            F.array_join(_numbered_text("prompt_id", item), SEPARATOR),
+            F.array_join(_numbered_text(order, item), SEPARATOR),
         ).alias("request")
     )
 

@@ -224,7 +224,7 @@ SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat('4
   count(*) OVER (PARTITION BY lang) AS size FROM documents""",
     "doc_terms": f"""
 SELECT doc_id, term, count(*) AS tf FROM (
-  SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]))) AS term
+  SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term
   FROM (SELECT doc_id, regexp_extract_all(regexp_replace(translate(lower(text), '{ACCENTED}', '{PLAIN}'), '\\p{{Mn}}+', '', 'g'), '{WORD}') AS w
         FROM documents) a) b GROUP BY ALL""",
     "vocab": """
@@ -441,7 +441,7 @@ JOIN (SELECT conv_id, text FROM conversations WHERE turn = 0) q ON q.conv_id = r
     "chunks_relabel": "SELECT prompt_id, CAST((row_number() OVER (ORDER BY prompt_id) - 1) // 12 + 1 AS BIGINT) AS chunk FROM prompts",
     "label_requests": """
 SELECT chunk, concat('Classify the prompts.', chr(10), chr(10), string_agg(concat('prompt_id: "', doc_id, '"', chr(10), 'lang: "', lang, '"',
-  chr(10), 'prompt: """', text, '"""'), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY doc_id)) AS request
+  chr(10), 'prompt: ', repeat('"', 3), text, repeat('"', 3)), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY doc_id)) AS request
 FROM doc_chunks GROUP BY chunk""",
     "judge_merge": """
 SELECT batch_id, model_id, CAST(CASE batch_id % 7

@@ -226,7 +226,7 @@ def with_raw_body(parts: DataFrame) -> DataFrame:
             )
         )
     )
-    return parts.drop("response").withColumn("raw_body", body)
+    return parts.withColumn("raw_body", body).drop("response")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
