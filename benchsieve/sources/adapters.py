@@ -7,10 +7,13 @@ tables and whole texts. The same text runs in Spark and in a checking engine.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from benchsieve import policy
+from benchsieve.functions.columns import spread_scan
 
 TABLES = (
     "lineitem",
@@ -230,9 +233,14 @@ def with_raw_body(parts: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_scan(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    paths = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
-    return spark.sql(view_sql(name, paths))
+    folder = hashlib.md5(sf_dir.encode()).hexdigest()
+    names = {t: f"{t}_{folder}" for t in TABLES}
+    sql = view_sql(name, names)
+    for t, registered in names.items():
+        if registered in sql:
+            table(spark, sf_dir, t).createOrReplaceTempView(registered)
+    return spark.sql(sql)
