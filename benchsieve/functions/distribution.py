@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from benchsieve.functions.durable import join_on, settle
+from benchsieve.functions.durable import join_null_safe, settle
 
 BINS = 128
 FEW_VALUES = 200_000
@@ -76,7 +76,7 @@ def binned_stats(counts: DataFrame, keys: list[str], few_values: int = FEW_VALUE
         .alias("_cuts"),
     )
     binned = (
-        join_on(counts, totals, group)
+        join_null_safe(counts, totals, group)
         .withColumn("_bin", F.size(F.filter("_cuts", lambda cut: cut < F.col("value"))))
         .withColumn("_low", F.floor((F.col("count") + 1) / 2))
         .withColumn("_high", F.floor((F.col("count") + 2) / 2))
@@ -102,7 +102,7 @@ def binned_stats(counts: DataFrame, keys: list[str], few_values: int = FEW_VALUE
     low = F.max(F.when(holds_low, F.col("value")))
     high = F.max(F.when(holds_high, F.col("value")))
     return (
-        join_on(binned, middle_bins, [*group, "_bin"])
+        join_null_safe(binned, middle_bins, [*group, "_bin"])
         .withColumn("_last", F.col("_before") + F.sum("n").over(in_bin))
         .groupBy(*group)
         .agg(

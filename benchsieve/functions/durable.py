@@ -49,8 +49,12 @@ def broadcast_when_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> D
     return df
 
 
-def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` where null equals null; keeps the left key columns."""
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where null equals null; keeps the left key columns.
+
+    A plain join is better where keys are never null, since it can use a
+    partitioning that is already there.
+    """
     renamed = right.select(
         *[F.col(k).alias(f"_r_{k}") for k in keys],
         *[c for c in right.columns if c not in keys],

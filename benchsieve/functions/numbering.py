@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from benchsieve.functions.durable import join_on, settle
+from benchsieve.functions.durable import join_null_safe, settle
 
 
 def number_rows(
@@ -26,14 +26,25 @@ def number_rows(
         df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_row", row_id)
     ).withColumn("_part", F.shiftright("_row", 33))
 
-    spans = ranged.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    if group:
-        earlier = (
-            Window.partitionBy(*group)
-            .orderBy("_part")
-            .rowsBetween(Window.unboundedPreceding, -1)
+    spans = ranged.groupBy("_part", *group).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("_row").alias("_first")
+    )
+    if not group:
+        # One row per partition; row ids count up by one inside a partition.
+        earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = spans.select(
+            "_part", "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")
+        )
+        position = F.col("_row") - F.col("_first") + F.col("_before") + 1
+        return (
+            ranged.join(F.broadcast(starts), "_part")
+            .withColumn(name, position.cast("bigint"))
+            .drop("_row", "_part", "_first", "_before")
         )
+
+    earlier = (
+        Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    )
     # Only the first group of a partition can have earlier rows elsewhere, so this
     # table has at most one row per partition.
     carried = (
@@ -44,7 +55,7 @@ def number_rows(
     local = Window.partitionBy("_part", *group).orderBy("_row")
     numbered = ranged.withColumn("_local", F.row_number().over(local))
     return (
-        join_on(numbered, F.broadcast(carried), ["_part", *group], "left")
+        join_null_safe(numbered, F.broadcast(carried), ["_part", *group], "left")
         .withColumn(name, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("bigint"))
         .drop("_row", "_part", "_local", "_before")
     )

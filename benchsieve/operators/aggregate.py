@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from benchsieve import policy
 from benchsieve.functions.distribution import group_stats, value_counts
-from benchsieve.functions.durable import join_on
 from benchsieve.functions.numbers import round_to
 
 MODEL = ["model_id", "provider"]
@@ -137,7 +136,7 @@ def profiles(rows: DataFrame) -> DataFrame:
         keys,
         {"median_accuracy": ("accuracy_score", "median")},
     )
-    return join_on(plain, medians, keys)
+    return plain.join(medians, keys)
 
 
 def overall_profiles(rows: DataFrame) -> DataFrame:
@@ -202,7 +201,7 @@ def nested_profiles(rows: DataFrame) -> DataFrame:
             F.struct("avg_accuracy", "avg_cost", "avg_latency_ms", "sample_count"), "provider"
         ).alias("overall"),
     )
-    return join_on(first, by_complexity, ["model_id"]).select(
+    return first.join(by_complexity, ["model_id"]).select(
         "model_id", "provider", "overall", "by_complexity"
     )
 
@@ -225,7 +224,7 @@ def options_catalog(bench: DataFrame, min_samples: int = policy.Policy.min_sampl
         .groupBy("model_id")
         .agg(F.sort_array(F.collect_list("use_case")).alias("use_cases"))
     )
-    return join_on(summary, used, ["model_id"]).select(
+    return summary.join(used, ["model_id"]).select(
         "model_id",
         "provider",
         round_to(F.col("avg_accuracy"), 2).alias("avg_accuracy"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from benchsieve import policy
-from benchsieve.functions.durable import join_on
+from benchsieve.functions.durable import settle
 from benchsieve.functions.numbering import number_rows
 from benchsieve.functions.text import strip
 from benchsieve.operators.clean import default_use_case
@@ -77,10 +77,12 @@ def token_batches(
     fold runs over counts, and rows find their batch by their position in a run.
     """
     whole_length = F.char_length("response").cast("bigint")
-    sized = responses.select(
-        "prompt_id", "resp_id", "model_id", whole_length.alias("_length")
-    ).withColumn(
-        "tokens", F.floor(F.least(F.col("_length"), F.lit(excerpt_chars)) / 4).cast("bigint")
+    sized = settle(
+        responses.select(
+            "prompt_id", "resp_id", "model_id", whole_length.alias("_length")
+        ).withColumn(
+            "tokens", F.floor(F.least(F.col("_length"), F.lit(excerpt_chars)) / 4).cast("bigint")
+        )
     )
     numbered = number_rows(
         sized, ["_length", "model_id", "resp_id"], ["prompt_id", "tokens"], "_nth"
@@ -95,7 +97,7 @@ def token_batches(
         "batch", "_open"
     )
     beyond = F.col("_nth") - F.col("fits") - 1
-    return join_on(numbered, plan, ["prompt_id", "tokens"]).select(
+    return numbered.join(plan, ["prompt_id", "tokens"]).select(
         "prompt_id",
         "resp_id",
         "model_id",
@@ -134,9 +136,10 @@ def judge_requests(
     A judge reads an excerpt of each response, as the token budget assumes.
     """
     text = F.substring("response", 1, excerpt_chars)
-    member = join_on(
-        batches, responses.select("resp_id", text.alias("_excerpt")), ["resp_id"]
-    ).withColumn("_order", F.struct("tokens", "model_id", "resp_id"))
+    excerpts = responses.select("resp_id", text.alias("_excerpt"))
+    member = batches.join(excerpts, ["resp_id"]).withColumn(
+        "_order", F.struct("tokens", "model_id", "resp_id")
+    )
     merged = member.groupBy("prompt_id", "batch").agg(
         F.count(F.lit(1)).alias("response_count"),
         _numbered_text("_order", F.struct("model_id", "_excerpt")).alias("_members"),
@@ -152,7 +155,7 @@ def judge_requests(
             m["_excerpt"],
         ),
     )
-    asked = join_on(merged, prompts.select("prompt_id", "prompt", "use_case"), ["prompt_id"])
+    asked = merged.join(prompts.select("prompt_id", "prompt", "use_case"), ["prompt_id"])
     return asked.select(
         "prompt_id",
         "batch",
@@ -224,11 +227,12 @@ def merge_scores(members: DataFrame, answers: DataFrame, batch: str = "batch_id"
     a model counts, and a model that a full list does not name has 0.
     """
     sizes = members.groupBy(batch).agg(F.count(F.lit(1)).alias("_size"))
-    judged = join_on(
-        parse_judge(answers).withColumn("_answers", F.coalesce(F.size("scores"), F.lit(0))),
-        sizes,
-        [batch],
-    ).withColumn("_is_full", F.col("_answers") >= F.col("_size"))
+    judged = (
+        parse_judge(answers)
+        .withColumn("_answers", F.coalesce(F.size("scores"), F.lit(0)))
+        .join(sizes, [batch])
+        .withColumn("_is_full", F.col("_answers") >= F.col("_size"))
+    )
     named = (
         judged.where(F.col("kind") == "list")
         .select(batch, "_size", "_is_full", F.posexplode("scores").alias("_pos", "_score"))
@@ -237,7 +241,7 @@ def merge_scores(members: DataFrame, answers: DataFrame, batch: str = "batch_id"
         .agg(F.max_by("_score.accuracy_score", "_pos").alias("_given"))
     )
     status = judged.select(batch, "kind", "_is_full")
-    known = join_on(join_on(members, status, [batch], "left"), named, [batch, "model_id"], "left")
+    known = members.join(status, [batch], "left").join(named, [batch, "model_id"], "left")
     absent = (
         F.when((F.col("kind") == "list") & F.col("_is_full"), policy.UNUSABLE_SCORE)
         .when(F.col("kind").isin("list", "other"), policy.MISSING_SCORE)
@@ -330,7 +334,7 @@ def label_errors(
 
 def attach_labels(rows: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("clarity",)) -> DataFrame:
     """Rows with the labels returned for their ``prompt_id``."""
-    return join_on(rows.drop(*columns), labels.select("prompt_id", *columns), ["prompt_id"])
+    return rows.drop(*columns).join(labels.select("prompt_id", *columns), ["prompt_id"])
 
 
 def pending(

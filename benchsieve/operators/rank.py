@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from benchsieve import policy
-from benchsieve.functions.durable import broadcast_when_small, join_on, settle
+from benchsieve.functions.durable import broadcast_when_small, settle
 from benchsieve.functions.numbers import (
     floored_percent_change,
     lower_is_better,
@@ -114,7 +114,7 @@ def slice_winners(ranked: DataFrame, slice_keys: list[str], rules: Policy = Poli
         F.count(F.lit(1)).alias("models_considered"),
         F.countDistinct("model_id").alias("distinct_models_considered"),
     )
-    return join_on(winners, top_candidates(ranked, slice_keys, rules.top_candidates), slice_keys)
+    return winners.join(top_candidates(ranked, slice_keys, rules.top_candidates), slice_keys)
 
 
 def current_candidates(ranked: DataFrame, slice_keys: list[str]) -> DataFrame:
@@ -291,11 +291,9 @@ def profile_deltas(
     current = rounded.groupBy(
         F.col("prompt_complexity").alias("complexity"), F.col("model_id").alias("current_model")
     ).agg(F.max_by(numbers, "provider").alias("_current"))
-    joined = join_on(
-        join_on(requests, broadcast_when_small(settle(ends)), ["complexity"], "left"),
-        broadcast_when_small(settle(current)),
-        ["complexity", "current_model"],
-        "left",
+    with_ends = requests.join(broadcast_when_small(settle(ends)), ["complexity"], "left")
+    joined = with_ends.join(
+        broadcast_when_small(settle(current)), ["complexity", "current_model"], "left"
     )
     worst = F.when(F.col("all_models_count") > 1, F.col("_worst"))
     old = F.coalesce("_current", worst)
@@ -330,11 +328,8 @@ def mean_deltas(requests: DataFrame, ranked: DataFrame) -> DataFrame:
     current = named.select(
         *keys, F.col("model_id").alias("current_model"), numbers.alias("_current")
     )
-    joined = join_on(
-        join_on(requests, broadcast_when_small(settle(best)), keys),
-        broadcast_when_small(settle(current)),
-        [*keys, "current_model"],
-        "left",
+    joined = requests.join(broadcast_when_small(settle(best)), keys).join(
+        broadcast_when_small(settle(current)), [*keys, "current_model"], "left"
     )
     new = F.col("_best")
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from benchsieve import policy
-from benchsieve.functions.durable import join_on
 from benchsieve.functions.numbers import round_to
 from benchsieve.operators.clean import split_responses
 
@@ -141,14 +140,10 @@ def benchmark_rows(responses: DataFrame, scores: DataFrame, prompts: DataFrame)
     ``prompt_id``, ``prompt_complexity``, ``use_case`` and ``clarity``.
     """
     successful, _ = split_responses(responses)
-    scored = join_on(
-        successful,
-        scores.select("prompt_id", "model_id", "accuracy_score"),
-        ["prompt_id", "model_id"],
-        "left",
-    )
+    given = scores.select("prompt_id", "model_id", "accuracy_score")
+    scored = successful.join(given, ["prompt_id", "model_id"], "left")
     attributes = prompts.select("prompt_id", "prompt_complexity", "use_case", "clarity")
-    return join_on(scored, attributes, ["prompt_id"]).select(
+    return scored.join(attributes, ["prompt_id"]).select(
         "prompt_id",
         "provider",
         "model_id",

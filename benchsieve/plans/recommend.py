@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from benchsieve import policy
-from benchsieve.functions.durable import broadcast_when_small, join_on, settle
+from benchsieve.functions.durable import broadcast_when_small, settle
 from benchsieve.operators import rank
 from benchsieve.operators.aggregate import TIER_SLICE, supported_slices
 from benchsieve.operators.clean import validate_requests
@@ -55,8 +55,8 @@ def slice_tables(
     """
     ranked = settle(rank.rank_slices(supported_slices(bench, rules.min_samples), TIER_SLICE, rules))
     routes = slice_routes(ranked)
-    winners = join_on(routes, rank.slice_winners(ranked, TIER_SLICE, rules), TIER_SLICE)
-    current = join_on(routes, rank.current_candidates(ranked, TIER_SLICE), TIER_SLICE)
+    winners = routes.join(rank.slice_winners(ranked, TIER_SLICE, rules), TIER_SLICE)
+    current = routes.join(rank.current_candidates(ranked, TIER_SLICE), TIER_SLICE)
     return settle(winners), settle(current.select(*ROUTE, "model_id", "current"))
 
 
@@ -79,21 +79,12 @@ def recommend(
     if "data_source" in bench.columns:
         # One row per known use case.
         origin = bench.groupBy("use_case").agg(F.min("data_source").alias("data_source"))
-        asked = join_on(asked, F.broadcast(origin), ["use_case"], "left")
+        asked = asked.join(F.broadcast(origin), ["use_case"], "left")
     else:
         asked = asked.withColumn("data_source", F.lit("primary"))
-    with_slice = join_on(
-        asked,
-        broadcast_when_small(winners.drop("slice_complexity", "slice_clarity")),
-        ROUTE,
-        "left",
-    )
-    matched = join_on(
-        with_slice,
-        broadcast_when_small(current.withColumnRenamed("model_id", "current_model")),
-        [*ROUTE, "current_model"],
-        "left",
-    )
+    winners = broadcast_when_small(winners.drop("slice_complexity", "slice_clarity"))
+    current = broadcast_when_small(current.withColumnRenamed("model_id", "current_model"))
+    matched = asked.join(winners, ROUTE, "left").join(current, [*ROUTE, "current_model"], "left")
     answered = F.col("recommended").isNotNull() & F.col("error").isNull()
     found = F.col("current").isNotNull()
     matched = matched.withColumns(

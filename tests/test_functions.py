@@ -120,9 +120,9 @@ def test_broadcast_only_below_the_bound(spark):
     assert plan in small and plan not in large
 
 
-def test_join_on_matches_nulls(spark):
+def test_join_null_safe_matches_nulls(spark):
     left = spark.createDataFrame([(None, 1), ("a", 2)], "k string, l int")
     right = spark.createDataFrame([(None, 10), ("b", 20)], "k string, r int")
-    joined = durable.join_on(left, right, ["k"], "left")
+    joined = durable.join_null_safe(left, right, ["k"], "left")
     assert sorted((r.l, r.r) for r in joined.collect() if r.l == 1) == [(1, 10)]
     assert [(r.l, r.r) for r in joined.collect() if r.l == 2] == [(2, None)]
