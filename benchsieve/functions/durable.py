@@ -49,7 +49,9 @@ def broadcast_when_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> D
     return df
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def join_null_safe(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
+) -> DataFrame:
     """Equi-join on ``keys`` where null equals null; keeps the left key columns.
 
     A plain join is better where keys are never null, since it can use a

@@ -40,7 +40,9 @@ def summary_order() -> list[Column]:
     ]
 
 
-def model_summary(bench: DataFrame, min_samples: int = 1, keys: list[str] | None = None) -> DataFrame:
+def model_summary(
+    bench: DataFrame, min_samples: int = 1, keys: list[str] | None = None
+) -> DataFrame:
     """Count, mean and median accuracy, median cost and latency per model and provider."""
     keys = keys or MODEL
     return group_stats(value_counts(bench, keys, METRICS), keys, SUMMARY).where(

@@ -30,7 +30,9 @@ def _plan_runs(runs: Column, budget: int) -> Column:
     start = F.struct(
         number.alias("batch"),
         number.alias("used"),
-        F.array().cast("array<struct<tokens:bigint,batch:bigint,fits:bigint,per_batch:bigint>>").alias("plan"),
+        F.array()
+        .cast("array<struct<tokens:bigint,batch:bigint,fits:bigint,per_batch:bigint>>")
+        .alias("plan"),
     )
 
     def step(state: Column, run: Column) -> Column:
@@ -300,7 +302,9 @@ def label_errors(
         F.col("_invalid").isNotNull(),
         F.struct(
             F.col("_invalid._at").alias("at"),
-            F.concat(F.lit(f"Invalid {label} label returned: "), F.col("_invalid._label")).alias("text"),
+            F.concat(
+                F.lit(f"Invalid {label} label returned: "), F.col("_invalid._label")
+            ).alias("text"),
         ),
     )
     per_batch = per_id.groupBy("chunk").agg(
@@ -332,7 +336,9 @@ def label_errors(
     )
 
 
-def attach_labels(rows: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("clarity",)) -> DataFrame:
+def attach_labels(
+    rows: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("clarity",)
+) -> DataFrame:
     """Rows with the labels returned for their ``prompt_id``."""
     return rows.drop(*columns).join(labels.select("prompt_id", *columns), ["prompt_id"])
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from benchsieve import policy
+from benchsieve.functions.durable import settle
 from benchsieve.functions.numbers import round_to
 from benchsieve.functions.text import contains_any, normalise_prompt, strip, word_count
 
@@ -100,8 +101,14 @@ def clarity_votes_normalised(logs: DataFrame) -> DataFrame:
 
 
 def _look_up(requests: DataFrame, votes: DataFrame, text: str, name: str) -> DataFrame:
-    """Left join on a hash of the text and on the text, so rows sort by a short key."""
-    keyed = votes.withColumnRenamed("clarity", name).withColumn("_hash", F.xxhash64(text))
+    """Left join on a hash of the text and on the text, so rows sort by a short key.
+
+    The votes are settled, so the planner knows their size: few votes are
+    broadcast and the requests stay in place.
+    """
+    keyed = settle(
+        votes.withColumnRenamed("clarity", name).withColumn("_hash", F.xxhash64(text))
+    )
     asked = requests.withColumn("_hash", F.xxhash64(text))
     return asked.join(keyed, ["_hash", "use_case", text], "left").drop("_hash")
 

@@ -538,7 +538,8 @@ def labeller(spark, sf):
     """A user labeller over pandas batches: the rule counts characters."""
 
     def rule(batch):
-        batch["clarity"] = batch["prompt"].str.len().map(lambda n: "CLEAR" if n > 500 else "PARTIAL")
+        length = batch["prompt"].str.len()
+        batch["clarity"] = length.map(lambda n: "CLEAR" if n > 500 else "PARTIAL")
         return batch[["prompt_id", "clarity"]]
 
     rows = prompts(spark, sf).select("prompt_id", "prompt")
@@ -587,7 +588,9 @@ def relabel_input(spark, sf):
     rows = prompts(spark, sf).select(
         F.col("prompt_id").alias("row_pos"),
         F.concat(F.lit("\n "), "prompt").alias("prompt"),
-        F.when(F.col("current_model") == "absent-model", "poetry").otherwise(F.upper("use_case")).alias("use_case"),
+        F.when(F.col("current_model") == "absent-model", "poetry")
+        .otherwise(F.upper("use_case"))
+        .alias("use_case"),
         F.lit(" clear").alias("clarity"),
         F.lit("High ").alias("prompt_complexity"),
     )
@@ -598,7 +601,10 @@ def relabel_input(spark, sf):
 def distinct_prompts(spark, sf):
     rows = table(spark, sf, "documents").select(
         F.col("text").alias("prompt"),
-        F.when(F.col("lang") == "en", "LOW").when(F.col("lang") == "de", " mid").otherwise("none").alias("prompt_complexity"),
+        F.when(F.col("lang") == "en", "LOW")
+        .when(F.col("lang") == "de", " mid")
+        .otherwise("none")
+        .alias("prompt_complexity"),
     )
     return clean.distinct_labelled_prompts(rows)
 
@@ -741,7 +747,9 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(view_sql("job_events", {"events": name}))
 
 
-def _streamed(spark: SparkSession, sf: str, roll_up, keys: list[str], mode: str = "update") -> DataFrame:
+def _streamed(
+    spark: SparkSession, sf: str, roll_up, keys: list[str], mode: str = "update"
+) -> DataFrame:
     folder = f"{shared_folder(spark)}/benchsieve/stream-{uuid.uuid4().hex}"
     rolled = roll_up(event_stream(spark, sf))
     jobs.write_updates(rolled, f"{folder}/rows", f"{folder}/checkpoint", mode)
