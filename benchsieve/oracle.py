@@ -415,7 +415,7 @@ FROM successful s
 JOIN (SELECT prompt_id, {COMPLEXITY} AS prompt_complexity, {CLARITY} AS clarity
       FROM (SELECT conv_id AS prompt_id, max_by(text, turn) AS prompt FROM conversations GROUP BY conv_id) q) a ON a.prompt_id = s.prompt_id
 LEFT JOIN (SELECT prompt_id, short_id, CAST(max(length(response) % 101) AS DOUBLE) AS accuracy_score
-           FROM priced WHERE turn > 1 GROUP BY ALL) j ON j.prompt_id = s.prompt_id AND j.short_id = s.short_id""",
+           FROM priced GROUP BY ALL) j ON j.prompt_id = s.prompt_id AND j.short_id = s.short_id""",
     "allowed_models": f"""
 SELECT r.use_case, r.short_id, r.resp_id FROM (SELECT resp_id, short_id, CASE WHEN turn < 3 THEN 'text-generation' WHEN turn < 5 THEN 'code-generation'
   ELSE 'reasoning' END AS use_case FROM response_parts) r
