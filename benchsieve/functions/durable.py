@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 20_000
+# Rows of numbers and short names take some 150 bytes, so this is about 30 MB.
+MAX_BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from benchsieve import policy
-from benchsieve.functions.durable import broadcast_when_small, settle
+from benchsieve.functions.durable import MAX_BROADCAST_ROWS, settle
 from benchsieve.operators import rank
 from benchsieve.operators.aggregate import TIER_SLICE, supported_slices
 from benchsieve.operators.clean import validate_requests
@@ -14,6 +14,7 @@ from benchsieve.operators.signals import resolve_signals
 from benchsieve.policy import Policy
 
 ROUTE = ["use_case", "complexity", "clarity"]
+ROUTES_PER_SLICE = len(policy.COMPLEXITIES) * len(policy.CLARITIES)
 
 
 def slice_routes(ranked: DataFrame) -> DataFrame:
@@ -48,16 +49,21 @@ def tier_name(tier: str = "tier"):
 def slice_tables(
     bench: DataFrame, rules: Policy = Policy()
 ) -> tuple[DataFrame, DataFrame]:
-    """Winner per route, and numbers per route and model id.
+    """Winner per route, and numbers per route and model id, ready to be joined.
 
-    All ranking is done once per slice. Both tables are small next to the
-    requests: they are settled, counted, and broadcast only when few rows.
+    All ranking is done once per slice and settled. Routes are bounded by the
+    domains, so the winners are broadcast. A model of a slice is on at most
+    ``ROUTES_PER_SLICE`` routes, which bounds the second table after a count.
     """
     ranked = settle(rank.rank_slices(supported_slices(bench, rules.min_samples), TIER_SLICE, rules))
     routes = slice_routes(ranked)
     winners = routes.join(rank.slice_winners(ranked, TIER_SLICE, rules), TIER_SLICE)
     current = routes.join(rank.current_candidates(ranked, TIER_SLICE), TIER_SLICE)
-    return settle(winners), settle(current.select(*ROUTE, "model_id", "current"))
+    current = current.select(*ROUTE, F.col("model_id").alias("current_model"), "current")
+    few = MAX_BROADCAST_ROWS // ROUTES_PER_SLICE
+    if ranked.limit(few + 1).count() <= few:
+        current = F.broadcast(current)
+    return F.broadcast(winners.drop("slice_complexity", "slice_clarity")), current
 
 
 def recommend(
@@ -82,8 +88,6 @@ def recommend(
         asked = asked.join(F.broadcast(origin), ["use_case"], "left")
     else:
         asked = asked.withColumn("data_source", F.lit("primary"))
-    winners = broadcast_when_small(winners.drop("slice_complexity", "slice_clarity"))
-    current = broadcast_when_small(current.withColumnRenamed("model_id", "current_model"))
     matched = asked.join(winners, ROUTE, "left").join(current, [*ROUTE, "current_model"], "left")
     answered = F.col("recommended").isNotNull() & F.col("error").isNull()
     found = F.col("current").isNotNull()
