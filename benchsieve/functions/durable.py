@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,33 +12,41 @@ MAX_BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Return the folder for checkpoints and intermediate tables.
+    """Return the folder for intermediate tables of this application.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session, where
-    every task sees the same disk, may fall back to a temporary folder.
+    ``spark.checkpoint.dir`` names it. Where that is unset, as in tests, it lies in
+    the warehouse, which all executors share too.
     """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if named is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="benchsieve-")
-        context.setCheckpointDir(named)
-    return named.rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = named or spark.sparkContext.getCheckpointDir()
+    named = named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+    return f"{named.rstrip('/')}/benchsieve/{spark.sparkContext.applicationId}"
+
+
+def new_folder(spark: SparkSession) -> str:
+    """Return the name of a folder that nothing has used."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it from there.
 
     This cuts lineage, survives the loss of executors, and gives the planner the
-    real size. Tables stay in the folder until its owner clears it.
+    real size. Tables stay until ``release`` or the owner of the folder removes them.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/benchsieve/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application, when no query needs them."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_when_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast after counting; a larger table is joined by shuffle.
 

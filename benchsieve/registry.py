@@ -749,7 +749,7 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
 def _streamed(
     spark: SparkSession, sf: str, roll_up, keys: list[str], mode: str = "update"
 ) -> DataFrame:
-    folder = f"{shared_folder(spark)}/benchsieve/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rolled = roll_up(event_stream(spark, sf))
     jobs.write_updates(rolled, f"{folder}/rows", f"{folder}/checkpoint", mode)
     return jobs.latest_rows(spark, f"{folder}/rows", rolled.schema, keys)
