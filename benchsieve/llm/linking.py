@@ -129,17 +129,22 @@ def similar_links(sets: DataFrame, likely: Likely, confirm: Confirm) -> DataFram
         .where(F.col("_low") < F.col("_high"))
         .select("key")
     )
-    rest = settle(left.join(open_keys, "key").join(sketches, "id"))
-    one = rest.select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "sketch")])
-    two = rest.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "sketch")])
-    crossing = (
-        one.join(
-            two,
-            (one["key"] == two["key"])
-            & (F.col("component_a") < F.col("component_b"))
-            & likely(F.col("sketch_a"), F.col("sketch_b")),
-        )
-        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-        .distinct()
+    rest = left.join(open_keys, "key").groupBy("id", "component").agg(
+        F.array_sort(F.collect_list("key")).alias("keys")
+    )
+    rest = settle(rest.join(sketches, "id"))
+    parts = ("id", "component", "keys", "sketch")
+    one, two = (
+        rest.select(F.explode("keys").alias("key"), *[F.col(c).alias(f"{c}_{x}") for c in parts])
+        for x in "ab"
     )
+    # Of the buckets that two sets share, only the first compares them.
+    first = F.array_min(F.array_intersect("keys_a", "keys_b")) == one["key"]
+    crossing = one.join(
+        two,
+        (one["key"] == two["key"])
+        & (F.col("component_a") < F.col("component_b"))
+        & likely(F.col("sketch_a"), F.col("sketch_b"))
+        & first,
+    ).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     return links.unionByName(settle(confirm(crossing)))
