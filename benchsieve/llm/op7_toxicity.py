@@ -321,7 +321,7 @@ def learn(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(characters)
         for batch in batches:
-            for part in words.slices(batch):
+            for part in words.slices(batch, most=words.SLICE_BYTES // 4):
                 tokens = words.Tokens(part.column("text"))
                 place: dict[str, int] = defaultdict(lambda: len(place))
                 own = [

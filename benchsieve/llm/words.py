@@ -23,12 +23,14 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FINISH = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that the texts of each part take ``SLICE_BYTES`` or are one row."""
+def slices(
+    batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that the texts of each part take ``most`` bytes or are one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for row, size in enumerate(sizes):
-        if row > start and held + size > SLICE_BYTES:
+        if row > start and held + size > most:
             yield batch.slice(start, row - start)
             start, held = row, 0
         held += int(size)
