@@ -134,8 +134,10 @@ def in_order(docs: DataFrame) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))
     rows = docs.select(key.alias("key"), "doc_id", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = [i / parts for i in range(1, parts)]
-    found = rows.agg(F.percentile_approx("key", wanted, 20 * parts)).first()[0] if wanted else None
+    # More ranges than tasks, so that tasks get about equal shares of them.
+    ranges = 4 * parts
+    wanted = [i / ranges for i in range(1, ranges)]
+    found = rows.agg(F.percentile_approx("key", wanted, 20 * ranges)).first()[0] if wanted else None
     rows = rows.withColumn("bucket", bucket_of(F.col("key"), sorted(set(found or []))))
     # One row per bucket, and so per partition.
     heads = rows.groupBy("bucket").agg(F.max("key").alias("key")).collect()
