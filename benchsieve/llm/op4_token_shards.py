@@ -140,7 +140,7 @@ def write_shards(
         path = f"{folder}/{uuid.uuid4().hex}.npz"
         where, name = fs.FileSystem.from_uri(path)
         where.create_dir(name.rpartition("/")[0], recursive=True)
-        with where.open_output_stream(name) as stream:
+        with where.open_output_stream(name, compression=None) as stream:
             stream.write(out.getbuffer())
         return path, len(arrays["ids"]), len(held)
 
@@ -182,7 +182,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for path, segments in zip(batch.column("path"), batch.column("segments"), strict=True):
                 where, name = fs.FileSystem.from_uri(path.as_py())
-                with where.open_input_stream(name) as stream:
+                with where.open_input_stream(name, compression=None) as stream:
                     shard = dict(np.load(io.BytesIO(stream.read())))
                 yield from _segments(path.as_py(), shard, segments.as_py())
 

@@ -147,10 +147,9 @@ class Restorer:
     seen: dict[str, list[str]] = field(default_factory=dict)
 
     def restore(self, token: str) -> list[str]:
-        core = token.lower().strip(_EDGE)
-        plain = core.rstrip("!|")
-        if plain.isalpha() and not _THREE.search(plain):
-            return [plain]
+        core = token.lower().strip(_EDGE).rstrip("!|")
+        if core.isalpha() and not _THREE.search(core):
+            return [core]
         if not any(map(str.isalpha, core)) or len(core) > 100:
             return re.findall(r"[^\W\d_]+", core) if len(core) > 100 else []
         return self.search(core)

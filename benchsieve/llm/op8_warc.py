@@ -80,7 +80,7 @@ class ArchiveWriter:
     def __init__(self, path: str):
         where, name = fs.FileSystem.from_uri(path)
         where.create_dir(name.rpartition("/")[0], recursive=True)
-        self.out = where.open_output_stream(name)
+        self.out = where.open_output_stream(name, compression=None)
         self.waiting: list[bytes] = []
         self.compressor: zstandard.ZstdCompressor | None = None
         self.bytes = 0
@@ -254,7 +254,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     def rows(path: str, expected: int) -> Iterator[tuple]:
         where, name = fs.FileSystem.from_uri(path)
         n = 0
-        with where.open_input_stream(name) as stream:
+        with where.open_input_stream(name, compression=None) as stream:
             for n, r in enumerate(read_archive(stream), 1):
                 kind, url = r.headers["WARC-Type"], r.headers.get("WARC-Target-URI")
                 row = (r.page_id, url, kind, r.payload_bytes, r.digest, r.refers_to)
