@@ -32,6 +32,7 @@ SHARD_WORDS = 1 << 20
 MOST_SHARDS = 4096
 #: The table of sources goes to the driver; more different sources than this are an error.
 MOST_SOURCES = 1_000_000
+BROADCAST_BYTES = 8 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -115,6 +116,10 @@ def mix(
         "m_name string, m_size long, m_target double, m_blocks long, m_shards int",
     )
 
+    # The driver knows the table's size: broadcast up to a bound, joined by shuffle beyond it.
+    if sum(len(r["name"].encode()) + 40 for r in found) <= BROADCAST_BYTES:
+        sources = F.broadcast(sources)
+
     def share_out(rows: pd.DataFrame) -> pd.DataFrame:  # the shards of one source, a bounded number
         rows = rows.sort_values("m_shard")
         quota = apportion(rows["m_words"].tolist(), int(rows["m_blocks"].iloc[0]))
