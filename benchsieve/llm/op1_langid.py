@@ -84,14 +84,12 @@ class Table:
         return np.where(self.keys[at] == keys, at, -1)
 
 
-def _table(rows: list, langs: list[str]) -> Table:
-    keys = np.array([r["key"] for r in rows], np.int64).view(np.uint64)
+def _table(keys: np.ndarray, counts: np.ndarray) -> Table:
+    """Log probabilities of ``keys`` from ``counts`` (key, language)."""
     order = np.argsort(keys)
-    counts = np.array([[r["counts"].get(x, 0) for x in langs] for r in rows], np.float64)
-    counts = counts.reshape(len(rows), len(langs))
-    totals = counts.sum(0) + SMOOTHING * max(1, len(rows))
+    totals = counts.sum(0) + SMOOTHING * max(1, len(keys))
     scores = np.log((counts + SMOOTHING) / totals)
-    if len(rows):
+    if len(keys):
         scores -= np.logaddexp.reduce(scores, axis=1)[:, None]
     return Table(keys[order], scores[order].astype(np.float32))
 
@@ -207,26 +205,29 @@ def learn(labelled: DataFrame, most_rows: int = LABELLED_ROWS) -> LanguageModel:
     )
     langs = sorted(r[0] for r in counted.select("label").distinct().collect())
 
-    def gathered(table: DataFrame, key: str) -> DataFrame:
-        by_lang = F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("counts")
-        return table.groupBy(key).agg(F.sum("n").alias("n"), by_lang).where(F.col("n") >= LEAST_COUNT)
-
-    known = gathered(counted, "word").select("word", "counts").collect()
-    items = word_keys([r["word"] for r in known]).view(np.int64)
-    known = [{"key": int(k), "counts": r["counts"]} for k, r in zip(items, known, strict=True)]
-    grams = settle(
+    def gathered(table: DataFrame, key: str) -> tuple[pa.ChunkedArray, np.ndarray]:
+        by_lang = [
+            F.sum(F.when(F.col("label") == x, F.col("n")).otherwise(0)).alias(f"c{i}")
+            for i, x in enumerate(langs)
+        ]
+        found = table.groupBy(key).agg(F.sum("n").alias("n"), *by_lang)
+        rows = found.where(F.col("n") >= LEAST_COUNT).drop("n").toArrow()
+        counts = [rows.column(i).to_numpy() for i in range(1, len(langs) + 1)]
+        shape = (rows.num_rows, len(langs))
+        return rows.column(0), np.array(counts, np.float64).reshape(shape[::-1]).T
+
+    known, counts = gathered(counted, "word")
+    known = _table(word_keys(known.to_pylist()), counts)
+    pairs = settle(
         counted.mapInArrow(_count_grams, "label string, size int, key long, n long")
         .groupBy("label", "size", "key")
         .agg(F.sum("n").alias("n"))
     )
-    return LanguageModel(
-        langs,
-        _table(known, langs),
-        {
-            n: _table(gathered(grams.where(F.col("size") == n), "key").collect(), langs)
-            for n in range(1, LONGEST_GRAM + 1)
-        },
-    )
+    grams = {}
+    for n in range(1, LONGEST_GRAM + 1):
+        keys, counts = gathered(pairs.where(F.col("size") == n), "key")
+        grams[n] = _table(keys.to_numpy().view(np.uint64), counts)
+    return LanguageModel(langs, known, grams)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

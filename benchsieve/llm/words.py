@@ -17,7 +17,7 @@ import xxhash
 
 SHINGLE_WORDS = 5
 #: Texts are worked on in slices of about so many bytes; one longer text is one slice.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 3 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FINISH = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
