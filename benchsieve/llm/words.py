@@ -7,6 +7,7 @@ sequence as one shingle; a document without words or text has none.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -36,6 +37,15 @@ def slices(
         held += int(size)
     if start < len(sizes):
         yield batch.slice(start)
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give what a worker has freed back to the machine, since workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
 
 
 class Tokens:
