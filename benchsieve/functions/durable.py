@@ -1,4 +1,4 @@
-"""Cutting lineage and bounding broadcasts."""
+"""Cutting lineage, and joins where null equals null."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows of numbers and short names take some 150 bytes, so this is about 30 MB.
-MAX_BROADCAST_ROWS = 200_000
-
 
 def shared_folder(spark: SparkSession) -> str:
     """Return the folder for intermediate tables of this application.
@@ -47,16 +44,6 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def broadcast_when_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast after counting; a larger table is joined by shuffle.
-
-    The argument should be settled, so that counting does not compute it twice.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def join_null_safe(
     left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
 ) -> DataFrame:

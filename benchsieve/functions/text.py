@@ -18,11 +18,8 @@ OTHER_SPACE = "".join(
 
 
 def strip(text: Column) -> Column:
-    """Remove outer white space; text in ASCII is trimmed by the shorter set."""
-    in_ascii = F.octet_length(text) == F.char_length(text)
-    return F.when(in_ascii, F.btrim(text, F.lit(ASCII_SPACE))).otherwise(
-        F.btrim(text, F.lit(ASCII_SPACE + OTHER_SPACE))
-    )
+    """Remove outer white space. ``text`` stands once in it, so nested uses stay small."""
+    return F.btrim(text, F.lit(ASCII_SPACE + OTHER_SPACE))
 
 
 def normalise_prompt(text: Column) -> Column:

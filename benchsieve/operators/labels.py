@@ -70,36 +70,43 @@ def _plan_runs(runs: Column, budget: int) -> Column:
 def token_batches(
     responses: DataFrame,
     budget: int = policy.JUDGE_TOKEN_BUDGET,
-    excerpt_chars: int = policy.JUDGE_EXCERPT_CHARS,
+    excerpt_chars: int | None = None,
 ) -> DataFrame:
     """(prompt_id, resp_id, model_id, tokens, batch): batches within a token budget.
 
-    Responses are taken by length. Tokens are a quarter of the excerpt that the
-    judge reads. Per prompt there are few different token counts, so the greedy
-    fold runs over counts, and rows find their batch by their position in a run.
+    Responses are taken by length. Tokens are a quarter of the characters that the
+    judge reads: the whole response, or an excerpt where ``excerpt_chars`` is given.
+    Counts above the budget all fill a batch of their own, so the greedy fold runs
+    over at most ``budget`` + 2 counts per prompt, and rows find their batch by their
+    position in a run of equal counts.
     """
     whole_length = F.char_length("response").cast("bigint")
+    read_length = F.col("_length")
+    if excerpt_chars is not None:
+        read_length = F.least(read_length, F.lit(excerpt_chars))
     sized = settle(
-        responses.select(
-            "prompt_id", "resp_id", "model_id", whole_length.alias("_length")
-        ).withColumn(
-            "tokens", F.floor(F.least(F.col("_length"), F.lit(excerpt_chars)) / 4).cast("bigint")
-        )
+        responses.select("prompt_id", "resp_id", "model_id", whole_length.alias("_length"))
+        .withColumn("tokens", F.floor(read_length / 4).cast("bigint"))
+        .withColumn("_units", F.least(F.col("tokens"), F.lit(budget + 1).cast("bigint")))
     )
     numbered = number_rows(
-        sized, ["_length", "model_id", "resp_id"], ["prompt_id", "tokens"], "_nth"
+        sized, ["_length", "model_id", "resp_id"], ["prompt_id", "_units"], "_nth"
     )
     runs = (
-        sized.groupBy("prompt_id", "tokens")
+        sized.groupBy("prompt_id", "_units")
         .agg(F.count(F.lit(1)).alias("count"))
         .groupBy("prompt_id")
-        .agg(F.sort_array(F.collect_list(F.struct("tokens", "count"))).alias("runs"))
+        .agg(
+            F.sort_array(
+                F.collect_list(F.struct(F.col("_units").alias("tokens"), "count"))
+            ).alias("runs")
+        )
     )
     plan = runs.select("prompt_id", F.inline(_plan_runs(F.col("runs"), budget))).withColumnRenamed(
         "batch", "_open"
-    )
+    ).withColumnRenamed("tokens", "_units")
     beyond = F.col("_nth") - F.col("fits") - 1
-    return numbered.join(plan, ["prompt_id", "tokens"]).select(
+    return numbered.join(plan, ["prompt_id", "_units"]).select(
         "prompt_id",
         "resp_id",
         "model_id",
@@ -131,13 +138,15 @@ def judge_requests(
     responses: DataFrame,
     prompts: DataFrame,
     rubric: str,
-    excerpt_chars: int = policy.JUDGE_EXCERPT_CHARS,
+    excerpt_chars: int | None = None,
 ) -> DataFrame:
-    """One request text per judge batch.
+    """One request text per judge batch, with whole responses.
 
-    A judge reads an excerpt of each response, as the token budget assumes.
+    ``excerpt_chars`` cuts each response, as it must for batches planned that way.
     """
-    text = F.substring("response", 1, excerpt_chars)
+    text = F.col("response")
+    if excerpt_chars is not None:
+        text = F.substring(text, 1, excerpt_chars)
     excerpts = responses.select("resp_id", text.alias("_excerpt"))
     member = batches.join(excerpts, ["resp_id"]).withColumn(
         "_order", F.struct("tokens", "model_id", "resp_id")
@@ -228,6 +237,7 @@ def merge_scores(members: DataFrame, answers: DataFrame, batch: str = "batch_id"
     it does not name has 50. Without a usable answer all have 0. The last score of
     a model counts, and a model that a full list does not name has 0.
     """
+    given = F.col("_score.accuracy_score").try_cast("double")  # a number, or one in quotes
     sizes = members.groupBy(batch).agg(F.count(F.lit(1)).alias("_size"))
     judged = (
         parse_judge(answers)
@@ -240,7 +250,7 @@ def merge_scores(members: DataFrame, answers: DataFrame, batch: str = "batch_id"
         .select(batch, "_size", "_is_full", F.posexplode("scores").alias("_pos", "_score"))
         .where(~F.col("_is_full") | (F.col("_pos") < F.col("_size")))
         .groupBy(batch, F.col("_score.model_id").alias("model_id"))
-        .agg(F.max_by("_score.accuracy_score", "_pos").alias("_given"))
+        .agg(F.max_by(given, "_pos").alias("_given"))
     )
     status = judged.select(batch, "kind", "_is_full")
     known = members.join(status, [batch], "left").join(named, [batch, "model_id"], "left")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from benchsieve import policy
-from benchsieve.functions.durable import broadcast_when_small, settle
+from benchsieve.functions.durable import settle
 from benchsieve.functions.numbers import (
     floored_percent_change,
     lower_is_better,
@@ -291,9 +291,9 @@ def profile_deltas(
     current = rounded.groupBy(
         F.col("prompt_complexity").alias("complexity"), F.col("model_id").alias("current_model")
     ).agg(F.max_by(numbers, "provider").alias("_current"))
-    with_ends = requests.join(broadcast_when_small(settle(ends)), ["complexity"], "left")
+    with_ends = requests.join(settle(ends), ["complexity"], "left")
     joined = with_ends.join(
-        broadcast_when_small(settle(current)), ["complexity", "current_model"], "left"
+        settle(current), ["complexity", "current_model"], "left"
     )
     worst = F.when(F.col("all_models_count") > 1, F.col("_worst"))
     old = F.coalesce("_current", worst)
@@ -328,8 +328,8 @@ def mean_deltas(requests: DataFrame, ranked: DataFrame) -> DataFrame:
     current = named.select(
         *keys, F.col("model_id").alias("current_model"), numbers.alias("_current")
     )
-    joined = requests.join(broadcast_when_small(settle(best)), keys).join(
-        broadcast_when_small(settle(current)), [*keys, "current_model"], "left"
+    joined = requests.join(settle(best), keys).join(
+        settle(current), [*keys, "current_model"], "left"
     )
     new = F.col("_best")
 

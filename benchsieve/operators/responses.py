@@ -12,14 +12,14 @@ from benchsieve.operators.clean import split_responses
 # The fields read from the bodies of all response formats.
 BODY = """
   text string,
-  generation string, prompt_token_count bigint, generation_token_count bigint,
+  generation string, prompt_token_count double, generation_token_count double,
   output struct<message:struct<content:array<struct<text:string>>>>,
   content array<struct<text:string>>,
   choices array<struct<message:struct<content:string,reasoning_content:string>>>,
   outputs array<struct<text:string>>,
-  usage struct<inputTokens:bigint,outputTokens:bigint,input_tokens:bigint,output_tokens:bigint,
-    prompt_tokens:bigint,completion_tokens:bigint>,
-  usage_metadata struct<prompt_token_count:bigint,candidates_token_count:bigint>
+  usage struct<inputTokens:double,outputTokens:double,input_tokens:double,output_tokens:double,
+    prompt_tokens:double,completion_tokens:double>,
+  usage_metadata struct<prompt_token_count:double,candidates_token_count:double>
 """
 
 
@@ -28,7 +28,9 @@ def _first(array: str) -> Column:
 
 
 def _first_positive(*counts: Column) -> Column:
-    return F.coalesce(*[F.when(c != 0, c) for c in counts], F.lit(0).cast("bigint"))
+    """The first count other than 0; counts may be written as 3 or 3.0."""
+    whole = [c.cast("bigint") for c in counts]
+    return F.coalesce(*[F.when(c != 0, c) for c in whole], F.lit(0).cast("bigint"))
 
 
 def _text() -> Column:

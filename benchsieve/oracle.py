@@ -200,7 +200,7 @@ FROM counted_tokens c LEFT JOIN (VALUES {_PRICES}) p(short_id, price_in, price_o
     "batched": """
 SELECT prompt_id, resp_id, short_id AS model_id, tokens, batch, response FROM (
   WITH RECURSIVE ordered AS (
-    SELECT prompt_id, resp_id, short_id, response, CAST(least(length(response), 3000) // 4 AS BIGINT) AS tokens,
+    SELECT prompt_id, resp_id, short_id, response, CAST(length(response) // 4 AS BIGINT) AS tokens,
       row_number() OVER (PARTITION BY prompt_id ORDER BY length(response), short_id, resp_id) AS nth FROM successful),
   fold AS (
     SELECT prompt_id, nth, tokens AS used, CAST(1 AS BIGINT) AS batch FROM ordered WHERE nth = 1
@@ -233,7 +233,7 @@ SELECT *, row_number() OVER (ORDER BY term) - 1 AS term_index FROM (
     ln((1e0 + (SELECT count(*) FROM documents)) / (1e0 + count(*))) + 1e0 AS idf
   FROM doc_terms GROUP BY term
   HAVING count(*) >= 2 AND count(*) <= 0.95e0 * (SELECT count(*) FROM documents)
-  ORDER BY term_freq DESC, term LIMIT 5000) v""",
+  ) v""",
 }
 
 
@@ -432,7 +432,7 @@ FROM documents""",
 SELECT r.prompt_id, r.batch, r.response_count, concat('Score each response.', chr(10), chr(10), 'USER-SELECTED USE CASE:', chr(10), 'reasoning',
   chr(10), chr(10), 'PROMPT:', chr(10), q.text, chr(10), chr(10), 'MODEL RESPONSES (', r.response_count, ' total):', chr(10), chr(10), r.body) AS request
 FROM (SELECT prompt_id, batch, count(*) AS response_count,
-    string_agg(concat('[Response ', nth, '] model_id: ', model_id, chr(10), substr(response, 1, 3000)),
+    string_agg(concat('[Response ', nth, '] model_id: ', model_id, chr(10), response),
       concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY nth) AS body
   FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id, batch ORDER BY tokens, model_id, resp_id) AS nth FROM batched) n
   GROUP BY prompt_id, batch) r

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from benchsieve.functions.durable import broadcast_when_small, settle
+from benchsieve.functions.durable import settle
 from benchsieve.operators import aggregate, rank
 from benchsieve.operators.clean import clean_for_profiles
 from benchsieve.policy import PROFILE_MIN_SAMPLES, PROFILE_TOP_N, Weights
@@ -55,7 +55,7 @@ def recommend_by_profile(
             ).alias("recommendations")
         )
     )
-    joined = compared.join(broadcast_when_small(settle(top)), "complexity", "left")
+    joined = compared.join(settle(top), "complexity", "left")
     return joined.withColumn(
         "error",
         F.when(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from benchsieve import policy
-from benchsieve.functions.durable import MAX_BROADCAST_ROWS, settle
+from benchsieve.functions.durable import settle
 from benchsieve.operators import rank
 from benchsieve.operators.aggregate import TIER_SLICE, supported_slices
 from benchsieve.operators.clean import validate_requests
@@ -14,7 +14,6 @@ from benchsieve.operators.signals import resolve_signals
 from benchsieve.policy import Policy
 
 ROUTE = ["use_case", "complexity", "clarity"]
-ROUTES_PER_SLICE = len(policy.COMPLEXITIES) * len(policy.CLARITIES)
 
 
 def slice_routes(ranked: DataFrame) -> DataFrame:
@@ -51,19 +50,15 @@ def slice_tables(
 ) -> tuple[DataFrame, DataFrame]:
     """Winner per route, and numbers per route and model id, ready to be joined.
 
-    All ranking is done once per slice and settled. Routes are bounded by the
-    domains, so the winners are broadcast. A model of a slice is on at most
-    ``ROUTES_PER_SLICE`` routes, which bounds the second table after a count.
+    All ranking is done once per slice and settled, so the planner knows the size of
+    both tables and chooses how to join them.
     """
     ranked = settle(rank.rank_slices(supported_slices(bench, rules.min_samples), TIER_SLICE, rules))
     routes = slice_routes(ranked)
     winners = routes.join(rank.slice_winners(ranked, TIER_SLICE, rules), TIER_SLICE)
     current = routes.join(rank.current_candidates(ranked, TIER_SLICE), TIER_SLICE)
     current = current.select(*ROUTE, F.col("model_id").alias("current_model"), "current")
-    few = MAX_BROADCAST_ROWS // ROUTES_PER_SLICE
-    if ranked.limit(few + 1).count() <= few:
-        current = F.broadcast(current)
-    return F.broadcast(winners.drop("slice_complexity", "slice_clarity")), current
+    return settle(winners.drop("slice_complexity", "slice_clarity")), settle(current)
 
 
 def recommend(

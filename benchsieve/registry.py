@@ -24,6 +24,8 @@ from benchsieve.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+# The size of the classifier that the queries fit; tables of terms are whole.
+CLASSIFIER_FEATURES = 5000
 
 
 def query(function: Query) -> Query:
@@ -566,7 +568,9 @@ def ingest_report(spark, sf):
 
 @query
 def ingest_prompts(spark, sf):
-    return readers.ingest_prompts(view(spark, sf, "prompt_files"), "reasoning", "mid").select(
+    return readers.ingest_prompts(
+        view(spark, sf, "prompt_files"), "reasoning", "mid", strict=False
+    ).select(
         "file_name", "row_pos", "prompt", "clarity", "prompt_complexity", "use_case"
     )
 
@@ -726,12 +730,13 @@ def stratified_split(spark, sf):
 @query
 def classifier_scores(spark, sf):
     docs = _documents(spark, sf)
-    return classify.train(docs).score(docs).select("doc_id", "label", "predicted", "confidence")
+    model = classify.train(docs, max_features=CLASSIFIER_FEATURES)
+    return model.score(docs).select("doc_id", "label", "predicted", "confidence")
 
 
 @query
 def classifier_folds(spark, sf):
-    return classify.cross_validate(_documents(spark, sf))
+    return classify.cross_validate(_documents(spark, sf), max_features=CLASSIFIER_FEATURES)
 
 
 # Streams

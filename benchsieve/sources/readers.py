@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from benchsieve import policy
-from benchsieve.functions.durable import broadcast_when_small, settle
+from benchsieve.functions.durable import settle
 from benchsieve.functions.numbering import number_rows
 from benchsieve.functions.text import is_blank, strip
 from benchsieve.sources import schemas
@@ -17,18 +17,48 @@ def _quoted_csv(spark: SparkSession, schema):
     return reader.schema(schema) if schema is not None else reader
 
 
+def files_by_header(
+    spark: SparkSession, path: str | list[str]
+) -> dict[tuple[str, ...], list[str]]:
+    """The CSV files under ``path``, grouped by their header lines.
+
+    Spark gives all files of one read the columns of the first, so each header is read
+    apart. Only names and header lines come to the driver.
+    """
+    listed = spark.read.format("binaryFile").load(path).select("path").orderBy("path")
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in listed.collect():
+        header = tuple(_quoted_csv(spark, None).csv(row["path"]).columns)
+        groups.setdefault(header, []).append(row["path"])
+    return groups
+
+
+def _all_files(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole
+
+
 def read_benchmark_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Benchmark rows from CSV whose quoted responses may hold line breaks.
 
-    Columns are matched by header name; a column the file lacks is null.
+    Columns are matched by the header of each file; a column a file lacks is null.
     """
-    raw = _quoted_csv(spark, None).csv(path)
-    return raw.select(
-        *[
-            F.col(f.name) if f.name in raw.columns else F.lit(None).cast(f.dataType).alias(f.name)
-            for f in schemas.BENCHMARK_CSV
-        ]
-    )
+    parts = []
+    for header, files in files_by_header(spark, path).items():
+        raw = _quoted_csv(spark, None).csv(files)
+        parts.append(
+            raw.select(
+                *[
+                    F.col(f.name) if f.name in header else F.lit(None).cast("string").alias(f.name)
+                    for f in schemas.BENCHMARK_CSV
+                ]
+            )
+        )
+    if not parts:
+        raise FileNotFoundError(f"no CSV file in {path}")
+    return _all_files(parts)
 
 
 def scan_benchmark(
@@ -64,7 +94,7 @@ def with_fallback(
 
     Both sides are cleaned rows. ``data_source`` tells which side was used.
     """
-    covered = broadcast_when_small(settle(primary.select("use_case").distinct()))
+    covered = settle(primary.select("use_case").distinct())
     rest = local.join(covered, "use_case", "left_anti")
     return primary.withColumn("data_source", F.lit(primary_name)).unionByName(
         rest.withColumn("data_source", F.lit(local_name))
@@ -102,20 +132,47 @@ class InputRejected(ValueError):
     """A prompt file cannot be used."""
 
 
-def read_prompt_files(
+def lacking_columns(
     spark: SparkSession, path: str | list[str], required: tuple[str, ...] = ("prompt", "clarity")
+) -> list[tuple[str, str]]:
+    """(file name, first column it lacks) for the files that cannot be read."""
+    found = []
+    for header, files in files_by_header(spark, path).items():
+        absent = [c for c in required if c not in header]
+        found += [(f.rpartition("/")[2], absent[0]) for f in files if absent]
+    return found
+
+
+def read_prompt_files(
+    spark: SparkSession,
+    path: str | list[str],
+    required: tuple[str, ...] = ("prompt", "clarity"),
+    skip_rejected: bool = False,
 ) -> DataFrame:
-    """Rows of prompt CSV files with ``file_name`` and the 1-based ``row_pos`` per file."""
-    raw = _quoted_csv(spark, None).csv(path)
-    for column in required:
-        if column not in raw.columns:
-            raise InputRejected(f"CSV must have a '{column}' column")
-    rows = raw.select(
-        *[c for c in raw.columns],
-        F.col("_metadata.file_name").alias("file_name"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_seen"),
-    )
+    """Rows of prompt CSV files with ``file_name`` and the 1-based ``row_pos`` per file.
+
+    Each file is read by its own header. A file that lacks a column rejects the input, or
+    with ``skip_rejected`` is left out; ``lacking_columns`` reports such files.
+    """
+    parts = []
+    for header, files in files_by_header(spark, path).items():
+        absent = [c for c in required if c not in header]
+        if absent and not skip_rejected:
+            name = files[0].rpartition("/")[2]
+            raise InputRejected(f"CSV must have a '{absent[0]}' column ('{name}')")
+        if not absent:
+            raw = _quoted_csv(spark, None).csv(files)
+            parts.append(
+                raw.select(
+                    *header,
+                    F.col("_metadata.file_name").alias("file_name"),
+                    F.col("_metadata.file_block_start").alias("_block"),
+                    F.monotonically_increasing_id().alias("_seen"),
+                )
+            )
+    if not parts:
+        raise InputRejected("no prompt file can be read")
+    rows = _all_files(parts)
     return number_rows(rows, ["_block", "_seen"], ["file_name"], "row_pos").drop("_block", "_seen")
 
 
@@ -151,12 +208,12 @@ def prompt_file_report(rows: DataFrame) -> DataFrame:
 
 
 def ingest_prompts(
-    rows: DataFrame, use_case: str, complexity: str, strict: bool = False
+    rows: DataFrame, use_case: str, complexity: str, strict: bool = True
 ) -> DataFrame:
-    """Prompts of the files without a bad clarity value, stamped with the job's labels.
+    """Prompts stamped with the job's labels.
 
-    With ``strict`` one bad value rejects the whole input, as does an input
-    without any prompt.
+    One bad clarity value rejects the whole input, as does an input without any prompt.
+    Without ``strict`` only the files that hold a bad value are left out.
     """
     if use_case not in policy.USE_CASES:
         raise InputRejected(f"Invalid use_case '{use_case}'")
@@ -169,9 +226,7 @@ def ingest_prompts(
             raise InputRejected(f"Invalid clarity value '{bad.clarity}' in '{bad.file_name}'")
         if checked.isEmpty():
             raise InputRejected("No valid prompts found in CSV")
-    rejected = broadcast_when_small(
-        settle(checked.where(~F.col("is_valid")).select("file_name").distinct())
-    )
+    rejected = settle(checked.where(~F.col("is_valid")).select("file_name").distinct())
     return (
         checked.join(rejected, "file_name", "left_anti")
         .drop("is_valid")

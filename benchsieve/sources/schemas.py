@@ -53,7 +53,7 @@ PROFILE = T.StructType(
     ]
 )
 
-JUDGE_SCORES = "array<struct<model_id:string,accuracy_score:double>>"
+JUDGE_SCORES = "array<struct<model_id:string,accuracy_score:string>>"
 
 JOB_EVENT = T.StructType(
     [

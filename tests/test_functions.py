@@ -112,14 +112,6 @@ def test_number_rows_is_exact_for_hot_groups_and_globally(spark):
     ]
 
 
-def test_broadcast_only_below_the_bound(spark):
-    df = durable.settle(spark.range(50))
-    plan = "ResolvedHint"
-    small = durable.broadcast_when_small(df, 50)._jdf.queryExecution().analyzed().toString()
-    large = durable.broadcast_when_small(df, 49)._jdf.queryExecution().analyzed().toString()
-    assert plan in small and plan not in large
-
-
 def test_join_null_safe_matches_nulls(spark):
     left = spark.createDataFrame([(None, 1), ("a", 2)], "k string, l int")
     right = spark.createDataFrame([(None, 10), ("b", 20)], "k string, r int")

@@ -21,13 +21,13 @@ def greedy(items, budget, excerpt):
     return batches
 
 
-@pytest.mark.parametrize("budget, excerpt", [(3000, 3000), (20, 200), (3, 40)])
+@pytest.mark.parametrize("budget, excerpt", [(3000, None), (700, None), (3000, 3000), (20, 200), (3, 40)])
 def test_token_batches_equal_the_greedy_walk(spark, budget, excerpt):
     rng = random.Random(budget)
     rows = []
     for i in range(600):
         prompt = 1 if rng.random() < 0.5 else rng.randrange(2, 9)
-        length = rng.choice([1, 2, 3, 39, 40, rng.randrange(1, 300), 3100, 3000, 2999])
+        length = rng.choice([1, 2, 3, 39, 40, rng.randrange(1, 300), 3100, 3000, 2999, 13_000, 14_000])
         rows.append((prompt, i, f"m{rng.randrange(5)}", "é" * length))
     df = spark.createDataFrame(rows, "prompt_id int, resp_id int, model_id string, response string")
     got = {r.resp_id: r.batch for r in labels.token_batches(df, budget, excerpt).collect()}
@@ -47,13 +47,13 @@ def test_judge_request_text(spark):
     batches = spark.createDataFrame(
         [(1, 2, "b", 5, 1), (1, 1, "a", 2, 1)],
         "prompt_id int, resp_id int, model_id string, tokens bigint, batch bigint")
-    replies = spark.createDataFrame([(1, "one"), (2, "two" * 2000)], "resp_id int, response string")
+    replies = spark.createDataFrame([(1, "one"), (2, "two" * 5000)], "resp_id int, response string")
     asked = spark.createDataFrame([(1, "Why?", "odd")], "prompt_id int, prompt string, use_case string")
     row = labels.judge_requests(batches, replies, asked, "RUBRIC").first()
     assert row.request == (
         "RUBRIC\n\nUSER-SELECTED USE CASE:\ntext-generation\n\nPROMPT:\nWhy?\n\n"
         "MODEL RESPONSES (2 total):\n\n[Response 1] model_id: a\none\n\n---\n\n"
-        "[Response 2] model_id: b\n" + ("two" * 2000)[:3000])
+        "[Response 2] model_id: b\n" + "two" * 5000)
 
 
 def item(model, score):
@@ -174,3 +174,11 @@ def test_restrict_models(spark):
     odd = spark.createDataFrame([("poetry",), ("reasoning",)], "use_case string")
     errors = [r.error for r in clean.require_known_use_case(odd).orderBy("use_case").collect()]
     assert errors[0].startswith("Unknown use_case 'poetry'.") and errors[1] is None
+
+
+def test_scores_in_quotes_count(spark):
+    members = spark.createDataFrame([(1, "a"), (1, "b")], "batch_id int, model_id string")
+    answer = '[{"model_id":"a","accuracy_score":"91"},{"model_id":"b","accuracy_score":7.5}]'
+    answers = spark.createDataFrame([(1, answer)], "batch_id int, judge_text string")
+    found = {r.model_id: r.accuracy_score for r in labels.merge_scores(members, answers).collect()}
+    assert found == {"a": 91.0, "b": 7.5}

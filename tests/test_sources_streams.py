@@ -31,16 +31,16 @@ def test_prompt_files(spark, tmp_path):
     rows = readers.read_prompt_files(spark, str(tmp_path))
     report = {r.file_name: (r.prompt_count, r.status) for r in readers.prompt_file_report(rows).collect()}
     assert report == {"a.csv": (2, "accepted"), "b.csv": (1, "rejected"), "c.csv": (0, "empty")}
-    kept = readers.ingest_prompts(rows, "reasoning", "mid").collect()
+    kept = readers.ingest_prompts(rows, "reasoning", "mid", strict=False).collect()
     assert sorted((r.prompt, r.clarity, r.row_pos) for r in kept) == [("one", "CLEAR", 1), ("two", "PARTIAL", 3)]
     ids = readers.ingest_clarity_input(rows).where("file_name = 'a.csv'").collect()
     assert sorted((r.prompt_id, r.prompt) for r in ids) == [("1", "one"), ("3", "two")]
     with pytest.raises(readers.InputRejected, match="ODD"):
-        readers.ingest_prompts(rows, "reasoning", "mid", strict=True)
+        readers.ingest_prompts(rows, "reasoning", "mid")
     with pytest.raises(readers.InputRejected, match="use_case"):
         readers.ingest_prompts(rows, "poetry", "mid")
     with pytest.raises(readers.InputRejected, match="No valid"):
-        readers.ingest_prompts(rows.where("file_name = 'c.csv'"), "reasoning", "mid", strict=True)
+        readers.ingest_prompts(rows.where("file_name = 'c.csv'"), "reasoning", "mid")
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "d.csv").write_text("prompt,accuracy\nx,1\n")
     with pytest.raises(readers.InputRejected, match="clarity"):
@@ -209,3 +209,22 @@ def test_folds_and_cross_validation(spark):
     report = classify.training_report(rows, results).collect()
     assert len(report) == 3 and report[0].cv_folds == 2
     assert classify.cross_validate(rows.where("doc_id = 0 or label = 'mid'")).count() == 0
+
+
+def test_csv_files_are_read_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("prompt,clarity\nfirst,clear\n")
+    (tmp_path / "b.csv").write_text('clarity,extra,prompt\nUNCLEAR,x,"second\nline"\n')
+    both = readers.read_prompt_files(spark, str(tmp_path))
+    assert sorted((r.file_name, r.row_pos, r.prompt, r.clarity) for r in both.collect()) == [
+        ("a.csv", 1, "first", "clear"), ("b.csv", 1, "second\nline", "UNCLEAR")]
+    (tmp_path / "c.csv").write_text("prompt\nthird\n")
+    with pytest.raises(readers.InputRejected, match="'clarity' column"):
+        readers.read_prompt_files(spark, str(tmp_path))
+    assert readers.lacking_columns(spark, str(tmp_path)) == [("c.csv", "clarity")]
+    assert readers.read_prompt_files(spark, str(tmp_path), skip_rejected=True).count() == 2
+
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "one.csv").write_text("id,model_id,cost\n1,m,0.7\n")
+    (tmp_path / "d" / "two.csv").write_text("model_id,cost,id\nn,2,0.5\n")
+    rows = readers.read_benchmark_csv(spark, str(tmp_path / "d")).select("id", "model_id", "cost")
+    assert sorted(map(tuple, rows.collect())) == [("0.5", "n", "2"), ("1", "m", "0.7")]
