@@ -15,20 +15,3 @@ def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     rest = [c for c in df.columns if c not in columns]
     values = F.struct(*[value.alias(name) for name, value in columns.items()])
     return df.select(*rest, F.inline(F.array(values)))
-
-
-SPREAD = 32
-
-
-def spread_scan(scan: DataFrame) -> DataFrame:
-    """Spread a source of few partitions over the cores before costly expressions.
-
-    Large sources have more partitions than the cluster has cores and stay as they
-    are. A partition is split into at most ``SPREAD`` parts. Only for plain scans:
-    asking for the partitions of other plans could run a part of them.
-    """
-    partitions = scan.rdd.getNumPartitions()
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if partitions >= cores:
-        return scan
-    return scan.repartition(min(cores, partitions * SPREAD))

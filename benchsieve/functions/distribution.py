@@ -1,113 +1,125 @@
 """Exact counts, means and medians per group, safe when one group is very large.
 
-Rows are first reduced to (group, metric, value) counts, which spreads even one
-hot group over all tasks, and the counts are settled. When every group has few
-different values, one more grouping finishes the work. Otherwise the values of
-large groups are cut into bins of about equal size, so that ranking never puts
-a whole group into one task.
+Counts and means are partial aggregates over the rows. For medians the same pass
+finds two values per group that enclose the middle, from a sketch of bounded size.
+A second pass keeps only the values between them and counts those below, so a few
+percent of the rows move. The middle ranks are then read off in a sort by range over
+groups and values, which spreads one hot group over many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from benchsieve.functions.durable import join_null_safe, settle
 
-BINS = 128
-FEW_VALUES = 200_000
+# A sketch misses a rank by at most one in ACCURACY rows, far less than the bracket is wide.
+BRACKET = (0.48, 0.52)
+ACCURACY = 1000
 
 Columns = dict[str, tuple[str, str]]
 
 
-def value_counts(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    """(keys, metric, value, n) for the non-null values of every metric."""
-    return (
-        df.select(*keys, *[F.col(m).cast("double").alias(m) for m in metrics])
-        .unpivot(keys, metrics, "metric", "value")
-        .where(F.col("value").isNotNull())
-        .groupBy(*keys, "metric", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
 def group_stats(
-    counts: DataFrame, keys: list[str], columns: Columns, few_values: int = FEW_VALUES
+    rows: DataFrame, keys: list[str], columns: Columns, extra: dict[str, Column] | None = None
 ) -> DataFrame:
     """One row per group; ``columns`` maps an output name to (metric, statistic).
 
-    Statistics are ``count``, ``mean`` and ``median``.
+    Statistics are ``count``, ``mean`` and ``median`` of the non-null values; ``extra``
+    adds other aggregates. ``rows`` are read twice, so settle what is costly to compute.
+    A group without any value of a metric has count 0 and no mean or median.
     """
-    counts = settle(counts)
-    group = [*keys, "metric"]
-    if counts.limit(few_values + 1).count() > few_values:
-        per_group = counts.groupBy(*group).agg(F.count(F.lit(1)).alias("values"))
-        if per_group.where(F.col("values") > few_values).limit(1).count() > 0:
-            return _widen(binned_stats(counts, keys, few_values), keys, columns)
-    stats = counts.groupBy(*group).agg(
-        F.sum("n").alias("count"),
-        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.percentile("value", F.lit(0.5), F.col("n")).alias("median"),
+    metrics = sorted({metric for metric, _ in columns.values()})
+    middle = [m for m in metrics if (m, "median") in columns.values()]
+    aggregates = []
+    for m in metrics:
+        value = F.col(m).cast("double")
+        aggregates += [F.count(value).alias(f"_count_{m}"), F.avg(value).alias(f"_mean_{m}")]
+        if m in middle:
+            bracket = F.percentile_approx(value, list(BRACKET), ACCURACY)
+            aggregates.append(bracket.alias(f"_bracket_{m}"))
+    others = [column.alias(name) for name, column in (extra or {}).items()]
+    stats = settle(rows.groupBy(*keys).agg(*aggregates, *others))
+    wide = stats
+    if middle:
+        wide = join_null_safe(stats, _medians(rows, stats, keys, middle), keys, "left")
+    return wide.select(
+        *keys,
+        *[F.col(f"_{statistic}_{m}").alias(name) for name, (m, statistic) in columns.items()],
+        *(extra or {}),
     )
-    return _widen(stats, keys, columns)
-
-
-def _widen(stats: DataFrame, keys: list[str], columns: Columns) -> DataFrame:
-    picked = [
-        F.max(F.when(F.col("metric") == metric, F.col(statistic))).alias(name)
-        for name, (metric, statistic) in columns.items()
-    ]
-    return stats.groupBy(*keys).agg(*picked)
 
 
-def binned_stats(counts: DataFrame, keys: list[str], few_values: int = FEW_VALUES) -> DataFrame:
-    """(keys, metric, count, mean, median), with the values of large groups in bins.
-
-    Bin borders come from a sketch of the different values. They only balance the
-    work; the middle ranks are found exactly from the counts of the bins.
-    """
-    group = [*keys, "metric"]
-    cuts = F.percentile_approx("value", [i / BINS for i in range(1, BINS)], 20 * BINS)
-    totals = counts.groupBy(*group).agg(
-        F.sum("n").alias("count"),
-        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.when(F.count(F.lit(1)) > few_values, cuts)
-        .otherwise(F.array().cast("array<double>"))
-        .alias("_cuts"),
+def _medians(rows: DataFrame, stats: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """One row per group with ``_median_<metric>``, from the brackets in ``stats``."""
+    group = [*keys, "_metric"]
+    counts = _counts_in_brackets(rows, stats, keys, metrics)
+    order = [*group, F.asc_nulls_first("_value")]
+    # Settled, since a second sampling could choose other range bounds.
+    ranged = settle(
+        counts.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     )
-    binned = (
-        join_null_safe(counts, totals, group)
-        .withColumn("_bin", F.size(F.filter("_cuts", lambda cut: cut < F.col("value"))))
-        .withColumn("_low", F.floor((F.col("count") + 1) / 2))
-        .withColumn("_high", F.floor((F.col("count") + 2) / 2))
-        .drop("_cuts")
+    total = F.coalesce(*[F.when(F.col("_metric") == m, F.col(f"_count_{m}")) for m in metrics])
+    earlier = (
+        Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     )
-
-    by_bin = Window.partitionBy(*group).orderBy("_bin")
-    middle_bins = (
-        binned.groupBy(*group, "_bin", "_low", "_high")
-        .agg(F.sum("n").alias("_in_bin"))
-        .withColumn("_before", F.sum("_in_bin").over(by_bin) - F.col("_in_bin"))
+    sizes = stats.select(*keys, *[f"_count_{m}" for m in metrics])
+    # One row per group and partition of the sort; the middle lies in one or two of them.
+    spans = (
+        ranged.groupBy(*group, "_part")
+        .agg(F.sum("_n").alias("_rows"))
+        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    )
+    held = (
+        join_null_safe(spans, sizes, keys)
+        .withColumn("_low", F.floor((total + 1) / 2))
+        .withColumn("_high", F.floor((total + 2) / 2))
         .where(
             (F.col("_before") < F.col("_high"))
-            & (F.col("_before") + F.col("_in_bin") >= F.col("_low"))
+            & (F.col("_before") + F.col("_rows") >= F.col("_low"))
         )
-        .select(*group, "_bin", "_before")
+        .select(*group, "_part", "_before", "_low", "_high")
     )
-
-    in_bin = Window.partitionBy(*group, "_bin").orderBy("value")
+    inside = Window.partitionBy(*group, "_part").orderBy(F.asc_nulls_first("_value"))
     last = F.col("_last")
-    holds_low = (last - F.col("n") < F.col("_low")) & (F.col("_low") <= last)
-    holds_high = (last - F.col("n") < F.col("_high")) & (F.col("_high") <= last)
-    low = F.max(F.when(holds_low, F.col("value")))
-    high = F.max(F.when(holds_high, F.col("value")))
-    return (
-        join_null_safe(binned, middle_bins, [*group, "_bin"])
-        .withColumn("_last", F.col("_before") + F.sum("n").over(in_bin))
+
+    def at(rank: str) -> Column:
+        first = last - F.col("_n")
+        return F.max(F.when((first < F.col(rank)) & (F.col(rank) <= last), F.col("_value")))
+
+    medians = (
+        join_null_safe(ranged, held, [*group, "_part"])
+        .withColumn("_last", F.col("_before") + F.sum("_n").over(inside))
         .groupBy(*group)
-        .agg(
-            F.first("count").alias("count"),
-            F.first("mean").alias("mean"),
-            ((low + high) / 2).alias("median"),
+        .agg(((at("_low") + at("_high")) / 2).alias("_median"))
+    )
+    return medians.groupBy(*keys).agg(
+        *[
+            F.max(F.when(F.col("_metric") == m, F.col("_median"))).alias(f"_median_{m}")
+            for m in metrics
+        ]
+    )
+
+
+def _counts_in_brackets(
+    rows: DataFrame, stats: DataFrame, keys: list[str], metrics: list[str]
+) -> DataFrame:
+    """(keys, _metric, _value, _n) for values in their bracket; a null counts all below it."""
+    brackets = stats.select(*keys, *[f"_bracket_{m}" for m in metrics])
+    values = rows.select(*keys, *[F.col(m).cast("double").alias(m) for m in metrics])
+
+    def entry(m: str) -> Column:
+        low, high = F.get(f"_bracket_{m}", F.lit(0)), F.get(f"_bracket_{m}", F.lit(1))
+        value = F.when(F.col(m) >= low, F.col(m))
+        return F.when(
+            F.col(m) <= high, F.struct(F.lit(m).alias("_metric"), value.alias("_value"))
         )
+
+    entries = F.filter(F.array(*[entry(m) for m in metrics]), lambda e: e.isNotNull())
+    return (
+        join_null_safe(values, brackets, keys)
+        .select(*keys, F.inline(entries))
+        .groupBy(*keys, "_metric", "_value")
+        .agg(F.count(F.lit(1)).alias("_n"))
     )

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from benchsieve import policy
-from benchsieve.functions.distribution import group_stats, value_counts
+from benchsieve.functions.distribution import group_stats
+from benchsieve.functions.durable import settle
 from benchsieve.functions.numbers import round_to
 
 MODEL = ["model_id", "provider"]
 SLICE = ["use_case", "prompt_complexity", "clarity"]
+PROFILE = ["provider", "model_id", "prompt_complexity"]
 METRICS = ["accuracy_score", "cost", "latency_ms"]
 
 SUMMARY = {
@@ -27,7 +29,6 @@ EXTENDED_SUMMARY = {
 }
 
 
-
 def summary_order() -> list[Column]:
     """Best accuracy first, then support, cost and latency; names make it total."""
     return [
@@ -45,7 +46,7 @@ def model_summary(
 ) -> DataFrame:
     """Count, mean and median accuracy, median cost and latency per model and provider."""
     keys = keys or MODEL
-    return group_stats(value_counts(bench, keys, METRICS), keys, SUMMARY).where(
+    return group_stats(_slim(bench, keys), keys, SUMMARY).where(
         F.col("sample_count") >= min_samples
     )
 
@@ -53,15 +54,16 @@ def model_summary(
 def extended_summary(bench: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The summary with mean cost and latency; a null provider is a group of its own."""
     keys = keys or MODEL
-    return group_stats(value_counts(bench, keys, METRICS), keys, EXTENDED_SUMMARY)
+    return group_stats(_slim(bench, keys), keys, EXTENDED_SUMMARY)
 
 
-def _each_tier(counts: DataFrame) -> DataFrame:
-    """Value counts of the three slice tiers, from the counts of the narrowest one.
+def _slim(bench: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys and metrics of clean rows, written once since the summary reads them twice."""
+    return settle(bench.select(*keys, *METRICS))
 
-    The rows were counted before, so three copies are made of the counts and not
-    of the benchmark rows.
-    """
+
+def _each_tier(rows: DataFrame) -> DataFrame:
+    """Rows once for each of the three slice tiers; they are reduced before any shuffle."""
     complexity, clarity = F.col("prompt_complexity"), F.col("clarity")
     every = F.lit(policy.ANY)
 
@@ -73,12 +75,8 @@ def _each_tier(counts: DataFrame) -> DataFrame:
         )
 
     tiers = F.array(tier(0, complexity, clarity), tier(1, complexity, every), tier(2, every, every))
-    rest = [c for c in counts.columns if c not in ("prompt_complexity", "clarity", "n")]
-    return (
-        counts.select(*rest, "n", F.inline(tiers))
-        .groupBy(*rest, "tier", "slice_complexity", "slice_clarity")
-        .agg(F.sum("n").alias("n"))
-    )
+    rest = [c for c in rows.columns if c not in ("prompt_complexity", "clarity")]
+    return rows.select(*rest, F.inline(tiers))
 
 
 TIER_SLICE = ["tier", "use_case", "slice_complexity", "slice_clarity"]
@@ -89,8 +87,8 @@ def tier_summary(bench: DataFrame) -> DataFrame:
 
     ``slice_row_count`` also counts the rows of models with little support.
     """
-    counts = _each_tier(value_counts(bench, [*SLICE, *MODEL], METRICS))
-    summary = group_stats(counts, [*TIER_SLICE, *MODEL], SUMMARY)
+    rows = _each_tier(_slim(bench, [*SLICE, *MODEL]))
+    summary = group_stats(rows, [*TIER_SLICE, *MODEL], SUMMARY)
     in_slice = Window.partitionBy(*TIER_SLICE)
     return summary.withColumn("slice_row_count", F.sum("sample_count").over(in_slice))
 
@@ -106,8 +104,8 @@ def tier_summary_by_model_support(bench: DataFrame, min_samples: int) -> DataFra
     Small provider groups of a supported model stay, and the slice counts only
     rows of supported models.
     """
-    counts = _each_tier(value_counts(bench, [*SLICE, *MODEL], METRICS))
-    summary = group_stats(counts, [*TIER_SLICE, *MODEL], EXTENDED_SUMMARY)
+    rows = _each_tier(_slim(bench, [*SLICE, *MODEL]))
+    summary = group_stats(rows, [*TIER_SLICE, *MODEL], EXTENDED_SUMMARY)
     of_model = Window.partitionBy(*TIER_SLICE, "model_id")
     in_slice = Window.partitionBy(*TIER_SLICE)
     return (
@@ -123,34 +121,39 @@ def profiles(rows: DataFrame) -> DataFrame:
 
     Rows without a provider form no profile. One row has deviation 0.
     """
-    known = rows.where(F.col("provider").isNotNull())
-    keys = ["provider", "model_id", "prompt_complexity"]
-    plain = known.groupBy(*keys).agg(
+    known = settle(_profiled(rows))
+    return _detail_profiles(known)
+
+
+def overall_profiles(rows: DataFrame) -> DataFrame:
+    return _overall_profiles(_profiled(rows))
+
+
+def _profiled(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("provider").isNotNull()).select(
+        *PROFILE, "accuracy_score", "cost", "latency_ms", "tokens"
+    )
+
+
+def _detail_profiles(known: DataFrame) -> DataFrame:
+    columns = {
+        "avg_accuracy": ("accuracy_score", "mean"),
+        "avg_cost": ("cost", "mean"),
+        "avg_latency_ms": ("latency_ms", "mean"),
+        "avg_tokens": ("tokens", "mean"),
+        "sample_count": ("accuracy_score", "count"),
+        "median_accuracy": ("accuracy_score", "median"),
+    }
+    spread = F.coalesce(F.stddev_samp("accuracy_score"), F.lit(0.0))
+    return group_stats(known, PROFILE, columns, {"std_accuracy": spread})
+
+
+def _overall_profiles(known: DataFrame) -> DataFrame:
+    return known.groupBy("provider", "model_id").agg(
         F.avg("accuracy_score").alias("avg_accuracy"),
         F.avg("cost").alias("avg_cost"),
         F.avg("latency_ms").alias("avg_latency_ms"),
-        F.avg("tokens").alias("avg_tokens"),
         F.count("accuracy_score").alias("sample_count"),
-        F.coalesce(F.stddev_samp("accuracy_score"), F.lit(0.0)).alias("std_accuracy"),
-    )
-    medians = group_stats(
-        value_counts(known, keys, ["accuracy_score"]),
-        keys,
-        {"median_accuracy": ("accuracy_score", "median")},
-    )
-    return plain.join(medians, keys)
-
-
-def overall_profiles(rows: DataFrame) -> DataFrame:
-    return (
-        rows.where(F.col("provider").isNotNull())
-        .groupBy("provider", "model_id")
-        .agg(
-            F.avg("accuracy_score").alias("avg_accuracy"),
-            F.avg("cost").alias("avg_cost"),
-            F.avg("latency_ms").alias("avg_latency_ms"),
-            F.count("accuracy_score").alias("sample_count"),
-        )
     )
 
 
@@ -176,8 +179,9 @@ def nested_profiles(rows: DataFrame) -> DataFrame:
     and overall numbers from the first. A model has one entry per complexity
     label, so the collected list is short.
     """
-    detail = rounded_profiles(profiles(rows))
-    overall = rounded_profiles(overall_profiles(rows))
+    known = settle(_profiled(rows))
+    detail = rounded_profiles(_detail_profiles(known))
+    overall = rounded_profiles(_overall_profiles(known))
     numbers = [
         "avg_accuracy",
         "avg_cost",
@@ -219,9 +223,10 @@ def top_by_complexity(profile_rows: DataFrame, n: int = 5) -> DataFrame:
 
 def options_catalog(bench: DataFrame, min_samples: int = policy.Policy.min_samples) -> DataFrame:
     """Rounded summary over all use cases, with the use cases each model id was run for."""
-    summary = model_summary(bench, min_samples)
+    rows = _slim(bench, [*MODEL, "use_case"])
+    summary = group_stats(rows, MODEL, SUMMARY).where(F.col("sample_count") >= min_samples)
     used = (
-        bench.select("model_id", "use_case")
+        rows.select("model_id", "use_case")
         .distinct()
         .groupBy("model_id")
         .agg(F.sort_array(F.collect_list("use_case")).alias("use_cases"))

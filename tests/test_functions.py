@@ -79,19 +79,32 @@ def sample_groups():
     return groups, [(m, p, v) for (m, p), values in groups.items() for v in values]
 
 
-@pytest.mark.parametrize("few_values", [1_000_000, 20])
-def test_group_stats_are_exact_with_and_without_bins(spark, few_values):
+def test_group_stats_are_exact(spark):
     groups, rows = sample_groups()
     df = spark.createDataFrame(rows, "m string, p string, v double").repartition(7)
-    counts = distribution.value_counts(df, ["m", "p"], ["v"])
     columns = {"n": ("v", "count"), "mean": ("v", "mean"), "median": ("v", "median")}
-    stats = distribution.group_stats(counts, ["m", "p"], columns, few_values).collect()
+    stats = distribution.group_stats(df, ["m", "p"], columns, {"top": F.max("v")}).collect()
     assert len(stats) == len(groups)
     for row in stats:
         values = groups[(row.m, row.p)]
         assert row.n == len(values)
         assert row.median == statistics.median(values)
         assert row.mean == pytest.approx(statistics.fmean(values))
+        assert row.top == max(values)
+
+
+def test_a_hot_group_has_an_exact_median_over_many_partitions(spark):
+    rng = random.Random(5)
+    values = [rng.gauss(0, 1) for _ in range(40_001)]
+    rows = [("hot", v, None) for v in values] + [("b", 1.0, 2.0), ("b", None, 4.0), (None, 3.0, None)]
+    df = spark.createDataFrame(rows, "g string, v double, w double").repartition(6)
+    columns = {"n": ("v", "count"), "v": ("v", "median"), "w": ("w", "median"), "wn": ("w", "count")}
+    got = {r.g: r for r in distribution.group_stats(df, ["g"], columns).collect()}
+    assert (got["hot"].n, got["hot"].v) == (40_001, statistics.median(values))
+    assert (got["hot"].w, got["hot"].wn) == (None, 0)
+    assert (got["b"].n, got["b"].v, got["b"].w) == (1, 1.0, 3.0)
+    assert (got[None].n, got[None].v) == (1, 3.0)
+    assert distribution.group_stats(df.limit(0), ["g"], columns).collect() == []
 
 
 def test_number_rows_is_exact_for_hot_groups_and_globally(spark):
