@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,16 +26,18 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, schema: StructType | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it from there.
 
+    ``schema`` reads it with other types of the same stored form.
+
     This cuts lineage, survives the loss of executors, and gives the planner the
     real size. Tables stay until ``release`` or the owner of the folder removes them.
     """
     spark = df.sparkSession
     path = new_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:

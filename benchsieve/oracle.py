@@ -509,6 +509,19 @@ FROM (SELECT m.provider, count(*) AS row_count FROM response_parts r
     "catalog_by_use_case": """
 SELECT s.model_id, s.provider, s.sample_count FROM (SELECT model_id, provider, count(*) AS sample_count FROM bench GROUP BY ALL HAVING count(*) >= 5) s
 WHERE s.model_id IN (SELECT model_id FROM bench WHERE use_case = 'reasoning')""",
+    "benchmark_written": "SELECT * FROM bench",
+    "logs_written": f"""
+SELECT prompt, lower({strip('use_case')}) AS use_case, upper({strip('clarity')}) AS clarity FROM prompt_logs
+WHERE prompt IS NOT NULL AND use_case IS NOT NULL AND clarity IS NOT NULL""",
+    "chunks_written": """
+SELECT chunk, concat(' ', text, chr(10), '"') AS prompt, CASE lang WHEN 'en' THEN 'CLEAR' ELSE 'PARTIAL' END AS clarity FROM doc_chunks""",
+    "profiles_written": "SELECT * FROM profiles_flat",
+    "relabelled_written": f"""
+SELECT prompt, use_case, {COMPLEXITY} AS prompt_complexity, {CLARITY} AS clarity, 'mid' AS old_prompt_complexity,
+  concat('words and markers: ', {COMPLEXITY}) AS complexity_reason, 'rules:1' AS label_source FROM prompts""",
+    "prompt_csv": """
+SELECT CAST(doc_id AS VARCHAR) AS id, concat(' ', text, chr(13), chr(10), '"') AS prompt, CASE lang WHEN 'en' THEN 'clear' ELSE 'partial' END AS clarity,
+  CASE WHEN doc_id % 2 <> 0 THEN source END AS source FROM documents""",
     "tfidf_vocabulary": "SELECT term, doc_freq, term_freq, round(idf, 9) AS idf, term_index FROM vocab",
     "tfidf_weights": """
 SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS weight

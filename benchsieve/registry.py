@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchsieve.functions.durable import settle, shared_folder
+from benchsieve.functions.durable import new_folder, settle, shared_folder
 from benchsieve.functions.numbering import number_rows
 from benchsieve.functions.numbers import round_to
 from benchsieve.functions.text import normalise_prompt
@@ -17,14 +17,14 @@ from benchsieve.operators.aggregate import TIER_SLICE
 from benchsieve.plans import profiles as profile_plans
 from benchsieve.plans.recommend import recommend
 from benchsieve.policy import Policy
-from benchsieve.sources import readers
+from benchsieve.sources import readers, writers
 from benchsieve.sources.adapters import table, view, view_sql, with_raw_body
 from benchsieve.sources.readers import combine_phases
 from benchsieve.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-# The size of the classifier that the queries fit; tables of terms are whole.
+# The number of terms of the classifier that is matched; tables of terms are whole.
 CLASSIFIER_FEATURES = 5000
 
 
@@ -656,6 +656,75 @@ def catalog_by_use_case(spark, sf):
     return clean.filter_catalog(options, "reasoning").select("model_id", "provider", "sample_count")
 
 
+# Sinks, each written to the shared folder and read back
+
+
+@query
+def benchmark_written(spark, sf):
+    path = new_folder(spark)
+    writers.append_benchmark(bench(spark, sf).select(*BENCH), path)
+    return spark.read.parquet(path).select(*BENCH)
+
+
+@query
+def logs_written(spark, sf):
+    path = new_folder(spark)
+    writers.append_prompt_logs(clean.clean_prompt_logs(logs(spark, sf)), path)
+    return spark.read.parquet(path)
+
+
+@query
+def chunks_written(spark, sf):
+    docs = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("prompt_id"),
+        F.concat(F.lit(" "), "text", F.lit('\n"')).alias("prompt"),
+        F.when(F.col("lang") == "en", "CLEAR").otherwise("PARTIAL").alias("clarity"),
+    )
+    path = new_folder(spark)
+    writers.write_chunks(labels.fixed_chunks(docs, ["prompt_id"], 5), path)
+    return readers.read_chunks(spark, path)
+
+
+@query
+def profiles_written(spark, sf):
+    path = new_folder(spark)
+    writers.write_profiles(aggregate.nested_profiles(profile_rows(spark, sf)), path)
+    return profile_plans.flatten_profiles(readers.read_profiles(spark, path))
+
+
+@query
+def relabelled_written(spark, sf):
+    asked = signals.with_heuristics(prompts(spark, sf))
+    path = new_folder(spark)
+    rows = asked.select(
+        "prompt",
+        "use_case",
+        F.col("heuristic_complexity").alias("prompt_complexity"),
+        F.col("heuristic_clarity").alias("clarity"),
+        F.lit("mid").alias("old_prompt_complexity"),
+        F.concat(F.lit("words and markers: "), "heuristic_complexity").alias("complexity_reason"),
+    )
+    writers.append_relabelled(rows, path, "rules:1")
+    return spark.read.parquet(path)
+
+
+@query
+def prompt_csv(spark, sf):
+    """Prompt files of two column orders, one with a column more, read by their headers."""
+    rows = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("id"),
+        F.concat(F.lit(" "), "text", F.lit('\r\n"')).alias("prompt"),
+        F.when(F.col("lang") == "en", "clear").otherwise("partial").alias("clarity"),
+        "source",
+    )
+    path = new_folder(spark)
+    is_even = F.col("id").cast("bigint") % 2 == 0
+    writers.write_prompts(rows.where(is_even), f"{path}/a", ["id", "prompt", "clarity"])
+    writers.write_prompts(rows.where(~is_even), f"{path}/b", ["clarity", "source", "prompt", "id"])
+    read = readers.read_prompt_files(spark, [f"{path}/a/*.csv", f"{path}/b/*.csv"])
+    return read.select("id", "prompt", "clarity", "source")
+
+
 # Classification
 
 
@@ -730,7 +799,9 @@ def stratified_split(spark, sf):
 @query
 def classifier_scores(spark, sf):
     docs = _documents(spark, sf)
-    model = classify.train(docs, max_features=CLASSIFIER_FEATURES)
+    path = new_folder(spark)
+    classify.train(docs, max_features=CLASSIFIER_FEATURES).save(path)
+    model = classify.TextClassifier.load(spark, path)
     return model.score(docs).select("doc_id", "label", "predicted", "confidence")
 
 

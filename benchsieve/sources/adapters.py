@@ -108,17 +108,21 @@ SELECT event_id, ts, concat('job-', CAST(user_id AS STRING)) AS job_id,
   CAST(event_id % 7 + 1 AS BIGINT) AS chunk_index,
   CAST(event_id % 50 AS BIGINT) AS processed_prompts
 FROM {events}""",
-    # Assistant turns as model responses; the prompt is the turn before.
+    # Assistant turns as model responses; the prompt is the turn before. Empty responses are added.
     "response_parts": f"""
-SELECT a.conv_id * 1000 + a.turn AS resp_id, a.conv_id AS prompt_id, a.conv_id, a.turn,
-  {_choose('(a.conv_id + a.turn)', tuple(m[0] for m in policy.MODELS), 'unlisted-model')} AS short_id,
-  {_choose('(a.conv_id + a.turn)', tuple(m[2] for m in policy.MODELS), 'messages')} AS fmt,
-  coalesce(u.text, '') AS prompt,
-  CASE WHEN a.conv_id % 13 = 0 THEN '' ELSE a.text END AS response,
-  CAST(100 + a.turn * 37 AS BIGINT) AS latency_ms
-FROM {{conversations}} a
-LEFT JOIN {{conversations}} u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 AND u.role = 'user'
-WHERE a.role = 'assistant'""",
+SELECT resp_id, conv_id AS prompt_id, conv_id, turn,
+  {_choose('(conv_id + turn)', tuple(m[0] for m in policy.MODELS), 'unlisted-model')} AS short_id,
+  {_choose('(conv_id + turn)', tuple(m[2] for m in policy.MODELS), 'messages')} AS fmt,
+  prompt, response, CAST(100 + turn * 37 AS BIGINT) AS latency_ms
+FROM (
+  SELECT (a.conv_id * 1000 + a.turn) * 2 AS resp_id, a.conv_id, a.turn, coalesce(u.text, '') AS prompt, a.text AS response
+  FROM {{conversations}} a
+  LEFT JOIN {{conversations}} u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 AND u.role = 'user'
+  WHERE a.role = 'assistant'
+  UNION ALL
+  SELECT (conv_id * 1000 + turn) * 2 + 1 AS resp_id, conv_id, turn, '' AS prompt, '' AS response
+  FROM {{conversations}} WHERE role = 'assistant' AND conv_id % 13 = 0
+) q""",
     "judge_outputs": r"""
 SELECT batch_id, model_a, model_b,
  CASE batch_id % 7
@@ -141,13 +145,16 @@ WHERE d.source <> 'src7'""",
     # Prompts whose documents have a label are done.
     "labelled": r"""
 SELECT DISTINCT p.prompt, p.use_case FROM {prompts} p JOIN {labels} l ON p.prompt_id = l.doc_id * 2""",
-    # One prompt file per source; short junk texts stand for blanks and missing values.
+    # One prompt file per source and language, with all texts; blank and missing prompts are added.
     "prompt_files": r"""
-SELECT concat(d.source, '-', d.lang, '.csv') AS file_name, d.doc_id AS row_pos,
-  CASE WHEN d.n_chars < 40 THEN '  ' WHEN d.n_chars < 80 THEN NULL ELSE concat('  ', d.text, ' ') END AS prompt,
+SELECT concat(d.source, '-', d.lang, '.csv') AS file_name, d.doc_id * 2 AS row_pos, concat('  ', d.text, ' ') AS prompt,
   CASE WHEN l.toxic = 1 AND l.quality = 0 THEN 'unknown' WHEN l.quality = 1 THEN 'clear'
        WHEN l.quality = 0 THEN ' Partial ' ELSE 'UNCLEAR' END AS clarity
-FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
+FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id
+UNION ALL
+SELECT concat(source, '-', lang, '.csv') AS file_name, doc_id * 2 + 1 AS row_pos,
+  CASE WHEN doc_id % 2 = 0 THEN '  ' ELSE NULL END AS prompt, 'unknown' AS clarity
+FROM {documents} WHERE n_chars < 80""",
 }
 VIEWS["judge_outputs"] = VIEWS["judge_outputs"].replace("{left}", "{{").replace("{right}", "}}")
 

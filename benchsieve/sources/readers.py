@@ -244,6 +244,11 @@ def ingest_clarity_input(rows: DataFrame) -> DataFrame:
     )
 
 
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Exported chunks as (chunk, prompt, clarity)."""
+    return _quoted_csv(spark, "chunk bigint, prompt string, clarity string").csv(path)
+
+
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.PROFILE).json(path)
 

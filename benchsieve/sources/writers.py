@@ -6,6 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BENCHMARK_PARTITIONS = ("use_case", "prompt_complexity")
+# Quotes are doubled and outer white space stays, so that texts come back unchanged.
+CSV = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 def append_benchmark(rows: DataFrame, path: str) -> None:
@@ -27,16 +35,22 @@ def append_prompt_logs(rows: DataFrame, path: str) -> None:
     rows.select("prompt", "use_case", "clarity").write.mode("append").parquet(path)
 
 
-def write_chunks(chunked: DataFrame, path: str) -> None:
-    """Export (prompt, clarity) as CSV, one folder ``chunk=N`` per chunk."""
-    (
-        chunked.select("chunk", "prompt", "clarity")
-        .repartition("chunk")
-        .write.mode("overwrite")
-        .options(header=True, quote='"', escape='"')
-        .partitionBy("chunk")
-        .csv(path)
-    )
+def write_chunks(chunked: DataFrame, path: str, folder_per_chunk: bool = False) -> None:
+    """Export (chunk, prompt, clarity) as CSV, the chunks in order and many to a file.
+
+    With ``folder_per_chunk`` each chunk has a folder ``chunk=N`` and no chunk column.
+    """
+    rows = chunked.select("chunk", "prompt", "clarity")
+    if folder_per_chunk:
+        writer = rows.repartition("chunk").write.partitionBy("chunk")
+    else:
+        writer = rows.repartitionByRange("chunk").sortWithinPartitions("chunk").write
+    writer.mode("overwrite").options(**CSV).csv(path)
+
+
+def write_prompts(rows: DataFrame, path: str, columns: list[str]) -> None:
+    """Prompt files as CSV with the columns in the given order."""
+    rows.select(*columns).write.mode("overwrite").options(**CSV).csv(path)
 
 
 def write_profiles(profiles: DataFrame, path: str) -> None:

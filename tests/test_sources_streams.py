@@ -58,7 +58,9 @@ def test_sinks_round_trip(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(prompt_complexity" in scan._jdf.queryExecution().toString()
 
     chunked = spark.createDataFrame([(1, "a\nb", "CLEAR"), (2, 'q"', "PARTIAL")], "chunk int, prompt string, clarity string")
-    writers.write_chunks(chunked, str(tmp_path / "chunks"))
+    writers.write_chunks(chunked, str(tmp_path / "few"))
+    assert {(r.chunk, r.prompt) for r in readers.read_chunks(spark, str(tmp_path / "few")).collect()} == {(1, "a\nb"), (2, 'q"')}
+    writers.write_chunks(chunked, str(tmp_path / "chunks"), folder_per_chunk=True)
     back = spark.read.options(header=True, multiLine=True, escape='"').csv(str(tmp_path / "chunks"))
     assert {(r.chunk, r.prompt) for r in back.collect()} == {(1, "a\nb"), (2, 'q"')}
 
