@@ -19,6 +19,7 @@ from benchsieve.llm import (
     op8_warc,
     op9_fingerprints,
     op10_packing,
+    words,
 )
 
 TOXIC_FROM = 0.3
@@ -31,6 +32,7 @@ RULES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    words.bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

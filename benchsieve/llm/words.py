@@ -15,15 +15,30 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import SparkSession
 
 SHINGLE_WORDS = 5
 #: Texts are worked on in slices of about so many bytes; one longer text is one slice.
 SLICE_BYTES = 3 << 20
+#: Texts go from executors to their Python workers in batches of about so many bytes.
+BATCH_BYTES = 4 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FINISH = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let the session move rows to Python in batches of at most ``BATCH_BYTES``.
+
+    The default bounds rows (10,000) and bytes (64 MB), which executor and worker both
+    hold once or twice per task. A lower bound given in plain bytes stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    bound = spark.conf.get(key).lower().removesuffix("b")
+    if not bound.isdecimal() or int(bound) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def slices(
     batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from benchsieve.functions.durable import settle
-from benchsieve.llm import op1_langid, op2_mixing, op5_near_dedup, op7_toxicity, op10_packing
+from benchsieve.llm import op1_langid, op2_mixing, op5_near_dedup, op7_toxicity, op10_packing, words
 from benchsieve.llm.queries import TOXIC_FROM, language_model, table, tokenizer_path, toxicity_model
 
 #: Share of belief that a document's likeliest language needs.
@@ -21,17 +21,20 @@ NEAR = op5_near_dedup.NearDedup(percent=80, rows=7, bands=48)
 
 def keep_clear_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a clear language; those without letters or with a mixture go."""
+    words.bounded_batches(spark)
     return op1_langid.keep_known(docs, language_model(docs), CLEAR_LANGUAGE)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learned on them and their labels, does not reject."""
+    words.bounded_batches(spark)
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
     return op7_toxicity.keep_clean(docs, model, TOXIC_FROM)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near duplicates."""
+    words.bounded_batches(spark)
     found = op5_near_dedup.near_duplicates(docs, NEAR)
     dropped = found.where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
@@ -44,6 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the documents with their places in packed sequences."""
+    words.bounded_batches(spark)
     return op10_packing.pack_documents(docs, tokenizer_path())
 
 
