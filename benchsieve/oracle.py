@@ -546,12 +546,25 @@ FROM job_events GROUP BY job_id""",
     "job_failures": "SELECT event_id, job_id, model_id, prompt_index FROM job_events WHERE type = 'model_failed'",
     "file_lifecycle": """
 SELECT job_id, file_index, CASE last(type ORDER BY ts, event_id) WHEN 'file_started' THEN 'processing' WHEN 'file_done' THEN 'completed' ELSE 'waiting' END AS status,
-  last(processed_prompts ORDER BY ts, event_id) AS processed_prompts
+  last(processed_prompts ORDER BY ts, event_id) AS processed_prompts, last(total ORDER BY ts, event_id) AS total,
+  last(delay_ms ORDER BY ts, event_id) AS delay_ms, last(next_file_index ORDER BY ts, event_id) AS next_file_index,
+  last(file_name ORDER BY ts, event_id) FILTER (file_name IS NOT NULL) AS file_name,
+  last(total_files ORDER BY ts, event_id) FILTER (total_files IS NOT NULL) AS total_files
 FROM job_events WHERE type IN ('file_started', 'file_done', 'file_delay') GROUP BY job_id, file_index""",
     "chunk_lifecycle": """
 SELECT job_id, chunk_index, CASE last(type ORDER BY ts, event_id) WHEN 'chunk_ready' THEN 'ready' WHEN 'chunk_forwarding' THEN 'forwarding'
-    WHEN 'chunk_forwarded' THEN 'forwarded' ELSE 'failed' END AS status, count(*) FILTER (type = 'chunk_ready') AS ready_count
+    WHEN 'chunk_forwarded' THEN 'forwarded' ELSE 'failed' END AS status, count(*) FILTER (type = 'chunk_ready') AS ready_count,
+  last(file_name ORDER BY ts, event_id) FILTER (file_name IS NOT NULL) AS file_name,
+  last(chunk_size ORDER BY ts, event_id) FILTER (chunk_size IS NOT NULL) AS chunk_size,
+  last(forward_status ORDER BY ts, event_id) FILTER (forward_status IS NOT NULL) AS forward_status,
+  last(training_job_id ORDER BY ts, event_id) FILTER (training_job_id IS NOT NULL) AS training_job_id,
+  last(message ORDER BY ts, event_id) FILTER (message IS NOT NULL) AS message
 FROM job_events WHERE type LIKE 'chunk%' GROUP BY job_id, chunk_index""",
+    "job_starts": """
+SELECT job_id, first(total ORDER BY ts, event_id) AS total, first(total_chunks ORDER BY ts, event_id) AS total_chunks,
+  first(auto_forward ORDER BY ts, event_id) AS auto_forward, first(prompt_complexity ORDER BY ts, event_id) AS prompt_complexity,
+  first(use_case ORDER BY ts, event_id) AS use_case
+FROM job_events WHERE type = 'started' GROUP BY job_id""",
     "events_until_end": """
 SELECT e.event_id, e.job_id, e.type FROM job_events e
 LEFT JOIN (SELECT job_id, first(ts ORDER BY ts, event_id) AS end_ts, first(event_id ORDER BY ts, event_id) AS end_id

@@ -849,6 +849,11 @@ def job_failures(spark, sf):
     return _streamed(spark, sf, pick, ["event_id"], "append")
 
 
+@query
+def job_starts(spark, sf):
+    return _streamed(spark, sf, jobs.job_starts, ["job_id"])
+
+
 @query
 def file_lifecycle(spark, sf):
     return _streamed(spark, sf, jobs.file_lifecycle, ["job_id", "file_index"])

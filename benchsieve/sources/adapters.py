@@ -92,13 +92,26 @@ SELECT concat('  ', translate(p.prompt, 'abcde', 'ABCDE'), ' ') AS prompt, p.use
   CASE (c.conv_id + c.turn) % 4 WHEN 0 THEN 'clear' WHEN 1 THEN 'PARTIAL' WHEN 2 THEN 'UNCLEAR' ELSE 'bogus' END AS clarity
 FROM {prompts} p JOIN {conversations} c ON p.prompt_id = (c.conv_id * 1000 + c.turn) * 2 + 1""",
     "job_events": r"""
-SELECT event_id, ts, concat('job-', CAST(user_id AS STRING)) AS job_id,
+SELECT j.*,
+  CASE WHEN type IN ('file_started', 'file_done') OR type LIKE 'chunk%' THEN concat('part-', CAST(file_index AS STRING), '.csv') END AS file_name,
+  CASE WHEN type IN ('file_started', 'file_done') THEN CAST(4 AS BIGINT) END AS total_files,
+  CASE WHEN type = 'file_delay' THEN event_id % 2000 END AS delay_ms,
+  CASE WHEN type = 'file_delay' THEN file_index + 1 END AS next_file_index,
+  CASE WHEN type = 'chunk_ready' THEN event_id % 25 + 1 END AS chunk_size,
+  CASE type WHEN 'chunk_ready' THEN CASE WHEN event_id % 8 = 0 THEN 'manual_only' ELSE 'pending' END
+       WHEN 'chunk_forwarded' THEN 'forwarded' WHEN 'chunk_forward_failed' THEN 'failed' END AS forward_status,
+  CASE WHEN type = 'chunk_forwarded' THEN concat('run-', CAST(event_id AS STRING)) END AS training_job_id,
+  CASE WHEN type IN ('chunk_forward_failed', 'error') THEN concat('failed at ', CAST(event_id AS STRING)) END AS message,
+  CASE WHEN type = 'started' THEN event_id % 9 + 1 END AS total_chunks,
+  CASE WHEN type = 'started' THEN event_id % 2 = 0 END AS auto_forward,
+  CASE WHEN type = 'started' THEN 'reasoning' END AS use_case
+FROM (SELECT event_id, ts, concat('job-', CAST(user_id AS STRING)) AS job_id,
   CASE WHEN event_type = 'view' AND value > 150 THEN 'done'
        WHEN event_type = 'click' AND value > 200 THEN 'error'
        WHEN event_type = 'error' THEN 'model_failed'
        WHEN event_type = 'signup' THEN CASE event_id % 3 WHEN 0 THEN 'file_started' WHEN 1 THEN 'file_done' ELSE 'file_delay' END
-       WHEN event_type = 'purchase' THEN CASE event_id % 4 WHEN 0 THEN 'chunk_ready' WHEN 1 THEN 'chunk_forwarding'
-            WHEN 2 THEN 'chunk_forwarded' ELSE 'chunk_forward_failed' END
+       WHEN event_type = 'purchase' THEN CASE event_id % 5 WHEN 0 THEN 'chunk_ready' WHEN 1 THEN 'chunk_forwarding'
+            WHEN 2 THEN 'chunk_forwarded' WHEN 3 THEN 'chunk_forward_failed' ELSE 'started' END
        ELSE 'progress' END AS type,
   CAST(event_id % 50 + 1 AS BIGINT) AS prompt_index, CAST(50 AS BIGINT) AS total,
   concat('m', CAST(event_id % 26 AS STRING)) AS model_id,
@@ -107,7 +120,7 @@ SELECT event_id, ts, concat('job-', CAST(user_id AS STRING)) AS job_id,
   CAST(event_id % 4 + 1 AS BIGINT) AS file_index,
   CAST(event_id % 7 + 1 AS BIGINT) AS chunk_index,
   CAST(event_id % 50 AS BIGINT) AS processed_prompts
-FROM {events}""",
+FROM {events}) j""",
     # Assistant turns as model responses; the prompt is the turn before. Empty responses are added.
     "response_parts": f"""
 SELECT resp_id, conv_id AS prompt_id, conv_id, turn,

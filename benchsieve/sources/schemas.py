@@ -73,5 +73,12 @@ JOB_EVENT = T.StructType(
         T.StructField("processed_prompts", T.LongType()),
         T.StructField("forward_status", T.StringType()),
         T.StructField("message", T.StringType()),
+        T.StructField("delay_ms", T.LongType()),
+        T.StructField("next_file_index", T.LongType()),
+        T.StructField("chunk_size", T.LongType()),
+        T.StructField("training_job_id", T.StringType()),
+        T.StructField("total_chunks", T.LongType()),
+        T.StructField("auto_forward", T.BooleanType()),
+        T.StructField("use_case", T.StringType()),
     ]
 )

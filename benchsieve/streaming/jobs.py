@@ -77,28 +77,54 @@ def _status(mapping: dict[str, str]) -> Column:
     return text
 
 
+def _last_given(*columns: str) -> list[Column]:
+    """The newest value of each column, passing over events that lack it."""
+    return [
+        F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("ts", "event_id"))).alias(c)
+        for c in columns
+    ]
+
+
+def job_starts(events: DataFrame) -> DataFrame:
+    """What the first ``started`` event of each job announces."""
+    announced = ("total", "total_chunks", "auto_forward", "prompt_complexity", "use_case")
+    order = F.struct("ts", "event_id")
+    return (
+        events.where(F.col("type") == "started")
+        .groupBy("job_id")
+        .agg(*[F.min_by(c, order).alias(c) for c in announced])
+    )
+
+
 def file_lifecycle(events: DataFrame) -> DataFrame:
-    """Latest status and processed prompts per file of a job."""
+    """Latest status per file of a job, with its name and how far the job is.
+
+    A delay and the file after it are shown only while the file's latest event is the delay.
+    """
     order = F.struct("ts", "event_id")
+    latest = ("processed_prompts", "total", "delay_ms", "next_file_index")
     return (
         events.where(F.col("type").isin(*FILE_STATUS))
         .groupBy("job_id", "file_index")
         .agg(
             F.max_by(_status(FILE_STATUS), order).alias("status"),
-            F.max_by("processed_prompts", order).alias("processed_prompts"),
+            *[F.max_by(c, order).alias(c) for c in latest],
+            *_last_given("file_name", "total_files"),
         )
     )
 
 
 def chunk_lifecycle(events: DataFrame) -> DataFrame:
-    """Latest status per chunk of a job."""
+    """Latest status per chunk of a job, with what its events have said so far."""
     order = F.struct("ts", "event_id")
+    told = ("file_name", "chunk_size", "forward_status", "training_job_id", "message")
     return (
         events.where(F.col("type").isin(*CHUNK_STATUS))
         .groupBy("job_id", "chunk_index")
         .agg(
             F.max_by(_status(CHUNK_STATUS), order).alias("status"),
             F.count_if(F.col("type") == "chunk_ready").alias("ready_count"),
+            *_last_given(*told),
         )
     )
 

@@ -115,6 +115,7 @@ def event_files(tmp_path):
     [
         (jobs.job_progress, ["job_id"]),
         (jobs.job_status, ["job_id"]),
+        (jobs.job_starts, ["job_id"]),
         (jobs.file_lifecycle, ["job_id", "file_index"]),
         (jobs.chunk_lifecycle, ["job_id", "chunk_index"]),
     ],
@@ -138,6 +139,28 @@ def test_event_roll_ups(spark, event_files):
     assert [r.model_id for r in jobs.failures(table).collect()] == ["m"]
 
 
+def test_lifecycles_keep_what_events_tell(spark):
+    told = [
+        {"type": "started", "total": 9, "total_chunks": 2, "auto_forward": True, "use_case": "code"},
+        {"type": "file_started", "file_index": 1, "file_name": "a.csv", "total_files": 2, "total": 9},
+        {"type": "file_delay", "file_index": 1, "next_file_index": 2, "delay_ms": 500, "total": 9},
+        {"type": "chunk_ready", "chunk_index": 1, "file_name": "c.csv", "chunk_size": 5, "forward_status": "pending"},
+        {"type": "chunk_forwarding", "chunk_index": 1, "file_name": "c.csv"},
+        {"type": "chunk_forward_failed", "chunk_index": 2, "forward_status": "failed", "message": "no reply"},
+        {"type": "started", "total": 8},
+    ]
+    fields = schemas.JOB_EVENT.fieldNames()
+    rows = [{"job_id": "a", "event_id": i, "ts": datetime(2025, 1, 1)} | e for i, e in enumerate(told)]
+    events = spark.createDataFrame([tuple(r.get(f) for f in fields) for r in rows], schemas.JOB_EVENT)
+    assert [tuple(r) for r in jobs.job_starts(events).collect()] == [("a", 9, 2, True, None, "code")]
+    assert [tuple(r) for r in jobs.file_lifecycle(events).collect()] == [("a", 1, "waiting", None, 9, 500, 2, "a.csv", 2)]
+    chunks = {r.chunk_index: tuple(r)[2:] for r in jobs.chunk_lifecycle(events).collect()}
+    assert chunks == {
+        1: ("forwarding", 1, "c.csv", 5, "pending", None, None),
+        2: ("failed", 0, None, None, "failed", None, "no reply"),
+    }
+
+
 def test_repeated_events_are_dropped(spark, event_files, tmp_path):
     with open(f"{event_files}/again.json", "w") as file:
         file.write("\n".join(json.dumps(e) for e in EVENTS[:4]))
