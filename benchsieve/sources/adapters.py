@@ -149,12 +149,11 @@ SELECT batch_id, model_a, model_b,
 FROM (SELECT conv_id AS batch_id, concat('m', CAST(conv_id % 26 AS STRING)) AS model_a,
         concat('m', CAST((conv_id + 7) % 26 AS STRING)) AS model_b, CAST(50 + conv_id % 50 AS STRING) AS s
       FROM {conversations} GROUP BY conv_id) q""",
-    # Labels that came back for the documents; one source returned none.
+    # Labels that came back for the documents; short ones and one source under unknown ids.
     "label_returns": r"""
-SELECT CASE WHEN d.n_chars < 60 THEN d.doc_id + 100000000 ELSE d.doc_id END AS prompt_id, d.doc_id AS sent_id,
+SELECT CASE WHEN d.n_chars < 60 OR d.source = 'src7' THEN d.doc_id + 100000000 ELSE d.doc_id END AS prompt_id, d.doc_id AS sent_id,
   CASE WHEN l.toxic = 1 THEN 'maybe' WHEN l.quality = 1 THEN 'clear' WHEN l.quality = 0 THEN 'UNCLEAR' ELSE 'PARTIAL' END AS clarity
-FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id
-WHERE d.source <> 'src7'""",
+FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
     # Prompts whose documents have a label are done.
     "labelled": r"""
 SELECT DISTINCT p.prompt, p.use_case FROM {prompts} p JOIN {labels} l ON p.prompt_id = l.doc_id * 2""",
