@@ -2,7 +2,9 @@
 
 Words may be disguised by digits and signs for letters, by letters set apart, and by repeated
 letters. Such a word opens a lattice of the characters it may stand for; a Viterbi search
-under a character trigram model, with costs for each disguise, restores the likeliest text.
+under a character trigram model, with costs for each disguise, restores the likeliest text,
+whatever its length. Words wholly of digits and signs are restored too if each of them may stand
+for a letter; of those only whole words count and no beginnings, so plain numbers stay clean.
 The trigrams come from all documents and so grow with the corpus up to the number of
 different trigrams of Latin letters.
 
@@ -19,9 +21,10 @@ texts are read whole. Other columns, whatever their names, are not read.
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -49,6 +52,9 @@ BEGINNINGS = (3, 4, 5, 6)
 #: least log likelihood ratio, which chance hardly reaches among millions of features.
 PRIOR_ROWS, LEAST_ODDS, LEAST_RATIO = 5.0, 2.5, 13.0
 MOST_EVIDENCE = 30.0
+#: Characters that a search holds for each state before it puts the common ones aside, and the
+#: longest word whose answer is kept.
+HELD, KEPT = 256, 100
 LATIN_END = 0x250
 
 _EDGE = ".,;:?\"'()[]{}<>…*_-~`«»„“”‚‘’/\\#%&=^"
@@ -103,25 +109,27 @@ class CharacterModel:
         return math.log(p + 0.05 * self.one.get(c, 0.0) + 1e-6)
 
 
-def lattice(text: str) -> list[list[tuple[str, float]]]:
+def lattice(text: str) -> Iterator[list[tuple[str, float]]]:
     """What each run of equal characters may stand for, with its log cost."""
-    steps = []
     for run in _RUN.finditer(text):
         c, n = run.group(1), len(run.group())
         if c.isalpha():
             whole = [(c * min(n, 2), 0.0 if n < 3 else RUN_COST)]
-            steps.append(whole + [(c, RUN_COST if n > 2 else PAIR_COST)] * (n > 1))
+            yield whole + [(c, RUN_COST if n > 2 else PAIR_COST)] * (n > 1)
         elif c in SIGNS:
             letters = [(x * m, SIGN_COST * m) for x in SIGNS[c] for m in range(1, min(n, 2) + 1)]
-            steps.append([*letters, (" ", SPLIT_COST), ("", DROP_COST)])
+            yield [*letters, (" ", SPLIT_COST), ("", DROP_COST)]
         else:
-            steps.append([("", SEPARATOR_COST), (" ", SEPARATOR_COST)])
-    return steps
+            yield [("", SEPARATOR_COST), (" ", SEPARATOR_COST)]
 
 
-def decode(steps: list[list[tuple[str, float]]], model: CharacterModel) -> list[str]:
-    """The likeliest words of a lattice (Viterbi over the last two characters)."""
+def decode(steps: Iterable[list[tuple[str, float]]], model: CharacterModel) -> list[str]:
+    """The likeliest words of a lattice (Viterbi over the last two characters).
+
+    What all states agree on is put aside, so time and memory are linear in the length.
+    """
     best = {"  ": (0.0, "")}
+    done, bound = [], HELD
     for options in steps:
         after: dict[str, tuple[float, str]] = {}
         for state, (score, text) in best.items():
@@ -135,8 +143,18 @@ def decode(steps: list[list[tuple[str, float]]], model: CharacterModel) -> list[
                 if s not in after or total > after[s][0]:
                     after[s] = (total, text + out)
         best = after
+        if max(len(t) for _, t in best.values()) > bound:
+            shared = os.path.commonprefix([t for _, t in best.values()])
+            done.append(shared)
+            best = {s: (score, t[len(shared) :]) for s, (score, t) in best.items()}
+            bound = max(HELD, 2 * max(len(t) for _, t in best.values()))
     ends = ((s + (0.0 if k[1] == " " else model.log(k, " ")), t) for k, (s, t) in best.items())
-    return max(ends)[1].split()
+    return ("".join(done) + max(ends)[1]).split()
+
+
+def may_be_word(core: str) -> bool:
+    """Whether a text without letters may stand for some: all its digits and some signs do."""
+    return any(c in SIGNS for c in core) and all(c in SIGNS or not c.isalnum() for c in core)
 
 
 @dataclass
@@ -150,11 +168,13 @@ class Restorer:
         core = token.lower().strip(_EDGE).rstrip("!|")
         if core.isalpha() and not _THREE.search(core):
             return [core]
-        if not any(map(str.isalpha, core)) or len(core) > 100:
-            return re.findall(r"[^\W\d_]+", core) if len(core) > 100 else []
+        if not any(map(str.isalpha, core)) and not may_be_word(core):
+            return []
         return self.search(core)
 
     def search(self, core: str) -> list[str]:
+        if len(core) > KEPT:
+            return decode(lattice(core), self.model)
         if core not in self.seen:
             if len(self.seen) > 200_000:
                 self.seen.clear()
@@ -191,6 +211,14 @@ def features(word: str) -> list[str]:
     return [f"w{word}", *(f"{n}{word[:n]}" for n in BEGINNINGS if len(word) > n)]
 
 
+def token_features(token: str, restorer: Restorer) -> list[str]:
+    """Features of a token's words; without letters, whole words only."""
+    found = restorer.restore(token)
+    if any(map(str.isalpha, token)):
+        return [f for w in found for f in features(w)]
+    return [f"w{w}" for w in found]
+
+
 def _is_letter(token: str) -> bool:
     core = token.strip(_EDGE)
     return len(core) == 1 and (core.isalpha() or core in SIGNS)
@@ -253,8 +281,12 @@ class ToxicityModel:
             places = at.fill_null(0).to_numpy(zero_copy_only=False)
             best[found] = np.maximum(best[found], odds[places[found]])
         for i in np.flatnonzero(~clear | (best == 0) & self.shortens(plain)):
-            found = restorer.restore(distinct[int(i)].as_py())
-            best[i] = sum(self.word_evidence(w, restorer) for w in found)
+            token = distinct[int(i)].as_py()
+            found = restorer.restore(token)
+            if any(map(str.isalpha, token)):
+                best[i] = sum(self.word_evidence(w, restorer) for w in found)
+            else:
+                best[i] = sum(self.odds.get(f"w{w}", 0.0) for w in found)
         return best
 
     def shortens(self, plain: pa.Array) -> np.ndarray:
@@ -324,7 +356,7 @@ def learn(
                 tokens = words.Tokens(part.column("text"))
                 place: dict[str, int] = defaultdict(lambda: len(place))
                 own = [
-                    [place[f] for w in restorer.restore(v) for f in features(w)]
+                    [place[f] for f in token_features(v, restorer)]
                     for v in tokens.values
                 ]
                 sizes = np.fromiter(map(len, own), np.int64, len(own))

@@ -71,6 +71,47 @@ def test_disguised_words_are_restored(characters):
     assert restorer.restore("") == []
 
 
+def test_long_and_letterless_tokens_are_restored(characters):
+    restorer = op7_toxicity.Restorer(characters)
+    text = ["this", "is", "what", "the", "people", "said", "about", "their", "house"] * 4
+    for joint in "_.-":
+        for token, word in {"m0r0n": "moron", "i.d.i.o.t": "idiot", "p@thetic": "pathetic"}.items():
+            long = joint.join([*text, token, *text])
+            assert len(long) > 100 and word in " ".join(restorer.restore(long))
+    long = "_".join([*text, "m0r0n"] * 1500)
+    assert "".join(restorer.restore(long)).count("moron") == 1500 and not restorer.seen.keys() & {long}
+    assert restorer.restore("7r@$4") != [] and restorer.restore("1-0") != []
+    assert restorer.restore("2024") == restorer.restore("12.5%") == restorer.restore("--") == []
+
+
+def test_a_search_that_puts_text_aside_finds_the_same(characters, monkeypatch):
+    rng = np.random.default_rng(4)
+    tokens = ["".join(rng.choice(list("abet10$@._-"), 90)) for _ in range(40)]
+    found = [op7_toxicity.decode(op7_toxicity.lattice(t), characters) for t in tokens]
+    monkeypatch.setattr(op7_toxicity, "HELD", 3)
+    assert [op7_toxicity.decode(op7_toxicity.lattice(t), characters) for t in tokens] == found
+
+
+def test_toxicity_of_words_in_signs_and_in_long_tokens(spark):
+    _, docs = labelled(spark)
+    model = op7_toxicity.learn(docs, op7_toxicity.character_model(docs))
+    clean = ["cola", "dine", "gate", "bum"] * 20
+    texts = ["_".join([*clean, "l0ser", *clean]), "_".join(clean), "1053", "l0se", "104 15 1 100 10.14"]
+    odd = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+
+    def found():
+        return [r.score >= 0.3 for r in op7_toxicity.score(odd, model).orderBy("doc_id").collect()]
+
+    # A beginning counts for words with letters, whole words for all.
+    model.odds["3los"] = model.odds["wloser"]
+    assert found() == [True, False, False, True, False]
+    model.odds["wlose"] = model.odds["wloser"]
+    assert found() == [True, False, True, True, False]
+    restorer = op7_toxicity.Restorer(model.characters)
+    assert op7_toxicity.token_features("1053", restorer) == ["wlose"]
+    assert op7_toxicity.token_features("l0se", restorer) == ["wlose", "3los"]
+
+
 def labelled(spark, n=600):
     rng = np.random.default_rng(3)
     rows = []
