@@ -5,7 +5,9 @@ of a bounded sample, followed by bits of a hash of the key that spread equal str
 the strings are one sorted array, cut into blocks at quantiles of a bounded sample. A query
 descends to the longest prefix it shares with any string; then it ascends in all trees at the
 same time, one bit by one, until the subtrees hold enough candidates. It so has, in each tree,
-one run of the sorted array, whose vectors are scored exactly.
+one run of the sorted array, whose vectors are scored exactly. The queries that reach a block
+are dealt over chunks by a hash, about ``CHUNK_QUERIES`` at most in each; a block's vectors go to
+each of its chunks, and to none if no query reaches it.
 
 How many candidates are enough is measured: for ``SAMPLE_QUERIES`` queries the true neighbours
 are found among all rows, and the least number of candidates that finds ``RECALL`` of them is
@@ -42,6 +44,8 @@ HASH_BITS = 31
 #: Bits behind a hash that spread equal hashes over blocks.
 SPREAD_BITS = 31
 BLOCK_ROWS = 8192
+#: Queries that meet a block in one group, and copies of rows that a task makes at once.
+CHUNK_QUERIES, COPY_ROWS = 2048, 8192
 LEAF_ROWS = 16
 RECALL = 0.95
 SEED = 3_77
@@ -208,9 +212,9 @@ def search(
     levels = settle(_levels(hashed, counts, depth))
     enough = _enough_candidates(indexed, hashed, levels, depth, k, recall)
     chosen = levels.where(F.col("n") >= enough).groupBy("query").agg(F.max("level").alias("level"))
-    chosen = hashed.join(chosen, "query", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    chosen = hashed.join(settle(chosen), "query", "left").withColumn("level", F.coalesce("level", F.lit(0)))
 
-    scored = _score_blocks(indexed, chosen, _borders(sample, forest, n), k)
+    scored = _score_blocks(*_dealt(indexed, chosen, _borders(sample, forest, n)), k)
     best = Window.partitionBy("query").orderBy(F.desc("score"), "class_id")
     near = (
         scored.dropDuplicates(["query", "class_id"])
@@ -310,48 +314,103 @@ def _borders(sample: pd.DataFrame, forest: Forest, n: int) -> list[np.ndarray]:
     return out
 
 
-def _score_blocks(indexed: DataFrame, chosen: DataFrame, borders: list[np.ndarray], k: int) -> DataFrame:
-    """(query, class_id, score): the best of each query in each block that it reaches."""
+def _copies(times: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each row so often as ``times`` says, as (row, number of the copy) in bounded pieces."""
+    ends = np.cumsum(times)
+    for at in range(0, int(ends[-1]) if len(ends) else 0, COPY_ROWS):
+        place = np.arange(at, min(at + COPY_ROWS, int(ends[-1])))
+        row = np.searchsorted(ends, place, "right")
+        yield row, place - (ends - times)[row]
+
+
+def _runs(
+    frame: pd.DataFrame, borders: list[np.ndarray]
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per tree, the first and last string of each query's run, and its first and last block."""
+    hashes = np.stack(frame["hashes"].to_numpy()) if len(frame) else np.zeros((0, 0), np.int64)
+    drop = (HASH_BITS - frame["level"].to_numpy()).astype(np.int64)
+    for tree in range(hashes.shape[1]):
+        prefix = hashes[:, tree] >> drop
+        first = (prefix << drop) << SPREAD_BITS
+        last = (((prefix + 1) << drop) << SPREAD_BITS) - 1
+        low = np.searchsorted(borders[tree], first, "right")
+        yield tree, first, last, low, np.searchsorted(borders[tree], last, "right")
+
+
+def _chunks(chosen: DataFrame, borders: list[np.ndarray]) -> list[np.ndarray]:
+    """Per tree, into how many chunks the queries of each block are dealt."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for tree, _, _, low, high in _runs(frame, borders):
+                size = len(borders[tree]) + 2
+                n = np.cumsum(np.bincount(low, minlength=size) - np.bincount(high + 1, minlength=size))
+                block = np.flatnonzero(n)
+                yield pd.DataFrame({"tree": tree, "block": block, "n": n[block]})
+
+    counted = chosen.select("hashes", "level").mapInPandas(count, "tree int, block long, n long")
+    out = [np.zeros(len(b) + 1, np.int64) for b in borders]
+    # At most TREES * SAMPLE_ROWS rows.
+    for r in counted.groupBy("tree", "block").agg(F.sum("n").alias("n")).collect():
+        out[r["tree"]][r["block"]] = -(-r["n"] // CHUNK_QUERIES)
+    return out
+
+
+def _dealt(
+    indexed: DataFrame, chosen: DataFrame, borders: list[np.ndarray]
+) -> tuple[DataFrame, DataFrame]:
+    """Points and queries of each (tree, block, chunk); a query is in one chunk of a block."""
+    chunks = _chunks(chosen, borders)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             hashes = np.stack(frame["hashes"].to_numpy()) if len(frame) else np.zeros((0, 0), np.int64)
             for tree in range(hashes.shape[1]):
                 strings = (hashes[:, tree] << SPREAD_BITS) | frame["spread"].to_numpy()
-                yield pd.DataFrame(
-                    {
-                        "tree": tree,
-                        "block": np.searchsorted(borders[tree], strings, "right"),
-                        "string": strings,
-                        "last": np.int64(-1),
-                        "id": frame["class_id"].to_numpy(),
-                        "vector": frame["vector"].to_numpy(),
-                    }
-                )
+                block = np.searchsorted(borders[tree], strings, "right")
+                for row, chunk in _copies(chunks[tree][block]):
+                    yield pd.DataFrame(
+                        {
+                            "tree": tree,
+                            "block": block[row],
+                            "chunk": chunk,
+                            "string": strings[row],
+                            "last": np.int64(-1),
+                            "id": frame["class_id"].to_numpy()[row],
+                            "vector": frame["vector"].to_numpy()[row],
+                        }
+                    )
 
     def reach(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            hashes = np.stack(frame["hashes"].to_numpy()) if len(frame) else np.zeros((0, 0), np.int64)
-            drop = (HASH_BITS - frame["level"].to_numpy()).astype(np.int64)
-            for tree in range(hashes.shape[1]):
-                prefix = hashes[:, tree] >> drop
-                first = (prefix << drop) << SPREAD_BITS
-                last = (((prefix + 1) << drop) << SPREAD_BITS) - 1
-                low = np.searchsorted(borders[tree], first, "right")
-                high = np.searchsorted(borders[tree], last, "right")
-                times = high - low + 1
-                row = np.repeat(np.arange(len(frame)), times)
-                block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + low[row]
-                yield pd.DataFrame(
-                    {
-                        "tree": tree,
-                        "block": block,
-                        "string": first[row],
-                        "last": last[row],
-                        "id": frame["query"].to_numpy()[row],
-                        "vector": frame["vector"].to_numpy()[row],
-                    }
-                )
+            for tree, first, last, low, high in _runs(frame, borders):
+                for row, nth in _copies(high - low + 1):
+                    block = low[row] + nth
+                    yield pd.DataFrame(
+                        {
+                            "tree": tree,
+                            "block": block,
+                            "chunk": frame["spread"].to_numpy()[row] % chunks[tree][block],
+                            "string": first[row],
+                            "last": last[row],
+                            "id": frame["query"].to_numpy()[row],
+                            "vector": frame["vector"].to_numpy()[row],
+                        }
+                    )
+
+    kind = indexed.schema["vector"].dataType.simpleString()
+    schema = f"tree int, block long, chunk long, string long, last long, id long, vector {kind}"
+
+    def spread(key: str) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(1 << SPREAD_BITS)).alias("spread")
+
+    points = indexed.select("*", spread("class_id")).mapInPandas(place, schema)
+    asked = chosen.select("query", "vector", "hashes", "level", spread("query")).mapInPandas(reach, schema)
+    return points, asked
+
+
+def _score_blocks(points: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query, class_id, score): the best of each query in each block that it reaches."""
 
     def score(_key: tuple, points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -384,13 +443,9 @@ def _score_blocks(indexed: DataFrame, chosen: DataFrame, borders: list[np.ndarra
             return pd.DataFrame({"query": [], "class_id": [], "score": []})
         return pd.concat(parts)
 
-    kind = indexed.schema["vector"].dataType.simpleString()
-    schema = f"tree int, block long, string long, last long, id long, vector {kind}"
-    spread = F.pmod(F.xxhash64("class_id", F.lit(SEED)), F.lit(1 << SPREAD_BITS))
-    points = indexed.withColumn("spread", spread).mapInPandas(place, schema)
-    asked = chosen.select("query", "vector", "hashes", "level").mapInPandas(reach, schema)
+    key = ["tree", "block", "chunk"]
     return (
-        points.groupBy("tree", "block")
-        .cogroup(asked.groupBy("tree", "block"))
+        points.groupBy(*key)
+        .cogroup(asked.groupBy(*key))
         .applyInPandas(score, "query long, class_id long, score double")
     )

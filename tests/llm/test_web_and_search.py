@@ -141,3 +141,35 @@ def test_neighbours_of_odd_vectors(spark):
     few = search(spark, rows[:3])
     assert few == {0: [1, 2]}
     assert search(spark, []) == {} and search(spark, [(20, None)]) == {}
+
+
+def test_queries_of_a_block_are_dealt_over_bounded_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i * 20, [float(x) for x in np.float32(rng.standard_normal(8))]) for i in range(600)]
+    whole = search(spark, rows)
+    sizes = []
+    dealt = op3_neighbours._dealt
+
+    def seen(*arguments):
+        points, asked = dealt(*arguments)
+        key = ["tree", "block", "chunk"]
+        groups = asked.groupBy(*key).count().collect()
+        assert {r[:3] for r in points.groupBy(*key).count().collect()} >= {r[:3] for r in groups}
+        sizes.extend(r["count"] for r in groups)
+        return points, asked
+
+    monkeypatch.setattr(op3_neighbours, "_dealt", seen)
+    monkeypatch.setattr(op3_neighbours, "CHUNK_QUERIES", 50)
+    monkeypatch.setattr(op3_neighbours, "BLOCK_ROWS", 100)
+    # All 600 rows are queries without structure, so most of them reach each block.
+    assert search(spark, rows) == whole and len(whole) == 600
+    assert max(sizes) <= 100 and sum(sizes) > 600 * op3_neighbours.TREES
+
+
+def test_copies_are_bounded(monkeypatch):
+    monkeypatch.setattr(op3_neighbours, "COPY_ROWS", 4)
+    parts = list(op3_neighbours._copies(np.array([2, 0, 5, 1, 0])))
+    assert [len(row) for row, _ in parts] == [4, 4]
+    assert np.concatenate([r for r, _ in parts]).tolist() == [0, 0, 2, 2, 2, 2, 2, 3]
+    assert np.concatenate([n for _, n in parts]).tolist() == [0, 1, 0, 1, 2, 3, 4, 0]
+    assert list(op3_neighbours._copies(np.zeros(0, np.int64))) == []
