@@ -9,7 +9,8 @@ Each superstep takes all documents of the largest length that is left. Its sweep
 the successor of that length among the sorted gaps and takes gaps, the tightest first, until
 all documents of the step are matched; what no gap can hold opens new sequences. Documents
 that want the same gaps get them by their rank within their length. Then the gaps are updated
-and the next step follows. Spark sorts documents by range, ranks them, and places every
+and the next step follows. The sweeps run one after another on the driver over the histograms
+(``match``); there is no distributed sweep over a table of gaps. Spark sorts documents by range, ranks them, and places every
 document by its rank; no task and no driver holds the documents of a length.
 
 Null and empty texts are documents of the final id alone. Rows with null or repeated keys are
