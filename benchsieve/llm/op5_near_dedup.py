@@ -111,6 +111,19 @@ def shingle_sets(docs: DataFrame, spec: NearDedup) -> DataFrame:
     )
 
 
+def repeated_classes(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc_id, a, b): each class b of a repeated document, and the smallest of them."""
+    again = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    held = settle(
+        known.join(again, "doc_id", "left_semi")
+        .select("doc_id", "digest")
+        .join(classes.select("digest", "id"), "digest")
+        .select("doc_id", F.col("id").alias("b"))
+        .distinct()
+    )
+    return held.join(held.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id")
+
+
 def near_duplicates(docs: DataFrame, spec: NearDedup = NearDedup()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -130,18 +143,23 @@ def near_duplicates(docs: DataFrame, spec: NearDedup = NearDedup()) -> DataFrame
     links = linking.similar_links(
         classes.select("id", "keys", "sketch"), likely, linking.confirm_on_texts(docs, spec.percent)
     )
-    found = settle(linking.components(links))
+    # The classes of a repeated document belong together.
+    repeated = settle(repeated_classes(sets.where(F.col("doc_id").isNotNull()), classes))
+    found = settle(linking.components(links.unionByName(repeated.select("a", "b"))))
+    own = repeated.select("doc_id", F.col("a").alias("id")).distinct().join(found, "id", "left")
+    own = settle(own.select("doc_id", F.coalesce("component", "id").alias("own")))
     resolved = classes.select("digest", "id").join(found, "id", "left").select(
         "digest", F.coalesce("component", "id").alias("component")
     )
     return (
         sets.select("doc_id", "n_shingles", "digest")
         .join(resolved, "digest", "left")
+        .join(own, "doc_id", "left")
         .select(
             "doc_id",
             "n_shingles",
             F.when(F.col("n_shingles") > 0, F.col("component"))
-            .otherwise(F.col("doc_id"))
+            .otherwise(F.coalesce("own", "doc_id"))
             .alias("component_id"),
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

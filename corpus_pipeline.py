@@ -32,12 +32,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op7_toxicity.keep_clean(docs, model, TOXIC_FROM)
 
 
+def with_row_keys(docs: DataFrame) -> DataFrame:
+    """(key, row) of every row: ``doc_id``, or a key above all of them.
+
+    Rows without ``doc_id`` and all but one row of a repeated one get new keys.
+    """
+    key = F.col("doc_id").cast("long")
+    rows = docs.select(key.alias("key"), F.struct("*").alias("row"))
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    again = settle(counts.where((F.col("n") > 1) & F.col("key").isNotNull()).select("key"))
+    odd = rows.where(F.col("key").isNull()).unionByName(rows.join(again, "key", "left_semi"))
+    odd = settle(odd.withColumn("n", F.monotonically_increasing_id()))
+    most = rows.agg(F.max("key")).first()[0] or 0
+    first = odd.where(F.col("key").isNotNull()).groupBy(F.col("key").alias("own")).agg(F.min("n").alias("n"))
+    new = odd.join(first, "n", "left").select(
+        F.coalesce("own", F.lit(most) + 1 + F.col("n")).alias("key"), "row"
+    )
+    return rows.where(F.col("key").isNotNull()).join(again, "key", "left_anti").unionByName(settle(new))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates."""
+    """The first row of each group of near duplicates; rows of one ``doc_id`` are compared too."""
     words.bounded_batches(spark)
-    found = op5_near_dedup.near_duplicates(docs, NEAR)
-    dropped = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    rows = with_row_keys(docs)
+    found = op5_near_dedup.near_duplicates(rows.select(F.col("key").alias("doc_id"), "row.text"), NEAR)
+    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("key"))
+    return rows.join(dropped, "key", "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,3 +86,14 @@ def test_stages_take_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = settle(stage(spark, docs, SF))
     assert docs.count() > 0
+
+
+def test_one_row_of_each_group_is_kept_whatever_its_key(spark):
+    a, b, c, d = ("a b c d e f", "g h i j k l", "m n o p q r", "s t u v w x")
+    rows = [(2, a), (5, a), (5, b), (7, b), (8, c), (8, c), (None, c), (None, d), (None, d), (None, None), (3, None)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    found = Counter(r.text for r in kept.collect())
+    assert found == {a: 1, b: 1, c: 1, d: 1, None: 2}
+    assert Counter(r.doc_id for r in kept.collect())[2] == 1

@@ -86,6 +86,14 @@ def test_near_duplicates_without_keys_repeated_and_empty(spark):
     assert op5_near_dedup.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_classes_of_a_repeated_document_are_one_component(spark):
+    a, b, c = ("a b c d e f", "g h i j k l", "m n o p q r")
+    rows = [(2, a), (5, a), (5, b), (5, None), (7, b), (8, c), (8, c), (9, c), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.doc_id, r.component_id, r.kept) for r in op5_near_dedup.near_duplicates(docs).collect())
+    assert found == [(2, 2, True), (4, 4, True), *[(5, 2, False)] * 3, (7, 2, False), *[(8, 8, True)] * 2, (9, 8, False)]
+
+
 def test_minhash_links_match_brute_force(spark):
     rows = near_documents()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
