@@ -5,8 +5,9 @@ letters. Such a word opens a lattice of the characters it may stand for; a Viter
 under a character trigram model, with costs for each disguise, restores the likeliest text,
 whatever its length. Words wholly of digits and signs are restored too if each of them may stand
 for a letter; of those only whole words count and no beginnings, so plain numbers stay clean.
-The trigrams come from all documents and so grow with the corpus up to the number of
-different trigrams of Latin letters.
+The trigrams come from the words of all documents in all scripts, without marks at their edges
+and cut at inner ones (letters set apart are no words), and so grow with the corpus up to the
+number of different trigrams of letters, which the driver holds. Combining marks are left out.
 
 Restored words are scored by log odds of the label, learned for words and their beginnings on
 at most ``LABELLED_ROWS`` labelled rows chosen by a hash of their key (the bound of the
@@ -23,6 +24,7 @@ from __future__ import annotations
 import math
 import os
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -55,17 +57,29 @@ MOST_EVIDENCE = 30.0
 #: Characters that a search holds for each state before it puts the common ones aside, and the
 #: longest word whose answer is kept.
 HELD, KEPT = 256, 100
-LATIN_END = 0x250
+#: Bits of a code point in a packed trigram.
+POINT = 21
 
 _EDGE = ".,;:?\"'()[]{}<>…*_-~`«»„“”‚‘’/\\#%&=^"
+_INNER = re.compile(f"[{re.escape(_EDGE)}]+")
 _RUN = re.compile(r"(.)\1*", re.S)
 _THREE = re.compile(r"(.)\1\1")
 _DOUBLE = re.compile(r"(.)\1+")
 
 
+def letter_words(token: str) -> list[str]:
+    """The words of letters in a token, none if only letters set apart are in it."""
+    core = token.strip(_EDGE).rstrip("!|")
+    if core.isalpha():
+        return [core]
+    bare = "".join(c for c in core if c.isascii() or unicodedata.category(c)[0] != "M")
+    found = [p for p in _INNER.split(bare) if p.isalpha()]
+    return found if any(len(p) > 1 for p in found) else []
+
+
 def trigram_counts(values: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed trigrams of Latin letters in words with edges, and their weighted counts."""
-    kept = [(f"  {v} ", c) for v, c in zip(values, counts, strict=True) if v.isalpha()]
+    """Packed trigrams of letters in words with edges, and their weighted counts."""
+    kept = [(f"  {w} ", c) for v, c in zip(values, counts, strict=True) for w in letter_words(v)]
     if not kept:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     text = np.frombuffer("".join(v for v, _ in kept).encode("utf-32-le"), np.uint32)
@@ -73,8 +87,8 @@ def trigram_counts(values: list[str], counts: np.ndarray) -> tuple[np.ndarray, n
     weight = np.repeat([c for _, c in kept], [len(v) for v, _ in kept])[2:]
     a, b, c = text[:-2], text[1:-1], text[2:]
     # A window over the edge of two words holds a space behind a letter and before another.
-    inside = ~((b == 32) & (a != 32)) & ~((b == 32) & (c == 32)) & (np.maximum(np.maximum(a, b), c) < LATIN_END)
-    packed, place = np.unique((a << 20 | b << 10 | c)[inside], return_inverse=True)
+    inside = ~((b == 32) & (a != 32)) & ~((b == 32) & (c == 32))
+    packed, place = np.unique((a << 2 * POINT | b << POINT | c)[inside], return_inverse=True)
     return packed, np.bincount(place, weight[inside], len(packed)).astype(np.int64)
 
 
@@ -90,7 +104,7 @@ class CharacterModel:
     def from_counts(cls, rows: list[tuple[int, int]]) -> CharacterModel:
         tri: Counter = Counter()
         for packed, n in rows:
-            tri[chr(packed >> 20) + chr(packed >> 10 & 1023) + chr(packed & 1023)] += n
+            tri["".join(chr(packed >> at & (1 << POINT) - 1) for at in (2 * POINT, POINT, 0))] += n
         pair, one, head, start = Counter(), Counter(), Counter(), Counter()
         for t, n in tri.items():
             pair[t[1:]] += n

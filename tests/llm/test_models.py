@@ -112,6 +112,25 @@ def test_toxicity_of_words_in_signs_and_in_long_tokens(spark):
     assert op7_toxicity.token_features("l0se", restorer) == ["wlose", "3los"]
 
 
+def test_trigrams_come_from_words_of_all_scripts_and_marks():
+    def grams(*tokens):
+        packed, n = op7_toxicity.trigram_counts(list(tokens), np.ones(len(tokens), np.int64))
+        bits, least = op7_toxicity.POINT, (1 << op7_toxicity.POINT) - 1
+        return {"".join(chr(p >> at & least) for at in (2 * bits, bits, 0)): c for p, c in zip(packed.tolist(), n.tolist(), strict=True)}
+
+    assert grams("ab") == {"  a": 1, " ab": 1, "ab ": 1}
+    assert grams("ab,", '"ab"', "ab!", "(ab)", "ab-ab", "ab's") == {"  a": 7, " ab": 7, "ab ": 7, "  s": 1, " s ": 1}
+    assert grams("дурак.") == {"  д": 1, " ду": 1, "дур": 1, "ура": 1, "рак": 1, "ак ": 1}
+    assert grams("𐐨字") == {"  𐐨": 1, " 𐐨字": 1, "𐐨字 ": 1} and grams("किन") == grams("कन") != {}
+    assert grams("m0r0n", "i.d.i.o.t", "12", "--") == {}
+
+
+def test_disguises_of_other_scripts_are_restored(spark):
+    docs = spark.createDataFrame([(1, "ты дурак, а он дурак. " * 20)], "doc_id long, text string")
+    restorer = op7_toxicity.Restorer(op7_toxicity.character_model(docs))
+    assert restorer.restore("д.у.р.а.к") == ["дурак"] and restorer.restore("ду_рак") == ["дурак"]
+
+
 def labelled(spark, n=600):
     rng = np.random.default_rng(3)
     rows = []
