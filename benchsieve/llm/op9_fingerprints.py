@@ -7,7 +7,8 @@ A text without words has the empty fingerprint, which is like itself alone. Text
 than five words have one shingle, their whole word sequence. Null texts count as empty.
 
 ``near_duplicates`` joins bands of whole signatures in Spark and verifies the Jaccard
-likeness of each candidate on the full shingle sets.
+likeness of each candidate on the full shingle sets; ``near_documents`` gives every row the
+component of its links. A pair at 0.8 shares none of the 36 bands of 7 with probability 2e-4.
 
 Documents follow each other by descending ``doc_id``, equal ones by their text, those without
 ``doc_id`` last; behind the last comes the first. An only document follows itself. An empty
@@ -109,6 +110,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     return linking.similar_links(sets, likely, linking.confirm_on_texts(docs, percent))
 
 
+def near_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """(doc_id, component_id) of every row: the smallest ``doc_id`` reachable over links."""
+    found = settle(linking.components(near_duplicates(docs, percent)))
+    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    found = found.select(F.col("id").alias("doc_id"), "component")
+    return keys.join(found, "doc_id", "left").select(
+        "doc_id", F.coalesce("component", "doc_id").alias("component_id")
+    )
+
+
 def bucket_of(value: Column, bounds: list[int]) -> Column:
     """How many sorted ``bounds`` are below ``value``, by a binary search."""
     levels = len(bounds).bit_length()

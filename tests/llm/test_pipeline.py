@@ -97,3 +97,10 @@ def test_one_row_of_each_group_is_kept_whatever_its_key(spark):
     found = Counter(r.text for r in kept.collect())
     assert found == {a: 1, b: 1, c: 1, d: 1, None: 2}
     assert Counter(r.doc_id for r in kept.collect())[2] == 1
+
+
+def test_band_links_of_documents_are_a_query(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    found = __spark_entry__.queries()["op9_near_documents"](spark, SF).collect()
+    assert {r.doc_id: r.component_id for r in found} == {k: c for k, (_, c) in near_components(rows, 80).items()}
+    assert len(found) == len(rows)
