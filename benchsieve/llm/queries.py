@@ -19,6 +19,8 @@ from benchsieve.llm import (
     op8_warc,
     op9_fingerprints,
     op10_packing,
+    op11_variants,
+    op12_merkle,
     words,
 )
 
@@ -115,6 +117,27 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in op12_merkle.FIELDS]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    text = F.when(tampered, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    leaf, claimed = op12_merkle.leaf_digest(fields), op12_merkle.leaf_digest([*fields[:-1], text])
+    found = op12_merkle.manifest(docs, leaf, claimed)
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        op12_merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        op12_merkle.fold(F.col("path"), F.col("claimed")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -134,6 +157,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_document_fingerprints": op9_document_fingerprints,
         "op9_near_documents": op9_near_documents,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_merkle_manifest": op12_merkle_manifest,
         "pipeline": pipeline,
     }
 
