@@ -21,6 +21,7 @@ from benchsieve.llm import (
     op10_packing,
     op11_variants,
     op12_merkle,
+    op13_lm,
     words,
 )
 
@@ -138,6 +139,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    return op13_lm.score_texts(table(spark, sf_dir, "documents"), held, path, public_tokenizers.PATTERN)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -159,6 +166,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_best_fit_packing": op10_best_fit_packing,
         "op11_spelling_variants": op11_spelling_variants,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_lm_scores": op13_lm_scores,
         "pipeline": pipeline,
     }
 
