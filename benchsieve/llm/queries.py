@@ -22,6 +22,7 @@ from benchsieve.llm import (
     op11_variants,
     op12_merkle,
     op13_lm,
+    sql,
     words,
 )
 
@@ -208,4 +209,6 @@ def oracle_sql() -> dict[str, str]:
                 THEN 'revisit' ELSE 'response' END AS record_type,
            CASE WHEN response IS DISTINCT FROM page_id THEN response END AS refers_to
     FROM first""",
+        "op11_spelling_variants": sql.variants_sql(),
+        "op12_merkle_manifest": sql.manifest_sql(),
     }
