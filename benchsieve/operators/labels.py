@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from benchsieve import policy
@@ -264,6 +264,82 @@ def merge_scores(members: DataFrame, answers: DataFrame, batch: str = "batch_id"
     ).drop("kind", "_is_full", "_given")
 
 
+def merge_prompt_scores(
+    members: DataFrame, answers: DataFrame, prompt: str = "prompt_id", batch: str = "batch_id"
+) -> DataFrame:
+    """The score of every response of a prompt (``prompt``, ``model_id``) over all its batches.
+
+    ``members`` has the prompt, the batch and the model of each response. Each batch gives
+    scores as in ``merge_scores``; those that its members get without being named stand
+    behind its list. The last score of a model counts, in whatever batch it was named, and a
+    model that no batch scores has 0.
+    """
+    given = F.col("_score.accuracy_score").try_cast("double")
+    sizes = members.groupBy(batch).agg(F.count(F.lit(1)).alias("_size"), F.first(prompt).alias(prompt))
+    judged = (
+        parse_judge(answers)
+        .withColumn("_answers", F.coalesce(F.size("scores"), F.lit(0)))
+        .join(sizes, [batch])
+        .withColumn("_is_full", (F.col("kind") == "list") & (F.col("_answers") >= F.col("_size")))
+    )
+    named = (
+        judged.where(F.col("kind") == "list")
+        .select(batch, prompt, "_size", "_is_full", F.posexplode("scores").alias("_pos", "_score"))
+        .where(~F.col("_is_full") | (F.col("_pos") < F.col("_size")))
+        .select(batch, prompt, F.col("_score.model_id").alias("model_id"), F.struct(batch, "_pos").alias("_at"), given.alias("_given"))
+    )
+    # Members without a list that is long enough get a fixed score, behind what the list gives.
+    filled = (
+        members.join(judged.select(batch, "kind", "_is_full"), [batch], "left")
+        .where(~F.coalesce("_is_full", F.lit(False)))
+        .join(named.select(batch, "model_id").distinct(), [batch, "model_id"], "left_anti")
+        .select(
+            batch,
+            prompt,
+            "model_id",
+            F.struct(batch, F.lit(2**31 - 1).alias("_pos")).alias("_at"),
+            F.when(F.col("kind").isin("list", "other"), policy.MISSING_SCORE)
+            .otherwise(policy.UNUSABLE_SCORE)
+            .cast("double")
+            .alias("_given"),
+        )
+    )
+    last = named.unionByName(filled).groupBy(prompt, "model_id").agg(F.max_by("_given", "_at").alias("_given"))
+    unusable = F.lit(policy.UNUSABLE_SCORE).cast("double")
+    return (
+        members.select(prompt, "model_id").distinct().join(last, [prompt, "model_id"], "left")
+        .select(prompt, "model_id", F.coalesce("_given", unusable).alias("accuracy_score"))
+    )
+
+
+def label_missing(
+    expected: DataFrame, returned: DataFrame, label: str = "clarity", most: int = 20
+) -> DataFrame:
+    """Batches that lack labels: how many, the first ``most`` ids in order, and the error text.
+
+    ``expected`` has ``chunk``, ``prompt_id`` and ``position``; ``returned`` has the first two.
+    The text of a batch that lacks more says so by dots.
+    """
+    got = returned.select("chunk", "prompt_id").distinct()
+    missing = expected.join(got, ["chunk", "prompt_id"], "left_anti")
+    # The limit by rank is taken in each task before rows of a batch meet.
+    rank = F.row_number().over(Window.partitionBy("chunk").orderBy("position", "prompt_id"))
+    first = missing.select("chunk", "prompt_id", "position", rank.alias("_rank")).where(F.col("_rank") <= most)
+    named = first.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("_rank", "prompt_id"))).alias("_ids"))
+    ids = F.transform("_ids", lambda i: i["prompt_id"].cast("string"))
+    counts = missing.groupBy("chunk").agg(F.count(F.lit(1)).alias("missing_count"))
+    text = F.concat(
+        F.lit(f"Missing {label} labels for prompt_ids: "),
+        F.array_join("missing_ids", ", "),
+        F.when(F.col("missing_count") > most, ", ...").otherwise(""),
+    )
+    return (
+        counts.join(named, "chunk")
+        .select("chunk", "missing_count", ids.alias("missing_ids"))
+        .withColumn("error", text)
+    )
+
+
 def label_errors(
     expected: DataFrame,
     returned: DataFrame,

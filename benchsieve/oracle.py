@@ -451,6 +451,25 @@ SELECT batch_id, model_id, CAST(CASE batch_id % 7
   ELSE CASE which WHEN 'a' THEN 5 ELSE 0 END END AS DOUBLE) AS accuracy_score
 FROM (SELECT batch_id, 'a' AS which, model_a AS model_id, 50 + batch_id % 50 AS s FROM judge_outputs
       UNION ALL SELECT batch_id, 'b', model_b, 50 + batch_id % 50 FROM judge_outputs) j""",
+    "judge_merge_prompts": """
+SELECT * FROM (WITH entries AS (
+  SELECT batch_id, batch_id % 19 AS prompt_id, model_a AS model_id, 1 AS pos,
+    CASE batch_id % 7 WHEN 3 THEN 0 WHEN 4 THEN 50 WHEN 6 THEN 5 ELSE 50 + batch_id % 50 END AS score FROM judge_outputs
+  UNION ALL
+  SELECT batch_id, batch_id % 19, model_b, 2,
+    CASE batch_id % 7 WHEN 0 THEN 77 WHEN 1 THEN 12 WHEN 2 THEN 50 WHEN 3 THEN 0 WHEN 4 THEN 50 WHEN 5 THEN 8 END FROM judge_outputs)
+SELECT prompt_id, model_id, CAST(coalesce(last(score ORDER BY batch_id, pos) FILTER (score IS NOT NULL), 0) AS DOUBLE) AS accuracy_score
+FROM entries GROUP BY prompt_id, model_id) x""",
+    "label_missing": """
+SELECT * FROM (WITH missing AS (
+  SELECT e.chunk, e.doc_id, row_number() OVER (PARTITION BY e.chunk ORDER BY e.doc_id) AS place, count(*) OVER (PARTITION BY e.chunk) AS n
+  FROM doc_chunks e WHERE NOT EXISTS (
+    SELECT 1 FROM label_returns l JOIN doc_chunks c ON c.doc_id = l.sent_id WHERE c.chunk = e.chunk AND l.prompt_id = e.doc_id)),
+listed AS (
+  SELECT chunk, any_value(n) AS missing_count, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FILTER (place <= 3) AS missing_ids
+  FROM missing GROUP BY chunk)
+SELECT *, concat('Missing clarity labels for prompt_ids: ', replace(missing_ids, ',', ', '), CASE WHEN missing_count > 3 THEN ', ...' ELSE '' END) AS error
+FROM listed) x""",
     "label_errors": f"""
 SELECT e.chunk, e.expected_count, coalesce(r.returned_count, 0) AS returned_count, e.expected_count - coalesce(r.matched, 0) AS missing_count,
   CASE WHEN e.expected_count <> coalesce(r.returned_count, 0)
@@ -571,7 +590,15 @@ LEFT JOIN (SELECT job_id, first(ts ORDER BY ts, event_id) AS end_ts, first(event
            FROM job_events WHERE type IN ('done', 'error') GROUP BY job_id) t ON t.job_id = e.job_id
 WHERE t.end_ts IS NULL OR e.ts < t.end_ts OR (e.ts = t.end_ts AND e.event_id <= t.end_id)""",
     "events_by_complexity": "SELECT event_id, job_id, type FROM job_events WHERE prompt_complexity = 'mid'",
+    "chunks_forwarded": """
+SELECT d.doc_id, CASE d.lang WHEN 'en' THEN 'CLEAR' ELSE 'PARTIAL' END AS clarity, concat('m', CAST(d.doc_id % 26 AS VARCHAR)) AS model_id,
+  CAST(l.quality * 100 AS DOUBLE) AS accuracy_score
+FROM documents d JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id
+WHERE d.lang IS DISTINCT FROM 'fr' AND regexp_matches(d.text, '\\S')""",
 }
+# A stream that takes the same events in deliveries, with repeated and late ones, gives the same rows.
+SQL |= {f"{name}_bounded": SQL[name] for name in ("job_progress", "job_status", "file_lifecycle", "chunk_lifecycle")}
+SQL["events_until_end_stream"] = SQL["events_until_end"]
 
 
 def oracle_sql() -> dict[str, str]:

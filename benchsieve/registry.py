@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from benchsieve.functions.durable import new_folder, settle, shared_folder
 from benchsieve.functions.numbering import number_rows
@@ -20,7 +21,8 @@ from benchsieve.policy import Policy
 from benchsieve.sources import readers, writers
 from benchsieve.sources.adapters import table, view, view_sql, with_raw_body
 from benchsieve.sources.readers import combine_phases
-from benchsieve.streaming import jobs
+from benchsieve.streaming import ending, jobs, rollups
+from benchsieve.streaming.store import UpdateStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -495,6 +497,17 @@ def judge_merge(spark, sf):
     return labels.merge_scores(members, answers.select("batch_id", "judge_text"))
 
 
+@query
+def judge_merge_prompts(spark, sf):
+    """Scores per prompt of several batches, of which some answers name models of others."""
+    prompt = (F.col("batch_id") % 19).alias("prompt_id")
+    answers = view(spark, sf, "judge_outputs").select("*", prompt)
+    members = answers.select(
+        "prompt_id", "batch_id", F.explode(F.array("model_a", "model_b")).alias("model_id")
+    )
+    return labels.merge_prompt_scores(members, answers.select("batch_id", "judge_text"))
+
+
 def _label_job(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Documents in chunks of five, and the labels that came back for them."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("prompt_id"))
@@ -513,6 +526,13 @@ def label_errors(spark, sf):
     )
 
 
+@query
+def label_missing(spark, sf):
+    expected, returned = _label_job(spark, sf)
+    found = labels.label_missing(expected.withColumn("position", F.col("prompt_id")), returned, most=3)
+    return found.select("chunk", "missing_count", F.array_join("missing_ids", ",").alias("missing_ids"), "error")
+
+
 @query
 def label_attach(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("prompt_id"), "text")
@@ -827,8 +847,42 @@ def _streamed(
 ) -> DataFrame:
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rolled = roll_up(event_stream(spark, sf))
-    jobs.write_updates(rolled, f"{folder}/rows", f"{folder}/checkpoint", mode)
-    return jobs.latest_rows(spark, f"{folder}/rows", rolled.schema, keys)
+    store = UpdateStore(spark, f"{folder}/rows", rolled.schema, keys)
+    store.write_stream(rolled, f"{folder}/checkpoint", mode)
+    return store.read()
+
+
+DELIVERIES = 4
+
+
+def _delivered(spark: SparkSession, sf: str, folder: str, repeats: bool) -> Iterator[DataFrame]:
+    """The job events as a stream, in as many deliveries by time; each yields the stream anew.
+
+    Deliveries overlap by half an hour where ``repeats`` is set, and the last has a copy of
+    all events under other ids from long before, which the watermark is to keep out.
+    """
+    events = view(spark, sf, "job_events").withColumn("ts", F.col("ts").cast("timestamp"))
+    shares = [i / DELIVERIES for i in range(1, DELIVERIES)]
+    bounds = events.agg(F.percentile_approx(F.unix_micros("ts"), shares, 10_000)).first()[0] or []
+    at, half_hour = F.unix_micros("ts"), 30 * 60 * 1_000_000
+    for k in range(len(bounds) + 1):
+        low = bounds[k - 1] - (half_hour if repeats else 0) if k else None
+        rows = events if low is None else events.where(at > low)
+        rows = rows.where(at <= bounds[k]) if k < len(bounds) else rows
+        if k and k == len(bounds):
+            old = events.withColumn("ts", F.col("ts") - F.expr("INTERVAL 400 DAYS"))
+            rows = rows.unionByName(old.withColumn("event_id", F.col("event_id") + 10**12))
+        rows.write.mode("append").parquet(f"{folder}/in")
+        yield spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+
+
+def _bounded(spark: SparkSession, sf: str, roll_up: rollups.RollUp) -> DataFrame:
+    """A roll-up whose stream starts anew for each delivery of repeated and late events."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    for stream in _delivered(spark, sf, folder, repeats=True):
+        bounded = rollups.BoundedRollUp(stream, roll_up, folder)
+        bounded.run()
+    return bounded.rows()
 
 
 @query
@@ -869,6 +923,66 @@ def events_until_end(spark, sf):
     return jobs.until_terminal(view(spark, sf, "job_events")).select("event_id", "job_id", "type")
 
 
+@query
+def job_progress_bounded(spark, sf):
+    return _bounded(spark, sf, rollups.JOB_PROGRESS)
+
+
+@query
+def job_status_bounded(spark, sf):
+    return _bounded(spark, sf, rollups.JOB_STATUS)
+
+
+@query
+def file_lifecycle_bounded(spark, sf):
+    return _bounded(spark, sf, rollups.FILE_LIFECYCLE)
+
+
+@query
+def chunk_lifecycle_bounded(spark, sf):
+    return _bounded(spark, sf, rollups.CHUNK_LIFECYCLE)
+
+
+@query
+def events_until_end_stream(spark, sf):
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    key = "spark.sql.streaming.stateStore.providerClass"
+    provider = spark.conf.get(key)
+    spark.conf.set(key, ending.PROVIDER)
+    try:
+        for stream in _delivered(spark, sf, folder, repeats=False):
+            # The ends are kept for longer than the events of the table span.
+            ended = ending.until_end(stream.select("event_id", "ts", "job_id", "type"), keep_hours=24 * 60)
+            store = UpdateStore(spark, f"{folder}/rows", ended.schema)
+            store.write_stream(ended, f"{folder}/checkpoint", "append")
+    finally:
+        spark.conf.set(key, provider)
+    return store.read().select("event_id", "job_id", "type")
+
+
+@query
+def chunks_forwarded(spark, sf):
+    """Finished chunks of prompts, in two deliveries, as benchmark rows of their judged answers."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    clarity = F.when(F.col("lang") == "en", " clear").when(F.col("lang") == "fr", "odd").otherwise("Partial")
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"), clarity.alias("clarity"))
+    judged = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+
+    def to_benchmark(batch: DataFrame) -> DataFrame:
+        prompts = readers.check_prompt_rows(batch).where("is_valid")
+        score = (F.col("quality") * 100).cast("double").alias("accuracy_score")
+        model = F.concat(F.lit("m"), (F.col("doc_id") % 26).cast("string")).alias("model_id")
+        return prompts.join(judged, "doc_id").select("doc_id", "clarity", model, score)
+
+    schema = "doc_id bigint, clarity string, model_id string, accuracy_score double"
+    store = UpdateStore(spark, f"{folder}/rows", StructType.fromDDL(schema))
+    for part in range(2):
+        docs.where(F.col("doc_id") % 2 == part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(docs.schema).parquet(f"{folder}/in")
+        store.write_stream(stream, f"{folder}/checkpoint", "append", to_benchmark)
+    return store.read()
+
+
 @query
 def events_by_complexity(spark, sf):
     events = clean.filter_events(view(spark, sf, "job_events"), "mid")

@@ -70,7 +70,7 @@ def failures(events: DataFrame) -> DataFrame:
     return events.where(F.col("type") == "model_failed")
 
 
-def _status(mapping: dict[str, str]) -> Column:
+def status_of(mapping: dict[str, str]) -> Column:
     text = F.lit(None).cast("string")
     for event, status in mapping.items():
         text = F.when(F.col("type") == event, status).otherwise(text)
@@ -107,7 +107,7 @@ def file_lifecycle(events: DataFrame) -> DataFrame:
         events.where(F.col("type").isin(*FILE_STATUS))
         .groupBy("job_id", "file_index")
         .agg(
-            F.max_by(_status(FILE_STATUS), order).alias("status"),
+            F.max_by(status_of(FILE_STATUS), order).alias("status"),
             *[F.max_by(c, order).alias(c) for c in latest],
             *_last_given("file_name", "total_files"),
         )
@@ -122,7 +122,7 @@ def chunk_lifecycle(events: DataFrame) -> DataFrame:
         events.where(F.col("type").isin(*CHUNK_STATUS))
         .groupBy("job_id", "chunk_index")
         .agg(
-            F.max_by(_status(CHUNK_STATUS), order).alias("status"),
+            F.max_by(status_of(CHUNK_STATUS), order).alias("status"),
             F.count_if(F.col("type") == "chunk_ready").alias("ready_count"),
             *_last_given(*told),
         )

@@ -182,3 +182,27 @@ def test_scores_in_quotes_count(spark):
     answers = spark.createDataFrame([(1, answer)], "batch_id int, judge_text string")
     found = {r.model_id: r.accuracy_score for r in labels.merge_scores(members, answers).collect()}
     assert found == {"a": 91.0, "b": 7.5}
+
+
+def test_scores_of_a_prompt_count_over_all_its_batches(spark):
+    members = spark.createDataFrame(
+        [("p", 1, "a"), ("p", 1, "b"), ("p", 2, "c"), ("q", 3, "a"), ("q", 3, "b"), ("q", 4, "d"), ("r", 5, "e"), ("r", 6, "f")],
+        "prompt_id string, batch_id int, model_id string",
+    )
+    score = lambda **given: "[" + ",".join(f'{{"model_id":"{m}","accuracy_score":{s}}}' for m, s in given.items()) + "]"
+    answers = [(1, score(a=9, c=33)), (2, score(x=8)), (3, score(a=7)), (4, "no json"), (5, "{}")]
+    answers = spark.createDataFrame(answers, "batch_id int, judge_text string")
+    found = {(r.prompt_id, r.model_id): r.accuracy_score for r in labels.merge_prompt_scores(members, answers).collect()}
+    assert found == {
+        ("p", "a"): 9, ("p", "b"): 0, ("p", "c"): 33, ("q", "a"): 7, ("q", "b"): 50, ("q", "d"): 0, ("r", "e"): 50, ("r", "f"): 0,
+    }
+    assert labels.merge_prompt_scores(members.where("false"), answers).count() == 0
+
+
+def test_missing_ids_are_listed_in_order(spark):
+    expected = spark.createDataFrame([(1, f"p{i}", 10 - i) for i in range(5)] + [(2, "z", 1)], "chunk int, prompt_id string, position int")
+    returned = spark.createDataFrame([(1, "p3"), (1, "p3"), (2, "z"), (1, "z")], "chunk int, prompt_id string")
+    found = [tuple(r) for r in labels.label_missing(expected, returned, most=2).collect()]
+    assert found == [(1, 4, ["p4", "p2"], "Missing clarity labels for prompt_ids: p4, p2, ...")]
+    whole = labels.label_missing(expected, returned).first()
+    assert whole.error == "Missing clarity labels for prompt_ids: p4, p2, p1, p0"
