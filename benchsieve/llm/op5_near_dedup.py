@@ -141,7 +141,11 @@ def near_duplicates(docs: DataFrame, spec: NearDedup = NearDedup()) -> DataFrame
         return F.aggregate(differing, F.lit(0), lambda s, x: s + x) <= spec.most_bits
 
     links = linking.similar_links(
-        classes.select("id", "keys", "sketch"), likely, linking.confirm_on_texts(docs, spec.percent)
+        classes.select("id", "keys", "sketch"),
+        likely,
+        linking.confirm_on_texts(docs, spec.percent),
+        linking.rare_prefixes(docs, spec.percent),
+        spec.percent,
     )
     # The classes of a repeated document belong together.
     repeated = settle(repeated_classes(sets.where(F.col("doc_id").isNotNull()), classes))

@@ -107,11 +107,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = settle(docs.mapInArrow(read, "id long, keys array<long>, sketch array<long>"))
-    return linking.similar_links(sets, likely, linking.confirm_on_texts(docs, percent))
+    return linking.similar_links(
+        sets, likely, linking.confirm_on_texts(docs, percent), linking.rare_prefixes(docs, percent), percent
+    )
 
 
 def near_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, component_id) of every row: the smallest ``doc_id`` reachable over links."""
+    """(doc_id, component_id) of every row: the smallest ``doc_id`` reachable over links.
+
+    Rows of one ``doc_id`` are one document; rows without it have no component.
+    """
     found = settle(linking.components(near_duplicates(docs, percent)))
     keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     found = found.select(F.col("id").alias("doc_id"), "component")

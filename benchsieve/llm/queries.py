@@ -111,7 +111,7 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-def op9_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_fingerprints.near_documents(table(spark, sf_dir, "documents"))
 
 
@@ -163,7 +163,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_toxicity": op7_toxicity_,
         "op8_warc_archives": op8_warc_archives,
         "op9_document_fingerprints": op9_document_fingerprints,
-        "op9_near_documents": op9_near_documents,
+        "near_documents": near_documents,
         "op10_best_fit_packing": op10_best_fit_packing,
         "op11_spelling_variants": op11_spelling_variants,
         "op12_merkle_manifest": op12_merkle_manifest,

@@ -130,3 +130,50 @@ def test_bucket_search(spark):
         values = spark.range(-3, 110)
         rows = values.select("id", op9_fingerprints.bucket_of(values["id"], bounds).alias("b")).collect()
         assert all(r.b == sum(x < r.id for x in bounds) for r in rows)
+
+
+def test_templated_documents_are_not_compared_in_pairs(spark, monkeypatch):
+    template = [f"t{i}" for i in range(200)]
+    rows = [(i, " ".join([*template, *(f"d{i}x{k}" for k in range(18 + i % 4))])) for i in range(1500)]
+    rows.append((9001, rows[700][1] + " one"))  # like 700 alone
+    rows += [(9100 + i, " ".join([*template[:190], *(f"e{i // 30}y{k}" for k in range(30)), f"z{i}"])) for i in range(60)]
+    confirmed, plain = [], linking.confirm_on_texts
+
+    def counting(docs, percent):
+        confirm = plain(docs, percent)
+
+        def counted(pairs):
+            kept = linking.settle(pairs)
+            confirmed.append(kept.count())
+            return confirm(kept)
+
+        return counted
+
+    monkeypatch.setattr(linking, "confirm_on_texts", counting)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r.component_id for r in op5_near_dedup.near_duplicates(docs).collect()}
+    wanted = {i: i for i in range(1500)} | {9001: 700}
+    wanted |= {9100 + i: 9100 + i // 30 * 30 for i in range(60)}
+    assert found == wanted
+    # Stars take one pair for each bucket; what is left open takes next to none.
+    assert confirmed[1] < len(rows) and sum(confirmed) < 20 * len(rows)
+
+
+def test_prefixes_keep_every_similar_pair(spark):
+    draw = np.random.default_rng(8)
+    rows = []
+    for i in range(160):
+        words_ = [f"w{k}" for k in range(60 + i % 7)]
+        for at in draw.choice(60, i % 4, replace=False):
+            words_[at] = f"c{draw.integers(0, 9)}"
+        rows.append((i, " ".join(words_)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = docs.selectExpr("doc_id AS id", "doc_id AS component")
+    for percent in (70, 85):
+        pairs = {tuple(r) for r in linking.narrowed(linking.rare_prefixes(docs, percent)(asked), percent).collect()}
+        sets = [shingles(t) for _, t in rows]
+        similar = {
+            (i, j) for j in range(160) for i in range(j)
+            if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]) and sets[i] != sets[j]
+        }
+        assert similar and similar <= pairs
