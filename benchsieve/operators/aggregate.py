@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from benchsieve import policy
-from benchsieve.functions.distribution import group_stats
+from benchsieve.functions.distribution import group_stats, level_stats
 from benchsieve.functions.durable import settle
 from benchsieve.functions.numbers import round_to
 
@@ -62,21 +62,21 @@ def _slim(bench: DataFrame, keys: list[str]) -> DataFrame:
     return settle(bench.select(*keys, *METRICS))
 
 
-def _each_tier(rows: DataFrame) -> DataFrame:
-    """Rows once for each of the three slice tiers; they are reduced before any shuffle."""
+def _tiers() -> list[Column]:
+    """The slice of each of the three tiers that a slice belongs to."""
     complexity, clarity = F.col("prompt_complexity"), F.col("clarity")
     every = F.lit(policy.ANY)
 
     def tier(number: int, slice_complexity: Column, slice_clarity: Column) -> Column:
         return F.struct(
             F.lit(number).alias("tier"),
+            F.col("use_case").alias("use_case"),
             slice_complexity.alias("slice_complexity"),
             slice_clarity.alias("slice_clarity"),
+            *MODEL,
         )
 
-    tiers = F.array(tier(0, complexity, clarity), tier(1, complexity, every), tier(2, every, every))
-    rest = [c for c in rows.columns if c not in ("prompt_complexity", "clarity")]
-    return rows.select(*rest, F.inline(tiers))
+    return [tier(0, complexity, clarity), tier(1, complexity, every), tier(2, every, every)]
 
 
 TIER_SLICE = ["tier", "use_case", "slice_complexity", "slice_clarity"]
@@ -87,8 +87,8 @@ def tier_summary(bench: DataFrame) -> DataFrame:
 
     ``slice_row_count`` also counts the rows of models with little support.
     """
-    rows = _each_tier(_slim(bench, [*SLICE, *MODEL]))
-    summary = group_stats(rows, [*TIER_SLICE, *MODEL], SUMMARY)
+    rows = _slim(bench, [*SLICE, *MODEL])
+    summary = level_stats(rows, [*SLICE, *MODEL], _tiers(), [*TIER_SLICE, *MODEL], SUMMARY)
     in_slice = Window.partitionBy(*TIER_SLICE)
     return summary.withColumn("slice_row_count", F.sum("sample_count").over(in_slice))
 
@@ -104,8 +104,8 @@ def tier_summary_by_model_support(bench: DataFrame, min_samples: int) -> DataFra
     Small provider groups of a supported model stay, and the slice counts only
     rows of supported models.
     """
-    rows = _each_tier(_slim(bench, [*SLICE, *MODEL]))
-    summary = group_stats(rows, [*TIER_SLICE, *MODEL], EXTENDED_SUMMARY)
+    rows = _slim(bench, [*SLICE, *MODEL])
+    summary = level_stats(rows, [*SLICE, *MODEL], _tiers(), [*TIER_SLICE, *MODEL], EXTENDED_SUMMARY)
     of_model = Window.partitionBy(*TIER_SLICE, "model_id")
     in_slice = Window.partitionBy(*TIER_SLICE)
     return (

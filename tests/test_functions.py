@@ -131,3 +131,44 @@ def test_join_null_safe_matches_nulls(spark):
     joined = durable.join_null_safe(left, right, ["k"], "left")
     assert sorted((r.l, r.r) for r in joined.collect() if r.l == 1) == [(1, 10)]
     assert [(r.l, r.r) for r in joined.collect() if r.l == 2] == [(2, None)]
+
+
+def test_levels_merge_into_exact_statistics(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(9000):
+        a = "hot" if i % 3 else f"a{i % 5}"
+        value = None if i % 41 == 0 else rng.lognormvariate(0, 3) if i % 2 else float(rng.randrange(9))
+        rows.append((a, [None, "x", "y"][i % 7 % 3], value, float(i % 4) if a == "a0" else None))
+    df = spark.createDataFrame(rows, "a string, b string, v double, w double").repartition(6)
+    levels = [
+        F.struct(F.lit(0).alias("level"), F.col("a").alias("a"), F.col("b").alias("part")),
+        F.struct(F.lit(1).alias("level"), F.col("a").alias("a"), F.lit("any").alias("part")),
+        F.struct(F.lit(2).alias("level"), F.lit("any").alias("a"), F.lit("any").alias("part")),
+    ]
+    columns = {"n": ("v", "count"), "mean": ("v", "mean"), "v": ("v", "median"), "w": ("w", "median")}
+    found = distribution.level_stats(df, ["a", "b"], levels, ["level", "a", "part"], columns)
+    wanted = {}
+    for a, b, v, w in rows:
+        for key in ((0, a, b), (1, a, "any"), (2, "any", "any")):
+            vs, ws = wanted.setdefault(key, ([], []))
+            if v is not None:
+                vs.append(v)
+            if w is not None:
+                ws.append(w)
+    got = {(r.level, r.a, r.part): r for r in found.collect()}
+    assert got.keys() == wanted.keys()
+    for key, (vs, ws) in wanted.items():
+        assert (got[key].n, got[key].v) == (len(vs), statistics.median(vs) if vs else None)
+        assert got[key].mean == pytest.approx(statistics.fmean(vs))
+        assert got[key].w == (statistics.median(ws) if ws else None)
+    assert distribution.level_stats(df.limit(0), ["a", "b"], levels, ["level", "a", "part"], columns).collect() == []
+
+
+def test_levels_group_the_rows_once(spark):
+    df = spark.createDataFrame([("a", "b", 1.0)], "a string, b string, v double")
+    levels = [F.struct(F.col("a").alias("k")), F.struct(F.lit("any").alias("k"))]
+    plan = distribution.level_stats(df, ["a", "b"], levels, ["k"], {"n": ("v", "count")})
+    assert {(r.k, r.n) for r in plan.collect()} == {("a", 1), ("any", 1)}
+    text = plan._jdf.queryExecution().toString()
+    assert "Expand" not in text and "kll" not in text.lower()
