@@ -598,6 +598,7 @@ WHERE d.lang IS DISTINCT FROM 'fr' AND regexp_matches(d.text, '\\S')""",
 }
 # A stream that takes the same events in deliveries, with repeated and late ones, gives the same rows.
 SQL |= {f"{name}_bounded": SQL[name] for name in ("job_progress", "job_status", "file_lifecycle", "chunk_lifecycle")}
+SQL["scan_stored"] = SQL["scan_filtered"]
 SQL["events_until_end_stream"] = SQL["events_until_end"]
 
 

@@ -645,6 +645,16 @@ def scan_filtered(spark, sf):
     return rows.select("src_id", "model_id", "accuracy_score")
 
 
+@query
+def scan_stored(spark, sf):
+    path = new_folder(spark)
+    writers.append_benchmark(bench(spark, sf).select(*BENCH), path)
+    stored = readers.read_benchmark_table(spark, path)
+    return readers.scan_benchmark(stored, "reasoning", "mid", "CLEAR").select(
+        "src_id", "model_id", "accuracy_score"
+    )
+
+
 @query
 def logs_filtered(spark, sf):
     rows = readers.scan_prompt_logs(clean.clean_prompt_logs(logs(spark, sf)), use_case="reasoning")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from benchsieve import policy
 from benchsieve.functions.durable import settle
@@ -61,13 +62,25 @@ def read_benchmark_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _all_files(parts)
 
 
+def read_benchmark_table(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that ``append_benchmark`` has written, with all labels as text."""
+    schema = spark.read.parquet(path).schema
+    labels = ("use_case", "prompt_complexity")
+    fields = [T.StructField(f.name, T.StringType()) if f.name in labels else f for f in schema]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
 def scan_benchmark(
     table: DataFrame,
     use_case: str | None = None,
     complexity: str | None = None,
     clarity: str | None = None,
 ) -> DataFrame:
-    """Equality filters on a benchmark table; they reach the scan."""
+    """Equality filters on a benchmark table.
+
+    On ``read_benchmark_table`` they choose folders and are pushed to the files. On rows that
+    are cleaned on the way they stand above the cleaning.
+    """
     wanted = {"use_case": use_case, "prompt_complexity": complexity, "clarity": clarity}
     for column, value in wanted.items():
         if value:

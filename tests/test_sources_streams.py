@@ -253,3 +253,27 @@ def test_csv_files_are_read_by_their_own_headers(spark, tmp_path):
     (tmp_path / "d" / "two.csv").write_text("model_id,cost,id\nn,2,0.5\n")
     rows = readers.read_benchmark_csv(spark, str(tmp_path / "d")).select("id", "model_id", "cost")
     assert sorted(map(tuple, rows.collect())) == [("0.5", "n", "2"), ("1", "m", "0.7")]
+
+
+def test_scans_of_a_stored_benchmark_skip_folders_and_row_groups(spark, tmp_path):
+    rows = spark.range(6000).selectExpr(
+        "id AS src_id", "element_at(array('reasoning', 'code-generation', '1'), int(id % 3 + 1)) AS use_case",
+        "element_at(array('low', 'mid'), int(id % 2 + 1)) AS prompt_complexity",
+        "element_at(array('CLEAR', 'PARTIAL', 'UNCLEAR'), int(id % 5 % 3 + 1)) AS clarity", "concat('m', id % 26) AS model_id",
+    )
+    path = str(tmp_path / "bench")
+    writers.append_benchmark(rows, path)
+    writers.append_benchmark(rows.where("src_id < 60"), path)
+    table = readers.read_benchmark_table(spark, path)
+    found = readers.scan_benchmark(table, "reasoning", "mid", "CLEAR")
+    wanted = rows.where("use_case = 'reasoning' AND prompt_complexity = 'mid' AND clarity = 'CLEAR'")
+    assert found.count() == wanted.count() + wanted.where("src_id < 60").count()
+    assert {r.use_case for r in table.select("use_case").distinct().collect()} == {"reasoning", "code-generation", "1"}
+    plan = found._jdf.queryExecution().executedPlan()
+    text = plan.toString()
+    assert "PartitionFilters: [isnotnull(use_case" in text and "EqualTo(clarity,CLEAR)" in text.replace("`", "")
+    files = {r.f for r in found.selectExpr("input_file_name() AS f").collect()}
+    assert 0 < len(files) < len({r.f for r in table.selectExpr("input_file_name() AS f").collect()}) / 2
+    for file in files:
+        held = [r.clarity for r in spark.read.parquet(file).select("clarity").collect()]
+        assert held == sorted(held)
