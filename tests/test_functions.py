@@ -1,4 +1,5 @@
 import random
+import unicodedata
 import re
 import statistics
 
@@ -172,3 +173,16 @@ def test_levels_group_the_rows_once(spark):
     assert {(r.k, r.n) for r in plan.collect()} == {("a", 1), ("any", 1)}
     text = plan._jdf.queryExecution().toString()
     assert "Expand" not in text and "kll" not in text.lower()
+
+
+def test_folding_is_that_of_all_characters(spark):
+    rng = random.Random(3)
+    codes = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    odd = [chr(c) for c in codes if unicodedata.normalize("NFKD", chr(c)) != chr(c) or unicodedata.combining(chr(c))]
+    assert len(odd) > 15_000
+    values = ["".join(odd[i : i + 50]) + "éx" for i in range(0, len(odd), 50)]
+    values += ["".join(map(chr, rng.choices(codes, k=300))) for _ in range(200)]
+    values += ["plain", "", "ﬁ Ａ é", "한국어 é", "…", "1½"]
+    found = column(spark, values, "string", text.fold_accents(F.col("v")))
+    for value, got in zip(values, found):
+        assert got == "".join(c for c in unicodedata.normalize("NFKD", value) if not unicodedata.combining(c)), value
