@@ -545,6 +545,29 @@ SELECT CAST(doc_id AS VARCHAR) AS id, concat(' ', text, chr(13), chr(10), '"') A
     "tfidf_weights": """
 SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS weight
 FROM (SELECT t.doc_id, t.term, (ln(CAST(t.tf AS DOUBLE)) + 1e0) * v.idf AS raw FROM doc_terms t JOIN vocab v ON v.term = t.term) r""",
+    "fold_vocabularies": """
+SELECT *, row_number() OVER (PARTITION BY fold ORDER BY term) - 1 AS term_index FROM (
+  SELECT f.fold, t.term, count(*) AS doc_freq, CAST(sum(t.tf) AS BIGINT) AS term_freq,
+    round(ln((1e0 + any_value(f.documents)) / (1e0 + count(*))) + 1e0, 9) AS idf
+  FROM doc_terms t
+  JOIN (SELECT doc_id, (position - 1) % 5 AS fold FROM drawn) d ON d.doc_id = t.doc_id
+  JOIN (SELECT k.fold, count(*) AS documents FROM (SELECT unnest(range(5)) AS fold) k
+        JOIN (SELECT (position - 1) % 5 AS fold FROM drawn) o ON o.fold <> k.fold GROUP BY k.fold) f ON f.fold <> d.fold
+  GROUP BY f.fold, t.term HAVING count(*) >= 2 AND count(*) <= 0.95e0 * any_value(f.documents)) v""",
+    "linear_scores": """
+SELECT doc_id, first(class ORDER BY score DESC, class) AS predicted, round(1e0 / sum(exp(score - top)), 6) AS confidence
+FROM (
+  SELECT d.doc_id, k.class, ln(k.n / CAST(k.total AS DOUBLE)) + coalesce(s.score, 0e0) AS score,
+    max(ln(k.n / CAST(k.total AS DOUBLE)) + coalesce(s.score, 0e0)) OVER (PARTITION BY d.doc_id) AS top
+  FROM documents d
+  JOIN (SELECT lang AS class, count(*) AS n, (SELECT count(*) FROM documents) AS total FROM documents GROUP BY lang) k ON true
+  LEFT JOIN (
+    SELECT w.doc_id, c.class, sum(w.weight * ln(c.n + 1e0)) AS score
+    FROM (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight
+          FROM (SELECT t.doc_id, t.term, (ln(CAST(t.tf AS DOUBLE)) + 1e0) * v.idf AS raw FROM doc_terms t JOIN vocab v ON v.term = t.term) r) w
+    JOIN (SELECT t.term, o.lang AS class, count(*) AS n FROM doc_terms t JOIN documents o ON o.doc_id = t.doc_id GROUP BY ALL) c ON c.term = w.term
+    GROUP BY ALL) s ON s.doc_id = d.doc_id AND s.class = k.class) x
+GROUP BY doc_id""",
     "confusion": "SELECT label, predicted, count(*) AS row_count FROM rated GROUP BY ALL",
     "class_report": "SELECT * FROM report",
     "overall_report": """

@@ -26,8 +26,6 @@ from benchsieve.streaming.store import UpdateStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-# The number of terms of the classifier that is matched; tables of terms are whole.
-CLASSIFIER_FEATURES = 5000
 
 
 def query(function: Query) -> Query:
@@ -830,14 +828,42 @@ def stratified_split(spark, sf):
 def classifier_scores(spark, sf):
     docs = _documents(spark, sf)
     path = new_folder(spark)
-    classify.train(docs, max_features=CLASSIFIER_FEATURES).save(path)
+    classify.train(docs).save(path)
     model = classify.TextClassifier.load(spark, path)
     return model.score(docs).select("doc_id", "label", "predicted", "confidence")
 
 
 @query
 def classifier_folds(spark, sf):
-    return classify.cross_validate(_documents(spark, sf), max_features=CLASSIFIER_FEATURES)
+    return classify.cross_validate(_documents(spark, sf))
+
+
+@query
+def fold_vocabularies(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    placed = settle(classify.stratified_folds(docs, "lang", "doc_id", 5))
+    terms = settle(classify.document_terms(placed, "doc_id", "text", ("fold",)))
+    sizes = placed.groupBy("fold").agg(F.count(F.lit(1)).alias("row_count"))
+    return classify.fold_vocabularies(terms, sizes).select(
+        "fold", "term", "doc_freq", "term_freq", round_to(F.col("idf"), 9).alias("idf"), F.col("index").cast("bigint").alias("term_index")
+    )
+
+
+@query
+def linear_scores(spark, sf):
+    """A model whose weights are the logs of how many documents of a language have a term."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    terms = settle(classify.document_terms(docs, "doc_id", "text", ("lang",)))
+    total = docs.count()
+    vocab = settle(classify.vocabulary(terms, total))
+    classes = docs.groupBy(F.col("lang").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    counts = terms.groupBy("term", F.col("lang").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    coefficients = counts.join(vocab.select("term"), "term").select("term", "class", F.log(F.col("n") + 1.0).alias("weight"))
+    intercepts = classes.select("class", F.log(F.col("n") / F.lit(total)).alias("intercept"))
+    path = new_folder(spark)
+    classify.TermModel(vocab, coefficients, intercepts).save(path)
+    scored = classify.TermModel.load(spark, path).score(docs)
+    return scored.select("doc_id", "predicted", round_to(F.col("confidence"), 6).alias("confidence"))
 
 
 # Streams

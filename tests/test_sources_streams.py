@@ -277,3 +277,43 @@ def test_scans_of_a_stored_benchmark_skip_folders_and_row_groups(spark, tmp_path
     for file in files:
         held = [r.clarity for r in spark.read.parquet(file).select("clarity").collect()]
         assert held == sorted(held)
+
+
+def test_tables_of_a_classifier_score_as_the_model(spark, tmp_path):
+    rows = training(spark)
+    model = classify.train(rows)
+    model.as_tables().save(str(tmp_path / "tables"))
+    tables = classify.TermModel.load(spark, str(tmp_path / "tables"))
+    unseen = spark.createDataFrame(
+        [(100, "design the distributed cache", "x"), (101, "zzz", "x"), (102, None, "x"), (103, "", "x"), (104, "capital city number", "x")],
+        "doc_id int, text string, label string",
+    )
+    both = rows.unionByName(unseen)
+    wanted = {r.doc_id: (r.predicted, r.confidence) for r in model.score(both).collect()}
+    found = {r.doc_id: (r.predicted, r.confidence) for r in tables.score(both).collect()}
+    assert found.keys() == wanted.keys()
+    for key, (label, confidence) in wanted.items():
+        assert found[key][1] == pytest.approx(confidence)
+        assert found[key][0] == label or key in (101, 102, 103)
+    assert tables.score(both.where("false")).count() == 0
+
+
+def test_fold_vocabularies_are_those_of_the_other_folds(spark):
+    placed = classify.stratified_folds(training(spark), "label", "doc_id", 3)
+    terms = classify.document_terms(placed, "doc_id", "text", ("fold",))
+    sizes = placed.groupBy("fold").agg(F.count(F.lit(1)).alias("row_count"))
+    found = classify.fold_vocabularies(terms, sizes)
+    columns = ("term", "doc_freq", "term_freq", "index", "idf")
+    for fold in range(3):
+        others = placed.where(F.col("fold") != fold)
+        wanted = classify.vocabulary(classify.document_terms(others), others.count())
+        got = found.where(F.col("fold") == fold)
+        assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, wanted.select(*columns).collect()))
+
+
+def test_terms_are_counted_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(1, "b a b a B", "k"), (2, None, "k"), (3, " ", "k"), (4, "x", "k")], "doc_id int, text string, term string")
+    terms = classify.document_terms(docs, "doc_id", "text")
+    assert "Exchange" not in terms._jdf.queryExecution().executedPlan().toString()
+    got = {(r.doc_id, r.term): r.tf for r in terms.collect()}
+    assert got == {(1, "a"): 2, (1, "b"): 3, (1, "b a"): 2, (1, "a b"): 2, (4, "x"): 1}
