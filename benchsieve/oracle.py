@@ -499,6 +499,21 @@ SELECT *, CASE WHEN bad_clarity_count > 0 THEN 'rejected' WHEN prompt_count = 0
   SELECT file_name, count(*) AS row_count, count(*) FILTER (kept) AS prompt_count, count(*) FILTER (kept AND NOT known) AS bad_clarity_count
   FROM (SELECT file_name, coalesce({strip('prompt')}, '') <> '' AS kept,
       upper({strip('clarity')}) IN {names(policy.CLARITIES)} AS known FROM prompt_files) f GROUP BY file_name) g""",
+    "ingest_total": f"""
+SELECT count(*) AS file_count, count(*) FILTER (prompt_count > 0) AS used_count, CAST(coalesce(sum(prompt_count), 0) AS BIGINT) AS total_prompts,
+  CAST(coalesce(sum(bad_clarity_count), 0) AS BIGINT) AS bad_clarity_count,
+  CASE WHEN coalesce(sum(bad_clarity_count), 0) > 0 THEN 'rejected' WHEN coalesce(sum(prompt_count), 0) = 0 THEN 'empty' ELSE 'accepted' END AS status
+FROM (
+  SELECT file_name, count(*) FILTER (kept) AS prompt_count, count(*) FILTER (kept AND NOT known) AS bad_clarity_count
+  FROM (SELECT file_name, coalesce({strip('prompt')}, '') <> '' AS kept,
+      upper({strip('clarity')}) IN {names(policy.CLARITIES)} AS known FROM prompt_files) f GROUP BY file_name) g""",
+    "benchmark_csv": """
+SELECT CAST(doc_id AS VARCHAR) AS id, concat('m', doc_id % 26) AS model_id, concat('"', text, ' ') AS response,
+  CASE WHEN doc_id % 2 = 0 THEN CAST(n_chars AS VARCHAR) END AS tokens, CAST(NULL AS VARCHAR) AS provider FROM documents""",
+    "models_used": f"""
+SELECT r.short_id, m.source, m.model_id, count(*) AS row_count FROM response_parts r
+JOIN (VALUES {", ".join(f"('{m}', '{'vertex' if f == 'gemini' else 'bedrock'}', '{'profile/' * (f == 'meta')}{policy.MODEL_IDS[m]}')" for m, _, f in policy.MODELS)}) m(short_id, source, model_id)
+  ON m.short_id = r.short_id GROUP BY ALL""",
     "ingest_prompts": f"""
 SELECT file_name, row_pos, {strip('prompt')} AS prompt, upper({strip('clarity')}) AS clarity, 'mid' AS prompt_complexity, 'reasoning' AS use_case
 FROM prompt_files WHERE coalesce({strip('prompt')}, '') <> '' AND file_name NOT IN (

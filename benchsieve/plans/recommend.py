@@ -76,6 +76,8 @@ def recommend(
     """
     bench = bench.where(F.col("use_case").isin(*policy.USE_CASES))
     winners, current = slice_tables(bench, rules)
+    # At most one row per known use case.
+    present = [r["use_case"] for r in bench.select("use_case").distinct().collect()]
     asked = resolve_signals(validate_requests(requests), logs)
     if "data_source" in bench.columns:
         # One row per known use case.
@@ -90,7 +92,11 @@ def recommend(
         {
             "recommended": F.when(answered, F.col("recommended")),
             "filter_level": F.when(answered, tier_name()).otherwise("none"),
-            "error": F.coalesce("error", F.when(~answered, policy.ERROR_NO_SLICE)),
+            "error": F.coalesce(
+                "error",
+                F.when(~F.col("use_case").isin(*present), policy.ERROR_NO_DATA),
+                F.when(~answered, policy.ERROR_NO_SLICE),
+            ),
         }
     )
     decided = matched.withColumns(rank.deltas()).withColumns(rank.switch_decision(found, rules))

@@ -584,6 +584,37 @@ def ingest_report(spark, sf):
     return readers.prompt_file_report(view(spark, sf, "prompt_files"))
 
 
+@query
+def ingest_total(spark, sf):
+    return readers.job_total(readers.prompt_file_report(view(spark, sf, "prompt_files")))
+
+
+@query
+def benchmark_csv(spark, sf):
+    """Benchmark files of two column orders, with responses over several lines."""
+    rows = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("id"),
+        F.concat(F.lit("m"), (F.col("doc_id") % 26).cast("string")).alias("model_id"),
+        F.concat(F.lit('"'), "text", F.lit(" ")).alias("response"),
+        F.col("n_chars").cast("string").alias("tokens"),
+        F.col("lang").alias("remark"),
+    )
+    path = new_folder(spark)
+    is_even = F.col("id").cast("bigint") % 2 == 0
+    writers.write_prompts(rows.where(is_even), f"{path}/a", ["id", "model_id", "response", "tokens"])
+    writers.write_prompts(rows.where(~is_even), f"{path}/b", ["remark", "response", "id", "model_id"])
+    read = readers.read_benchmark_csv(spark, [f"{path}/a/*.csv", f"{path}/b/*.csv"])
+    return read.select("id", "model_id", "response", "tokens", "provider")
+
+
+@query
+def models_used(spark, sf):
+    """Rows and full model ids of the models that have answered."""
+    models = readers.model_catalogue(spark, "profile/")
+    used = view(spark, sf, "response_parts").groupBy("short_id").agg(F.count(F.lit(1)).alias("row_count"))
+    return used.join(F.broadcast(models), "short_id").select("short_id", "source", "model_id", "row_count")
+
+
 @query
 def ingest_prompts(spark, sf):
     return readers.ingest_prompts(

@@ -18,20 +18,40 @@ def _quoted_csv(spark: SparkSession, schema):
     return reader.schema(schema) if schema is not None else reader
 
 
+def _first_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, line) of every file: its first line that is not blank, or null."""
+    listed = spark.read.format("binaryFile").load(path).select("path", F.col("_metadata.file_path").alias("file"))
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_seen"),
+        F.col("value").alias("line"),
+    )
+    # Lines of one block are read in their order.
+    first = lines.where((F.col("_block") == 0) & ~is_blank(F.col("line")))
+    first = first.groupBy("file").agg(F.min_by("line", "_seen").alias("line"))
+    return listed.join(first, "file", "left").select("path", "line")
+
+
 def files_by_header(
     spark: SparkSession, path: str | list[str]
 ) -> dict[tuple[str, ...], list[str]]:
     """The CSV files under ``path``, grouped by their header lines.
 
-    Spark gives all files of one read the columns of the first, so each header is read
-    apart. Only names and header lines come to the driver.
+    Spark gives all files of one read the columns of the first, so files are grouped by their
+    first lines in one job, and one file of each group tells its columns. A header whose
+    quotes do not close in its line goes on in the next, so such a file is read apart. Only
+    names and first lines come to the driver.
     """
-    listed = spark.read.format("binaryFile").load(path).select("path").orderBy("path")
+    by_line: dict[str, list[str]] = {}
+    for row in _first_lines(spark, path).orderBy("path").collect():
+        line = row["line"] or ""
+        by_line.setdefault(line if line.count('"') % 2 == 0 else row["path"], []).append(row["path"])
     groups: dict[tuple[str, ...], list[str]] = {}
-    for row in listed.collect():
-        header = tuple(_quoted_csv(spark, None).csv(row["path"]).columns)
-        groups.setdefault(header, []).append(row["path"])
-    return groups
+    for line, files in by_line.items():
+        header = tuple(_quoted_csv(spark, None).csv(files[0]).columns) if line else ()
+        groups.setdefault(header, []).extend(files)
+    return {header: sorted(files) for header, files in groups.items()}
 
 
 def _all_files(parts: list[DataFrame]) -> DataFrame:
@@ -220,6 +240,23 @@ def prompt_file_report(rows: DataFrame) -> DataFrame:
     )
 
 
+def job_total(report: DataFrame) -> DataFrame:
+    """One row for a job over the files of ``prompt_file_report``: files, prompts and status.
+
+    One file with a bad value rejects the job, and a job without prompts has nothing to do.
+    """
+    prompts = F.coalesce(F.sum("prompt_count"), F.lit(0))
+    bad = F.coalesce(F.sum("bad_clarity_count"), F.lit(0))
+    status = F.when(bad > 0, "rejected").when(prompts == 0, "empty").otherwise("accepted")
+    return report.agg(
+        F.count(F.lit(1)).alias("file_count"),
+        F.count_if(F.col("prompt_count") > 0).alias("used_count"),
+        prompts.alias("total_prompts"),
+        bad.alias("bad_clarity_count"),
+        status.alias("status"),
+    )
+
+
 def ingest_prompts(
     rows: DataFrame, use_case: str, complexity: str, strict: bool = True
 ) -> DataFrame:
@@ -266,15 +303,20 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.PROFILE).json(path)
 
 
-def model_catalogue(spark: SparkSession) -> DataFrame:
-    """All known models with provider, response format and registry of origin."""
-    hosted = [m for m in policy.MODELS if m[2] != "gemini"]
-    vertex = [m for m in policy.MODELS if m[2] == "gemini"]
-    columns = "short_id string, provider string, fmt string"
-    return (
-        spark.createDataFrame(hosted, columns)
-        .withColumn("source", F.lit("bedrock"))
-        .unionByName(spark.createDataFrame(vertex, columns).withColumn("source", F.lit("vertex")))
+def model_catalogue(spark: SparkSession, profile_prefix: str = "") -> DataFrame:
+    """All known models with provider, response format, registry of origin and full model id.
+
+    ``profile_prefix`` is the prefix of an account, which stands before ids of Meta models.
+    """
+    def full_id(short_id: str, fmt: str) -> str:
+        return (profile_prefix if fmt == "meta" else "") + policy.MODEL_IDS[short_id]
+
+    rows = [
+        (short_id, provider, fmt, "vertex" if fmt == "gemini" else "bedrock", full_id(short_id, fmt))
+        for short_id, provider, fmt in policy.MODELS
+    ]
+    return spark.createDataFrame(
+        rows, "short_id string, provider string, fmt string, source string, model_id string"
     )
 
 

@@ -317,3 +317,28 @@ def test_terms_are_counted_without_a_shuffle(spark):
     assert "Exchange" not in terms._jdf.queryExecution().executedPlan().toString()
     got = {(r.doc_id, r.term): r.tf for r in terms.collect()}
     assert got == {(1, "a"): 2, (1, "b"): 3, (1, "b a"): 2, (1, "a b"): 2, (4, "x"): 1}
+
+
+def test_headers_of_many_files_take_few_jobs(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for i in range(2000):
+        header = "prompt,clarity" if i % 2 else "clarity,note,prompt"
+        row = f'"p{i}\nx",clear' if i % 2 else f"partial,n,p{i}"
+        (folder / f"{i:04}.csv").write_text(f"{header}\n{row}\n")
+    (folder / "odd.csv").write_text('"clarity","pro""mpt"\n')
+    (folder / "two.csv").write_text('"two\nlines",prompt,clarity\nv,last,clear\n')
+    (folder / "none.csv").write_text("")
+    sc = spark.sparkContext
+    sc.setJobGroup("headers", "")
+    groups = readers.files_by_header(spark, str(folder))
+    jobs_used = len(sc.statusTracker().getJobIdsForGroup("headers"))
+    sc.setJobGroup("", "")
+    assert jobs_used < 30
+    assert {h: len(f) for h, f in groups.items()} == {
+        ("prompt", "clarity"): 1000, ("clarity", "note", "prompt"): 1000, ("clarity", 'pro"mpt'): 1,
+        ("two\nlines", "prompt", "clarity"): 1,
+    }
+    rows = readers.read_prompt_files(spark, str(folder), skip_rejected=True)
+    found = {(r.file_name, r.prompt, r.clarity) for r in rows.select("file_name", "prompt", "clarity").collect()}
+    assert len(found) == 2001 and ("0001.csv", "p1\nx", "clear") in found and ("two.csv", "last", "clear") in found
