@@ -1,4 +1,4 @@
-"""Exact row numbers that stay spread over many tasks."""
+"""Exact row numbers and running sums that stay spread over many tasks."""
 
 from __future__ import annotations
 
@@ -59,3 +59,28 @@ def number_rows(
         .withColumn(name, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("bigint"))
         .drop("_row", "_part", "_local", "_before")
     )
+
+
+def running_sums(
+    df: DataFrame, order: list[str], group: list[str], value: str, name: str = "before"
+) -> DataFrame:
+    """Add the sum of ``value`` over the earlier rows of the group, in ``order``.
+
+    As ``number_rows``: sorted by range, summed inside partitions, and the sums of earlier
+    partitions added, so that one group may cover many of them. ``value`` is not null.
+    """
+    keys = [*group, *order]
+    ranged = settle(
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
+    )
+    spans = ranged.groupBy("_part", *group).agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # Only the first group of a partition goes on from an earlier one.
+    carried = spans.select("_part", *group, F.sum("_sum").over(earlier).alias("_carried")).where("_carried IS NOT NULL")
+    local = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.withColumn("_local", F.coalesce(F.sum(value).over(local), F.lit(0)))
+    return (
+        join_null_safe(summed, F.broadcast(carried), ["_part", *group], "left")
+        .withColumn(name, F.col("_local") + F.coalesce("_carried", F.lit(0)))
+        .drop("_part", "_local", "_carried")
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from benchsieve import policy
 from benchsieve.functions.durable import settle
-from benchsieve.functions.numbering import number_rows
+from benchsieve.functions.numbering import number_rows, running_sums
 from benchsieve.functions.text import strip
 from benchsieve.operators.clean import default_use_case
 from benchsieve.sources.schemas import JUDGE_SCORES
@@ -184,6 +184,68 @@ def judge_requests(
     )
 
 
+def judge_messages(
+    batches: DataFrame,
+    responses: DataFrame,
+    prompts: DataFrame,
+    rubric: str,
+    most_chars: int = 100_000,
+) -> DataFrame:
+    """(prompt_id, batch, part, text): the requests of judge batches in numbered parts.
+
+    A part has at most ``most_chars`` characters, and the parts of a batch in order are the
+    text that ``judge_requests`` gives. Responses know their place from the running sum of
+    lengths, so a batch of any number of them is never one value. Batches whose prompt is
+    not known have an empty one.
+    """
+    group = ["prompt_id", "batch"]
+    texts = responses.select("resp_id", F.coalesce("response", F.lit("")).alias("_text"))
+    lengths = texts.select("resp_id", F.char_length("_text").cast("bigint").alias("_chars"))
+    numbered = number_rows(batches.join(lengths, "resp_id"), ["tokens", "model_id", "resp_id"], group, "_nth")
+
+    def lead() -> Column:
+        opened = F.concat(F.lit("[Response "), F.col("_nth").cast("string"), F.lit("] model_id: "), "model_id", F.lit("\n"))
+        return F.when(F.col("_nth") > 1, F.concat(F.lit(SEPARATOR), opened)).otherwise(opened)
+
+    sized = numbered.withColumn("_size", F.char_length(lead()) + F.col("_chars"))
+    placed = running_sums(sized, ["_nth"], group, "_size", "_start")
+    asked = prompts.select("prompt_id", "prompt", "use_case")
+    heads = (
+        batches.groupBy(*group)
+        .agg(F.count(F.lit(1)).cast("string").alias("_count"))
+        .join(asked, "prompt_id", "left")
+        .select(
+            *group,
+            F.concat(
+                F.lit(f"{rubric}\n\nUSER-SELECTED USE CASE:\n"),
+                default_use_case(F.col("use_case")),
+                F.lit("\n\nPROMPT:\n"),
+                F.coalesce("prompt", F.lit("")),
+                F.lit("\n\nMODEL RESPONSES ("),
+                "_count",
+                F.lit(" total):\n\n"),
+            ).alias("_piece"),
+        )
+    )
+    heads = settle(heads.withColumn("_head", F.char_length("_piece").cast("bigint")))
+    members = placed.join(heads.select(*group, "_head"), group).join(texts, "resp_id")
+    pieces = members.select(*group, "_nth", (F.col("_head") + F.col("_start")).alias("_start"), F.concat(lead(), "_text").alias("_piece"))
+    whole = pieces.unionByName(
+        heads.select(*group, F.lit(0).cast("bigint").alias("_nth"), F.lit(0).cast("bigint").alias("_start"), "_piece")
+    )
+    first = F.floor(F.col("_start") / most_chars)
+    last = F.floor((F.col("_start") + F.char_length("_piece") - 1) / most_chars)
+    cut = whole.withColumn("part", F.explode(F.sequence(first, last)))
+    begin = F.greatest(F.col("part") * most_chars - F.col("_start"), F.lit(0))
+    end = (F.col("part") + 1) * most_chars - F.col("_start")
+    text = F.substring("_piece", (begin + 1).cast("int"), (end - begin).cast("int"))
+    # A part has no more pieces than characters.
+    held = F.array_sort(F.collect_list(F.struct("_nth", text.alias("text"))))
+    return cut.groupBy(*group, "part").agg(held.alias("_held")).select(
+        *group, "part", F.array_join(F.transform("_held", lambda p: p["text"]), "").alias("text")
+    )
+
+
 def label_requests(
     chunked: DataFrame,
     instruction: str,

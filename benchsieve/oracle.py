@@ -437,6 +437,17 @@ FROM (SELECT prompt_id, batch, count(*) AS response_count,
   FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id, batch ORDER BY tokens, model_id, resp_id) AS nth FROM batched) n
   GROUP BY prompt_id, batch) r
 JOIN (SELECT conv_id, text FROM conversations WHERE turn = 0) q ON q.conv_id = r.prompt_id""",
+    "judge_messages": """
+SELECT prompt_id, batch, part, substr(request, CAST(part * 1000 + 1 AS BIGINT), 1000) AS text FROM (
+  SELECT *, unnest(range((length(request) + 999) // 1000)) AS part FROM (
+    SELECT r.prompt_id, r.batch, concat('Score each response.', chr(10), chr(10), 'USER-SELECTED USE CASE:', chr(10), 'reasoning',
+      chr(10), chr(10), 'PROMPT:', chr(10), coalesce(q.text, ''), chr(10), chr(10), 'MODEL RESPONSES (', r.response_count, ' total):', chr(10), chr(10), r.body) AS request
+    FROM (SELECT prompt_id, batch, count(*) AS response_count,
+        string_agg(concat('[Response ', nth, '] model_id: ', model_id, chr(10), response),
+          concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY nth) AS body
+      FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id, batch ORDER BY tokens, model_id, resp_id) AS nth FROM batched) n
+      GROUP BY prompt_id, batch) r
+    LEFT JOIN (SELECT conv_id, min_by(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id) q ON q.conv_id = r.prompt_id) w) p""",
     "chunks": "SELECT prompt_id, CAST((row_number() OVER (ORDER BY prompt_id) - 1) // 5 + 1 AS BIGINT) AS chunk FROM prompts",
     "chunks_relabel": "SELECT prompt_id, CAST((row_number() OVER (ORDER BY prompt_id) - 1) // 12 + 1 AS BIGINT) AS chunk FROM prompts",
     "label_requests": """
@@ -636,6 +647,7 @@ WHERE d.lang IS DISTINCT FROM 'fr' AND regexp_matches(d.text, '\\S')""",
 }
 # A stream that takes the same events in deliveries, with repeated and late ones, gives the same rows.
 SQL |= {f"{name}_bounded": SQL[name] for name in ("job_progress", "job_status", "file_lifecycle", "chunk_lifecycle")}
+SQL["answers_resumed"] = SQL["labeller"]
 SQL["scan_stored"] = SQL["scan_filtered"]
 SQL["events_until_end_stream"] = SQL["events_until_end"]
 

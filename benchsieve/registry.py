@@ -14,6 +14,7 @@ from benchsieve.functions.numbering import number_rows
 from benchsieve.functions.numbers import round_to
 from benchsieve.functions.text import normalise_prompt
 from benchsieve.operators import aggregate, classify, clean, labels, rank, responses, signals
+from benchsieve.operators.answers import AnswerLog
 from benchsieve.operators.aggregate import TIER_SLICE
 from benchsieve.plans import profiles as profile_plans
 from benchsieve.plans.recommend import recommend
@@ -467,6 +468,42 @@ def judge_requests(spark, sf):
     return labels.judge_requests(labels.token_batches(named), named, asked, "Score each response.")
 
 
+@query
+def judge_messages(spark, sf):
+    """Requests in parts, with each conversation's first user turn as its prompt."""
+    parsed = responses.parse_responses(raw_responses(spark, sf))
+    successful, _ = clean.split_responses(parsed)
+    named = successful.withColumn("model_id", F.col("short_id"))
+    turns = table(spark, sf, "conversations").where(F.col("role") == "user")
+    asked = turns.groupBy(F.col("conv_id").alias("prompt_id")).agg(F.min_by("text", "turn").alias("prompt"))
+    asked = asked.withColumn("use_case", F.lit("Reasoning"))
+    return labels.judge_messages(
+        labels.token_batches(named), named, asked, "Score each response.", most_chars=1000
+    )
+
+
+@query
+def answers_resumed(spark, sf):
+    """Labels of all prompts from two runs, of which the first cannot answer every third chunk."""
+    rows = prompts(spark, sf).select("prompt_id", "prompt")
+    chunked = settle(labels.fixed_chunks(rows, ["prompt_id"], 5))
+    log = AnswerLog(spark, new_folder(spark), "prompt_id bigint, clarity string")
+
+    def rule(chunk):
+        length = chunk["prompt"].str.len()
+        chunk["clarity"] = length.map(lambda n: "CLEAR" if n > 500 else "PARTIAL")
+        return chunk
+
+    def broken(chunk):
+        if chunk["chunk"].iloc[0] % 3 == 0:
+            raise ConnectionError("no answer")
+        return rule(chunk)
+
+    log.run(chunked, broken)
+    log.run(chunked, rule)
+    return log.answers()
+
+
 @query
 def chunks(spark, sf):
     return labels.fixed_chunks(prompts(spark, sf).select("prompt_id"), ["prompt_id"], 5)

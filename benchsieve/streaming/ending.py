@@ -8,14 +8,19 @@ than the watermark are dropped, so a late one cannot open an ended job again.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from benchsieve.streaming.jobs import TERMINAL
 
+# Executors get the processor with the tasks, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 

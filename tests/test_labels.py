@@ -4,7 +4,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from benchsieve.functions.numbering import running_sums
 from benchsieve.operators import clean, labels, responses
+from benchsieve.operators.answers import AnswerLog
 from benchsieve.sources.readers import allowed_models, price_table
 
 
@@ -206,3 +208,55 @@ def test_missing_ids_are_listed_in_order(spark):
     assert found == [(1, 4, ["p4", "p2"], "Missing clarity labels for prompt_ids: p4, p2, ...")]
     whole = labels.label_missing(expected, returned).first()
     assert whole.error == "Missing clarity labels for prompt_ids: p4, p2, p1, p0"
+
+
+def test_messages_of_bounded_size_join_to_the_whole_request(spark):
+    rows = [("p", i, f"m{i % 3}", "abé"[: i % 4]) for i in range(3000)] + [("q", 5000, "m", "x" * 700), ("q", 5001, "m", None), ("r", 5002, "m", "y")]
+    answers = spark.createDataFrame(rows, "prompt_id string, resp_id int, model_id string, response string").repartition(5)
+    known = answers.where("response IS NOT NULL")
+    asked = spark.createDataFrame([("p", "why?", "Reasoning"), ("q", "é" * 120, None)], "prompt_id string, prompt string, use_case string")
+    batches = labels.token_batches(known)
+    assert batches.where("prompt_id = 'p'").select("batch").distinct().count() == 1
+    found = labels.judge_messages(batches, known, asked, "Rubric", most_chars=100).collect()
+    joined = {}
+    for r in sorted(found, key=lambda r: r.part):
+        assert 0 < len(r.text) <= 100 and len(joined.get((r.prompt_id, r.batch), "")) == 100 * r.part
+        joined[r.prompt_id, r.batch] = joined.get((r.prompt_id, r.batch), "") + r.text
+    wanted = {(r.prompt_id, r.batch): r.request for r in labels.judge_requests(batches, known, asked, "Rubric").collect()}
+    assert {k: v for k, v in joined.items() if k[0] != "r"} == wanted
+    assert joined["r", 1].endswith("PROMPT:\n\n\nMODEL RESPONSES (1 total):\n\n[Response 1] model_id: m\ny")
+
+
+def test_running_sums_over_hot_groups(spark):
+    rng = random.Random(4)
+    rows = [(None if i % 9 == 0 else "hot" if i % 3 else f"g{i % 5}", i, rng.randrange(9)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g string, i int, n bigint").repartition(7)
+    got = {r.i: r.before for r in running_sums(df, ["i"], ["g"], "n").collect()}
+    seen = {}
+    for g, i, n in rows:
+        assert got[i] == seen.get(g, 0)
+        seen[g] = seen.get(g, 0) + n
+
+
+def test_chunks_are_asked_for_once_over_two_runs(spark, tmp_path):
+    asked = tmp_path / "asked"
+    asked.mkdir()
+    rows = spark.range(100).selectExpr("id DIV 10 AS chunk", "id AS prompt_id", "'text' AS prompt")
+    log = AnswerLog(spark, str(tmp_path / "log"), "prompt_id bigint, clarity string", chunks_per_wave=4)
+
+    def labeller(chunk):
+        number = int(chunk["chunk"].iloc[0])
+        with open(asked / str(number), "a") as file:
+            file.write("x")
+        if number in (3, 7) and (asked / str(number)).stat().st_size == 1:
+            raise TimeoutError("late")
+        return chunk.assign(clarity=f"c{number}")
+
+    log.run(rows, labeller)
+    assert log.pending(rows).select("chunk").distinct().count() == 2
+    assert {tuple(r) for r in log.failures().collect()} == {(3, "TimeoutError: late"), (7, "TimeoutError: late")}
+    again = AnswerLog(spark, str(tmp_path / "log"), "prompt_id bigint, clarity string")
+    again.run(rows, labeller)
+    again.run(rows, labeller)
+    assert {f.name: f.stat().st_size for f in asked.iterdir()} == {str(n): 2 if n in (3, 7) else 1 for n in range(10)}
+    assert sorted((r.prompt_id, r.clarity) for r in again.answers().collect()) == [(i, f"c{i // 10}") for i in range(100)]
