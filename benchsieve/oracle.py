@@ -647,6 +647,14 @@ WHERE d.lang IS DISTINCT FROM 'fr' AND regexp_matches(d.text, '\\S')""",
 }
 # A stream that takes the same events in deliveries, with repeated and late ones, gives the same rows.
 SQL |= {f"{name}_bounded": SQL[name] for name in ("job_progress", "job_status", "file_lifecycle", "chunk_lifecycle")}
+SQL["linear_report"] = f"""
+SELECT class, support, predicted_count, hits, coalesce(hits / nullif(predicted_count, 0), 0e0) AS precision,
+  coalesce(hits / nullif(support, 0), 0e0) AS recall, coalesce(2 * hits / nullif(predicted_count + support, 0), 0e0) AS f1
+FROM (
+  SELECT class, count(*) FILTER (lang = class) AS support, count(*) FILTER (predicted = class) AS predicted_count,
+    count(*) FILTER (lang = class AND predicted = class) AS hits
+  FROM (SELECT d.lang, p.predicted FROM documents d JOIN ({SQL["linear_scores"]}) p ON p.doc_id = d.doc_id) s
+  JOIN (SELECT DISTINCT lang AS class FROM documents) k ON true GROUP BY class) c"""
 SQL["answers_resumed"] = SQL["labeller"]
 SQL["scan_stored"] = SQL["scan_filtered"]
 SQL["events_until_end_stream"] = SQL["events_until_end"]

@@ -934,6 +934,14 @@ def linear_scores(spark, sf):
     return scored.select("doc_id", "predicted", round_to(F.col("confidence"), 6).alias("confidence"))
 
 
+@query
+def linear_report(spark, sf):
+    """How well the linear model tells the languages it was made from."""
+    langs = table(spark, sf, "documents").select("doc_id", "lang")
+    scored = linear_scores(spark, sf).join(langs, "doc_id")
+    return classify.class_report(scored, "lang", "predicted")
+
+
 # Streams
 
 
