@@ -10,8 +10,8 @@ than five words have one shingle, their whole word sequence. Null texts count as
 likeness of each candidate on the full shingle sets; ``near_documents`` gives every row the
 component of its links. A pair at 0.8 shares none of the 36 bands of 7 with probability 2e-4.
 
-Documents follow each other by descending ``doc_id``, equal ones by their text, those without
-``doc_id`` last; behind the last comes the first. An only document follows itself. An empty
+Documents follow each other by descending ``doc_id``, equal ones by their text; those without
+``doc_id`` come last, in the order of a hash of their texts. Behind the last comes the first. An only document follows itself. An empty
 table gives an empty result. Very long texts are read whole. Other columns are not read.
 """
 
@@ -31,7 +31,6 @@ from benchsieve.llm.op5_near_dedup import band_keys, lists
 
 SAMPLES = 256
 SEED = 9_2024
-_LEAST = -(2**63)
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 
 
@@ -127,47 +126,66 @@ def near_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 def bucket_of(value: Column, bounds: list[int]) -> Column:
     """How many sorted ``bounds`` are below ``value``, by a binary search."""
-    levels = len(bounds).bit_length()
-    padded = bounds + [2**63 - 1] * (2**levels - len(bounds))
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(levels))]) if levels else None
-    if steps is None:
+    padded = padded_bounds(bounds)
+    return place_in(value, F.array(*[F.lit(b) for b in padded]), len(bounds).bit_length())
+
+
+def padded_bounds(bounds: list[int]) -> list[int]:
+    return bounds + [2**63 - 1] * (2 ** len(bounds).bit_length() - len(bounds))
+
+
+def place_in(value: Column, table: Column, levels: int) -> Column:
+    """``bucket_of`` for an array column of 2 ** ``levels`` padded bounds."""
+    if not levels:
         return F.lit(0)
-    table = F.array(*[F.lit(b) for b in padded])
     return F.aggregate(
-        steps,
+        F.array(*[F.lit(1 << i) for i in reversed(range(levels))]),
         F.lit(0),
         lambda low, step: low + F.when(F.element_at(table, low + step) < value, step).otherwise(0),
     )
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """Rows (bucket, ahead, key, doc_id, text), sorted for one sweep per bucket.
+    """Rows (bucket, ahead, doc_id, text), sorted for one sweep per bucket.
 
-    Buckets are ranges of keys from quantiles. The first row of a bucket is also sent, marked
-    ``ahead``, to the end of the bucket before it, so texts move once.
+    Buckets are ranges of keys from quantiles. Rows without a key come last; they are dealt
+    over buckets of their own by a hash of their texts. The first row of a bucket is also
+    sent, marked ``ahead``, to the end of the bucket before it, so texts move once. Bounds and
+    first rows are small tables with a row or an entry per bucket, so the size of expressions
+    does not grow with the buckets.
     """
     spark = docs.sparkSession
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))
-    rows = docs.select(key.alias("key"), "doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), "doc_id", "text")
+    rows = rows.withColumn("top", F.coalesce("key", F.xxhash64("text")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # More ranges than tasks, so that tasks get about equal shares of them.
     ranges = 4 * parts
     wanted = [i / ranges for i in range(1, ranges)]
-    found = rows.agg(F.percentile_approx("key", wanted, 20 * ranges)).first()[0] if wanted else None
-    rows = rows.withColumn("bucket", bucket_of(F.col("key"), sorted(set(found or []))))
+    found, count, keyless = rows.agg(
+        F.percentile_approx("key", wanted, 20 * ranges), F.count(F.lit(1)), F.count_if(F.col("key").isNull())
+    ).first()
+    bounds = sorted(set(found or []))
+    held = spark.createDataFrame([(1, padded_bounds(bounds))], "one int, bounds array<bigint>")
+    ranged = place_in(F.col("key"), F.col("bounds"), len(bounds).bit_length())
+    dealt = -1 - F.pmod("top", F.lit(max(1, -(-ranges * keyless // max(count, 1)))))
+    bucket = F.when(F.col("key").isNull(), dealt.cast("int")).otherwise(ranged)
+    rows = rows.withColumn("one", F.lit(1)).join(F.broadcast(held), "one").withColumn("bucket", bucket)
+    rows = rows.drop("one", "bounds")
     # One row per bucket, and so per partition.
-    heads = rows.groupBy("bucket").agg(F.max("key").alias("key")).collect()
-    heads.sort(key=lambda r: -r["key"])
-    before = {r["key"]: heads[i - 1]["bucket"] for i, r in enumerate(heads)}
-    targets = spark.createDataFrame(list(before.items()), "h_key long, h_bucket int")
-    own = F.struct(F.col("bucket").cast("int").alias("bucket"), F.lit(False).alias("ahead"))
+    heads = rows.groupBy("bucket").agg(F.max("top").alias("top")).collect()
+    heads.sort(key=lambda r: -r["bucket"])
+    targets = spark.createDataFrame(
+        [(r["bucket"], r["top"], heads[i - 1]["bucket"]) for i, r in enumerate(heads)],
+        "bucket int, top long, h_bucket int",
+    )
+    own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("ahead"))
     copy = F.struct(F.col("h_bucket").alias("bucket"), F.lit(True).alias("ahead"))
     return (
-        rows.join(F.broadcast(targets), F.col("key") == F.col("h_key"), "left")
+        rows.join(F.broadcast(targets), ["bucket", "top"], "left")
         .withColumn("place", F.explode(F.when(F.col("h_bucket").isNull(), F.array(own)).otherwise(F.array(own, copy))))
-        .select("place.bucket", "place.ahead", "key", "doc_id", "text")
+        .select("place.bucket", "place.ahead", "top", "doc_id", "text")
         .repartition(parts, "bucket")
-        .sortWithinPartitions("bucket", "ahead", F.desc("key"), "text")
+        .sortWithinPartitions("bucket", "ahead", F.desc("top"), "text")
     )
 
 

@@ -177,3 +177,34 @@ def test_prefixes_keep_every_similar_pair(spark):
             if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]) and sets[i] != sets[j]
         }
         assert similar and similar <= pairs
+
+
+def test_edited_texts_of_many_rows_without_keys(spark):
+    import hashlib
+
+    rows = [(None if i % 3 else i * 7 - 900, f"text {i} " * (1 + i % 5) if i % 50 else None) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    ordered = op9_fingerprints.in_order(docs)
+    dealt = {r.bucket: r["count"] for r in ordered.where("doc_id IS NULL AND NOT ahead").groupBy("bucket").count().collect()}
+    assert len(dealt) > 4 and max(dealt.values()) < 1000 / 3
+    found = op9_fingerprints.edited_fingerprints(docs).collect()
+    assert len(found) == len(rows)
+    # Every text is the next one of exactly one row; keyed rows follow each other downwards.
+    keyed = {k: t or "" for k, t in rows if k is not None}
+    order = sorted(keyed, reverse=True)
+    got = {r.doc_id: r.edited_sha256 for r in found if r.doc_id is not None}
+    for key, after in zip(order, order[1:]):
+        text, cut = keyed[key], len(keyed[key]) // 3
+        assert got[key] == hashlib.sha256((text[: len(text) - cut] + keyed[after][:cut]).encode()).hexdigest()
+
+
+def test_the_plan_does_not_grow_with_the_partitions(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "'some text' AS text")
+    sizes, kept = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (10, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            sizes.append(len(op9_fingerprints.in_order(docs)._jdf.queryExecution().analyzed().toString()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert sizes[1] < 1.3 * sizes[0]
