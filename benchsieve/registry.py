@@ -393,16 +393,11 @@ def judge_scores(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query
-def bench_rows(spark, sf):
+def _bench_rows(spark: SparkSession, sf: str, asked: DataFrame) -> DataFrame:
+    """Judged responses as benchmark rows, with the signals of ``asked`` (prompt_id, prompt)."""
     priced = priced_responses(spark, sf)
     named = priced.withColumns({"model_id": F.col("short_id"), "provider": F.col("fmt")})
-    asked = (
-        table(spark, sf, "conversations")
-        .groupBy(F.col("conv_id").alias("prompt_id"))
-        .agg(F.max_by("text", "turn").alias("prompt"))
-        .withColumn("use_case", clean.default_use_case(F.lit("reasoning")))
-    )
+    asked = asked.withColumn("use_case", clean.default_use_case(F.lit("reasoning")))
     attributes = signals.resolve_signals(asked).select(
         "prompt_id", F.col("complexity").alias("prompt_complexity"), "use_case", "clarity"
     )
@@ -410,6 +405,20 @@ def bench_rows(spark, sf):
     return rows.drop("prompt")
 
 
+@query
+def bench_rows(spark, sf):
+    turns = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("prompt_id"))
+    return _bench_rows(spark, sf, turns.agg(F.max_by("text", "turn").alias("prompt")))
+
+
+@query
+def bench_rows_asked(spark, sf):
+    """Benchmark rows whose signals come from what the user asked first in a conversation."""
+    turns = table(spark, sf, "conversations").where(F.col("role") == "user")
+    asked = turns.groupBy(F.col("conv_id").alias("prompt_id")).agg(F.min_by("text", "turn").alias("prompt"))
+    return _bench_rows(spark, sf, asked)
+
+
 @query
 def allowed_models(spark, sf):
     rows = view(spark, sf, "response_parts").select(
