@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,34 +82,72 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
+def packed(rows: np.ndarray) -> np.ndarray:
+    """Rows of four-bit digits as rows of 64-bit integers."""
+    return np.ascontiguousarray(rows[:, ::2] << 4 | rows[:, 1::2]).view(np.int64)
+
+
+def differing_digits(a: Column, b: Column) -> Column:
+    """How many four-bit digits of two arrays of 64-bit integers differ."""
+
+    def marked(x: Column, y: Column) -> Column:
+        changed = x.bitwiseXOR(y)
+        for shift in (1, 2):  # each digit's lowest bit becomes whether any of its bits is set
+            changed = changed.bitwiseOR(F.shiftrightunsigned(changed, shift))
+        return F.bit_count(changed.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return F.aggregate(F.zip_with(a, b, marked), F.lit(0), lambda s, n: s + n)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Verified links (a, b) that connect documents with similar shingle sets."""
+    """Verified links (a, b) that connect documents with similar shingle sets.
+
+    Documents of equal sets are one class, linked to its smallest ``doc_id``; bands are joined
+    between classes.
+    """
     rows, bands = 7, SAMPLES // 7
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draws = words.Permutations(SAMPLES, SEED)
         for batch in batches:
             for part in words.slices(batch):
-                signature, full = signatures(part.column("text"))
+                hashes, bounds = words.shingle_hashes(part.column("text"))
+                signature = draws.signatures(hashes, bounds)
+                sets = words.distinct(hashes, bounds)
+                full = np.diff(bounds) > 0
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").cast(pa.int64()),
+                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                         lists(band_keys(signature, rows, bands)),
-                        lists(signature.astype(np.int64)),
+                        lists(packed(digits(signature))),
                     ],
-                    ["id", "keys", "sketch"],
+                    ["id", "digest", "keys", "sketch"],
                 ).filter(pa.array(full & part.column("doc_id").is_valid().to_numpy(False)))
 
-    least = SAMPLES * (percent / 100 - 0.15)
+    # A pair at the threshold has so many equal digits, by chance too, less five deviations.
+    share = percent / 100 + (1 - percent / 100) / 16 - 0.15
 
     def likely(a: Column, b: Column) -> Column:
-        equal = F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0))
-        return F.aggregate(equal, F.lit(0), lambda s, x: s + x) >= least
+        return differing_digits(a, b) <= SAMPLES * (1 - share)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = settle(docs.mapInArrow(read, "id long, keys array<long>, sketch array<long>"))
-    return linking.similar_links(
-        sets, likely, linking.confirm_on_texts(docs, percent), linking.rare_prefixes(docs, percent), percent
+    sets = settle(docs.mapInArrow(read, "id long, digest binary, keys array<long>, sketch array<long>"))
+    classes = settle(
+        sets.groupBy("digest").agg(
+            F.min("id").alias("id"), F.min_by("keys", "id").alias("keys"), F.min_by("sketch", "id").alias("sketch")
+        )
+    )
+    equal = sets.select("id", "digest").join(classes.select("digest", F.col("id").alias("a")), "digest")
+    equal = equal.where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
+    similar = linking.similar_links(
+        classes.select("id", "keys", "sketch"),
+        likely,
+        linking.confirm_on_texts(docs, percent),
+        linking.rare_prefixes(docs, percent),
+        percent,
     )
+    return similar.unionByName(equal)
 
 
 def near_documents(docs: DataFrame, percent: int = 80) -> DataFrame:

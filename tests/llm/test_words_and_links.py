@@ -208,3 +208,13 @@ def test_the_plan_does_not_grow_with_the_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", kept)
     assert sizes[1] < 1.3 * sizes[0]
+
+
+def test_packed_digits_differ_where_digits_do(spark):
+    draw = np.random.default_rng(6)
+    a = draw.integers(0, 16, (40, 256)).astype(np.uint8)
+    b = np.where(draw.random((40, 256)) < 0.3, draw.integers(0, 16, (40, 256)), a).astype(np.uint8)
+    rows = list(zip(range(40), op9_fingerprints.packed(a).tolist(), op9_fingerprints.packed(b).tolist()))
+    df = spark.createDataFrame(rows, "i int, a array<long>, b array<long>")
+    found = df.select("i", op9_fingerprints.differing_digits(df["a"], df["b"]).alias("n")).orderBy("i").collect()
+    assert [r.n for r in found] == (a != b).sum(1).tolist()
