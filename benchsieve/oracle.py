@@ -655,6 +655,9 @@ FROM (
     count(*) FILTER (lang = class AND predicted = class) AS hits
   FROM (SELECT d.lang, p.predicted FROM documents d JOIN ({SQL["linear_scores"]}) p ON p.doc_id = d.doc_id) s
   JOIN (SELECT DISTINCT lang AS class FROM documents) k ON true GROUP BY class) c"""
+SQL["requests_without_data"] = f"""
+SELECT prompt_id, use_case, CAST(NULL AS VARCHAR) AS recommended_model, '{policy.ERROR_NO_DATA}' AS error FROM prompts
+WHERE use_case = 'reasoning'"""
 SQL["bench_rows_asked"] = SQL["bench_rows"].replace(
     "max_by(text, turn) AS prompt FROM conversations", "min_by(text, turn) AS prompt FROM conversations WHERE role = 'user'"
 )

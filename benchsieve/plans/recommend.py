@@ -66,18 +66,21 @@ def recommend(
     bench: DataFrame,
     logs: DataFrame | None = None,
     rules: Policy = Policy(),
+    tell_no_data: bool = False,
 ) -> DataFrame:
     """The recommendation for every request, in one job.
 
     ``requests`` has ``prompt``, ``use_case``, ``current_model`` and any key
     columns. ``bench`` holds clean rows, ``logs`` prompt logs. Instead of an
     exception a request that cannot be answered has ``error``. A ``data_source``
-    column of ``bench``, one value per use case, is passed on.
+    column of ``bench``, one value per use case, is passed on. ``tell_no_data`` tells use
+    cases without any benchmark row from those without a supported slice.
     """
     bench = bench.where(F.col("use_case").isin(*policy.USE_CASES))
     winners, current = slice_tables(bench, rules)
-    # At most one row per known use case.
-    present = [r["use_case"] for r in bench.select("use_case").distinct().collect()]
+    present = list(policy.USE_CASES)
+    if tell_no_data:  # at most one row per known use case
+        present = [r["use_case"] for r in bench.select("use_case").distinct().collect()]
     asked = resolve_signals(validate_requests(requests), logs)
     if "data_source" in bench.columns:
         # One row per known use case.
@@ -94,7 +97,7 @@ def recommend(
             "filter_level": F.when(answered, tier_name()).otherwise("none"),
             "error": F.coalesce(
                 "error",
-                F.when(~F.col("use_case").isin(*present), policy.ERROR_NO_DATA),
+                F.when(~F.col("use_case").isin(*present), policy.ERROR_NO_DATA) if tell_no_data else F.lit(None),
                 F.when(~answered, policy.ERROR_NO_SLICE),
             ),
         }

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from benchsieve import policy
 from benchsieve.functions.durable import new_folder, settle, shared_folder
 from benchsieve.functions.numbering import number_rows
 from benchsieve.functions.numbers import round_to
@@ -755,6 +756,15 @@ def provider_order(spark, sf):
     )
 
 
+@query
+def requests_without_data(spark, sf):
+    """Requests of a use case that no benchmark row has."""
+    known = bench(spark, sf).where(F.col("use_case") != "reasoning")
+    answers = recommend(prompts(spark, sf), known, logs(spark, sf), tell_no_data=True)
+    lacking = answers.where(F.col("error") == policy.ERROR_NO_DATA)
+    return lacking.select("prompt_id", "use_case", "recommended_model", "error")
+
+
 @query
 def catalog_by_use_case(spark, sf):
     options = aggregate.options_catalog(bench(spark, sf))

@@ -312,3 +312,11 @@ def test_source_fallback_is_decided_per_use_case(spark):
     assert got == {("a", "primary"): 1, ("c", "local_csv"): 3}
     requests = spark.createDataFrame([("x", "code-generation", "c")], "prompt string, use_case string, current_model string")
     assert recommend(requests, merged, rules=Policy(min_samples=1)).first().data_source == "local_csv"
+
+
+def test_use_cases_without_data_are_told_apart(spark):
+    rows = spark.createDataFrame([("a", "p", "reasoning", "low", "CLEAR", 90.0, 1.0, 5.0)] * 3, BENCH)
+    asked = [(1, "x", "reasoning", "a", "low", "CLEAR"), (2, "x", "code-generation", "a", "low", "CLEAR"), (3, "x", "poetry", "a", "low", "CLEAR")]
+    requests = spark.createDataFrame(asked, "id int, prompt string, use_case string, current_model string, complexity_override string, clarity_override string")
+    found = {r.id: r.error for r in recommend(requests, rows, tell_no_data=True).collect()}
+    assert found[1] == policy.ERROR_NO_SLICE and found[2] == policy.ERROR_NO_DATA and "poetry" in found[3]
