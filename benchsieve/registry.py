@@ -26,6 +26,8 @@ from benchsieve.sources.readers import combine_phases
 from benchsieve.streaming import ending, jobs, rollups
 from benchsieve.streaming.store import UpdateStore
 
+# The number of terms of the classifier that is matched; five fits over all terms take too long.
+FOLD_FEATURES = 5000
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -922,7 +924,7 @@ def classifier_scores(spark, sf):
 
 @query
 def classifier_folds(spark, sf):
-    return classify.cross_validate(_documents(spark, sf))
+    return classify.cross_validate(_documents(spark, sf), max_features=FOLD_FEATURES)
 
 
 @query
