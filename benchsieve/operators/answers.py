@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from benchsieve.functions.durable import new_folder
 from benchsieve.streaming.store import UpdateStore
 
 Labeller = Callable[[pd.DataFrame], pd.DataFrame]
@@ -50,7 +51,8 @@ class AnswerLog:
         """Ask ``labeller`` for each pending chunk of ``chunked`` (chunk, ...), in waves.
 
         ``labeller`` takes the rows of one chunk and returns rows of the schema; a chunk is a
-        request, so it has few rows.
+        request, so it has few rows. What is pending is written by wave first: a wave then reads
+        its own rows alone, and none of the store's files that a merge of later waves removes.
         """
         names = self.columns.fieldNames()
 
@@ -67,7 +69,14 @@ class AnswerLog:
         left = self.pending(chunked)
         count = left.select("chunk").distinct().count()
         waves = -(-count // self.chunks_per_wave)
+        if not waves:
+            return
+        path = new_folder(left.sparkSession)
+        numbered = left.withColumn("_wave", F.pmod(F.xxhash64("chunk"), F.lit(waves)))
+        # Sorted by range, so a task writes to few waves and a large wave is in several files.
+        numbered.repartitionByRange("_wave", "chunk").write.partitionBy("_wave").parquet(path)
+        stored = left.sparkSession.read.schema(numbered.schema).parquet(path)
         for wave in range(waves):
-            mine = F.pmod(F.xxhash64("chunk"), F.lit(waves)) == wave
-            rows = left.where(mine).groupBy("chunk").applyInPandas(ask, schema)
+            mine = stored.where(F.col("_wave") == wave).drop("_wave")
+            rows = mine.groupBy("chunk").applyInPandas(ask, schema)
             self.store.append(rows, self.store.manifest().batch + 1)

@@ -260,3 +260,20 @@ def test_chunks_are_asked_for_once_over_two_runs(spark, tmp_path):
     again.run(rows, labeller)
     assert {f.name: f.stat().st_size for f in asked.iterdir()} == {str(n): 2 if n in (3, 7) else 1 for n in range(10)}
     assert sorted((r.prompt_id, r.clarity) for r in again.answers().collect()) == [(i, f"c{i // 10}") for i in range(100)]
+
+
+def test_second_run_outlives_the_files_that_its_own_waves_merge(spark, tmp_path):
+    rows = spark.range(60).selectExpr("id DIV 2 AS chunk", "id AS prompt_id", "repeat('text', 200) AS prompt")
+    log = AnswerLog(spark, str(tmp_path / "log"), "prompt_id bigint, clarity string", chunks_per_wave=3)
+    log.store.least = 0  # deltas are merged, and their files removed, after nearly every wave
+
+    def broken(chunk):
+        if chunk["chunk"].iloc[0] % 3 == 0:
+            raise ConnectionError("no answer")
+        return chunk.assign(clarity="first")
+
+    log.run(rows, broken)
+    assert log.pending(rows).select("chunk").distinct().count() == 10
+    log.run(rows, lambda chunk: chunk.assign(clarity="second"))
+    got = sorted((r.prompt_id, r.clarity) for r in log.answers().collect())
+    assert got == [(i, "second" if i // 2 % 3 == 0 else "first") for i in range(60)]
