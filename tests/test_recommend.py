@@ -320,3 +320,27 @@ def test_use_cases_without_data_are_told_apart(spark):
     requests = spark.createDataFrame(asked, "id int, prompt string, use_case string, current_model string, complexity_override string, clarity_override string")
     found = {r.id: r.error for r in recommend(requests, rows, tell_no_data=True).collect()}
     assert found[1] == policy.ERROR_NO_SLICE and found[2] == policy.ERROR_NO_DATA and "poetry" in found[3]
+
+
+def test_log_votes_move_digests_and_not_texts(spark):
+    from benchsieve.operators.signals import clarity_from_logs
+
+    asked = spark.createDataFrame(
+        [(1, "Write  it", "reasoning"), (2, " write it ", "reasoning"), (3, None, "reasoning"), (4, "Write  it", None), (5, "other", "reasoning")],
+        "id int, prompt string, use_case string",
+    )
+    logs = spark.createDataFrame(
+        [("Write  it", "reasoning", "clear"), ("write IT", " Reasoning", "unclear"), ("WRITE it", "reasoning", "unclear"), (None, "reasoning", "clear")],
+        "prompt string, use_case string, clarity string",
+    )
+    found = clarity_from_logs(asked, logs)
+    got = {r.id: (r._clarity_exact, r._clarity_normalised) for r in found.collect()}
+    assert got == {1: ("CLEAR", "UNCLEAR"), 2: (None, "UNCLEAR"), 3: (None, None), 4: (None, None), 5: (None, None)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = found.select("id", "_clarity_exact", "_clarity_normalised")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Join" in plan and not [line for line in plan.splitlines() if "Exchange" in line and "prompt" in line]
+    # What each join is keyed by does not have the text itself.
+    assert not [line for line in plan.splitlines() if "Join" in line and "prompt" in line]
