@@ -1,4 +1,5 @@
 import json
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -342,3 +343,40 @@ def test_headers_of_many_files_take_few_jobs(spark, tmp_path):
     rows = readers.read_prompt_files(spark, str(folder), skip_rejected=True)
     found = {(r.file_name, r.prompt, r.clarity) for r in rows.select("file_name", "prompt", "clarity").collect()}
     assert len(found) == 2001 and ("0001.csv", "p1\nx", "clear") in found and ("two.csv", "last", "clear") in found
+
+
+def plain_terms(rows):
+    found = {}
+    for key, text in rows:
+        words = re.findall(r"\w+", (text or "").lower())
+        for term in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]:
+            found[key, term] = found.get((key, term), 0) + 1
+    return found
+
+
+def test_terms_are_counted_in_parts_without_interpreted_arrays(spark, monkeypatch):
+    monkeypatch.setattr(classify, "WORDS_AT_ONCE", 7)
+    rows = [(i, "a b a b a" * (i % 5) + f" x{i % 3}") for i in range(50)] + [(50, None), (51, ""), (52, " - "), (53, "one"), (54, "y z " * 40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    terms = classify.document_terms(docs)
+    assert {(r.doc_id, r.term): r.tf for r in terms.collect()} == plain_terms(rows)
+    assert terms.where("false").count() == classify.document_terms(docs.where("doc_id > 99")).count() == 0
+    plan = terms._jdf.queryExecution().executedPlan().toString()
+    assert "sort_array" not in plan and "zip_with" not in plan
+
+
+def test_linear_scores_move_each_term_once(spark):
+    docs = spark.createDataFrame([(i, "alpha beta " + ("gamma" if i % 2 else "delta eps")) for i in range(20)], "doc_id bigint, text string")
+    vocab = classify.vocabulary(classify.document_terms(docs), 20, max_share=1.0)
+    weights = vocab.select("term", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("class"), F.lit(0.5).alias("weight"))
+    classes = spark.createDataFrame([("a", 0.1), ("b", 0.0)], "class string, intercept double")
+    model = classify.TermModel(vocab, weights.where("class = 'a' or term <> 'gamma'"), classes)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        scored = model.score(docs)
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert {r.predicted for r in scored.collect()} == {"a"}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Terms are read once: before, their weights, their lengths and their classes were three joins.
+    assert plan.count("MapInArrow") == 1
