@@ -380,3 +380,65 @@ def test_linear_scores_move_each_term_once(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # Terms are read once: before, their weights, their lengths and their classes were three joins.
     assert plan.count("MapInArrow") == 1
+
+
+def plain_fit(features, classes, penalty):
+    """Newton's method on the dense problem: (coefficients, intercepts) of weighted classes."""
+    import numpy as np
+
+    x, y = np.array(features), np.array(classes)
+    names = sorted(set(classes))
+    counts = [(y == n).sum() for n in names]
+    shares = np.array([[1 / (len(names) * c) if v == n else 0 for n, c in zip(names, counts)] for v in y])
+    x1 = np.hstack([x, np.ones((len(x), 1))])
+    d, k = x1.shape[1], len(names)
+    theta, keep = np.zeros((d, k)), np.append(np.full(d - 1, penalty), 1e-12)
+    for _ in range(30):
+        p = np.exp(x1 @ theta)
+        p /= p.sum(1, keepdims=True)
+        weight = shares.sum(1)
+        g = x1.T @ (weight[:, None] * p - shares) + keep[:, None] * theta
+        h = np.zeros((d * k, d * k))
+        for i in range(len(x1)):
+            h += weight[i] * np.kron(np.outer(x1[i], x1[i]), np.diag(p[i]) - np.outer(p[i], p[i]))
+        theta -= np.linalg.solve(h + np.kron(np.diag(keep), np.eye(k)), g.ravel()).reshape(d, k)
+    return theta[:-1], theta[-1] - theta[-1].mean()
+
+
+def test_coefficients_over_many_blocks_are_those_of_the_dense_problem(spark, monkeypatch):
+    import numpy as np
+
+    from benchsieve.operators import regression
+
+    monkeypatch.setattr(regression, "BLOCK_ENTRIES", 40)
+    monkeypatch.setattr(regression, "BUCKET_ENTRIES", 15)
+    draw = np.random.default_rng(5)
+    names = ["a", "b", "c"]
+    held = [(i, names[i % 3], " ".join(f"w{draw.integers(0, 4) + 2 * (i % 3)}" for _ in range(draw.integers(1, 9)))) for i in range(60)]
+    held.append((60, "a", "neverseen"))
+    rows = spark.createDataFrame(held, "doc_id long, label string, text string")
+    model = classify.train(rows, max_iterations=200)
+    vocab = model.tables.vocab.orderBy("index").collect()
+    weights = classify.term_weights(classify.document_terms(rows), model.tables.vocab)
+    x = np.zeros((61, len(vocab)))
+    for r in weights.collect():
+        x[r.doc_id, r["index"]] = r.weight
+    wanted, intercepts = plain_fit(x, [r[1] for r in held], 1 / (classify.INVERSE_REGULARISATION * 61))
+    at = {r.term: r["index"] for r in vocab}
+    found = np.zeros(wanted.shape)
+    for r in model.tables.coefficients.collect():
+        found[at[r.term], names.index(r["class"])] = r.weight
+    assert np.abs(found - wanted).max() < 0.02 * np.abs(wanted).max()
+    assert [r.intercept for r in model.tables.classes.orderBy("class").collect()] == pytest.approx(list(intercepts), abs=0.05)
+
+
+def test_no_matrix_of_all_terms_is_on_the_driver(spark, monkeypatch):
+    # Before, pyspark.ml held the coefficients and the vectors of its steps there.
+    def refused(*args, **kwargs):
+        raise AssertionError("all terms on the driver")
+
+    monkeypatch.setattr(classify, "LogisticRegression", refused)
+    assert classify.train(training(spark)).tables.classes.count() == 3
+    again = training(spark).unionByName(spark.createDataFrame([(0, "design a cache", "low"), (None, "design a system", "high")], "doc_id int, text string, label string"))
+    scored = classify.train(again).score(again)
+    assert scored.count() == 26 and scored.where("predicted is null").count() == 0
