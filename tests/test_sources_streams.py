@@ -442,3 +442,16 @@ def test_no_matrix_of_all_terms_is_on_the_driver(spark, monkeypatch):
     again = training(spark).unionByName(spark.createDataFrame([(0, "design a cache", "low"), (None, "design a system", "high")], "doc_id int, text string, label string"))
     scored = classify.train(again).score(again)
     assert scored.count() == 26 and scored.where("predicted is null").count() == 0
+
+
+def test_vocabularies_are_not_broadcast(spark):
+    # Before, a compressed vocabulary below the threshold was built as a broadcast on the driver.
+    rows = training(spark)
+    vocab = classify.settle(classify.vocabulary(classify.document_terms(rows), 24))
+    weights = classify.term_weights(classify.document_terms(rows), vocab)
+    coefficients = vocab.select("term", F.lit("a").alias("class"), F.lit(0.5).alias("weight"))
+    classes = spark.createDataFrame([("a", 0.1)], "class string, intercept double")
+    scored = classify.TermModel(vocab, coefficients, classes).score_terms(classify.document_terms(rows), rows)
+    for found in (weights, scored):
+        assert "BroadcastHashJoin [term" not in found._jdf.queryExecution().executedPlan().toString()
+    assert scored.count() == 24
