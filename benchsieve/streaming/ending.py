@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from benchsieve.streaming.jobs import TERMINAL
@@ -22,9 +22,17 @@ from benchsieve.streaming.jobs import TERMINAL
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_EPOCH, _TICK = datetime(1970, 1, 1, tzinfo=timezone.utc), timedelta(microseconds=1)
+
+
+def _place(at: int, event_id: int | None) -> tuple[int, bool, int]:
+    """The order of events; one without id is the last of its time."""
+    return at, event_id is None, event_id or 0
 
 
 class _UntilEnd(StatefulProcessor):
+    """Works on rows: a job has few of a micro-batch, for which a pandas table costs more than they do."""
+
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
 
@@ -32,41 +40,42 @@ class _UntilEnd(StatefulProcessor):
         self.handle = handle
         self.end = handle.getValueState("end", "ts long, event_id long, timer long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        late_before = timerValues.getCurrentWatermarkInMs()
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        late_before = timerValues.getCurrentWatermarkInMs() * 1000
         # One job's rows of one micro-batch, whose size the source's option bounds.
-        held = [r for r in rows if len(r)]
-        end = self.end.get() if self.end.exists() else None
-        newest = None
-        for r in held:
-            at = r["ts"].astype("datetime64[us]").astype("int64")
-            r["_at"] = at
-            r.drop(r.index[at // 1000 < late_before], inplace=True)
-            ended = r[r["type"].isin(TERMINAL)]
-            if len(ended):
-                first = ended.sort_values(["_at", "event_id"]).iloc[0]
-                found = int(first["_at"]), int(first["event_id"])
-                if end is None or found < (end[0], end[1]):
-                    end = (*found, end[2] if end is not None else 0)
-            if len(r):
-                newest = max(newest or 0, int(r["_at"].max()))
-        if end is not None and newest is not None:
+        held, first, newest = [], None, None
+        for r in rows:
+            if r.ts is None:
+                continue
+            at = ((r.ts if r.ts.tzinfo else r.ts.replace(tzinfo=timezone.utc)) - _EPOCH) // _TICK
+            if at < late_before:
+                continue
+            held.append((at, r))
+            newest = at if newest is None else max(newest, at)
+            if r.type in TERMINAL and (first is None or _place(at, r.event_id) < _place(*first)):
+                first = at, r.event_id
+        if not held:
+            return
+        known = self.end.get()
+        end = known
+        if first is not None and (known is None or _place(*first) < _place(known[0], known[1])):
+            end = (*first, known[2] if known is not None else 0)
+        if end is not None:
             timer = max(end[0], newest) // 1000 + self.keep_ms
             if timer > end[2]:
                 if end[2]:
                     self.handle.deleteTimer(end[2])
                 self.handle.registerTimer(timer)
                 end = (end[0], end[1], timer)
-            self.end.update(end)
-        for r in held:
-            if end is not None:
-                before = (r["_at"] < end[0]) | ((r["_at"] == end[0]) & (r["event_id"] <= end[1]))
-                r = r[before]
-            yield r.drop(columns="_at")
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            if end is not known:
+                self.end.update(end)
+        for at, r in held:
+            if end is None or at < end[0] or (at == end[0] and None not in (r.event_id, end[1]) and r.event_id <= end[1]):
+                yield r
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.end.clear()
-        yield pd.DataFrame()
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -79,6 +88,6 @@ def until_end(events: DataFrame, delay: str = "1 hour", keep_hours: float = 24)
     state store provider must be ``PROVIDER``.
     """
     marked = events.withWatermark("ts", delay)
-    return marked.groupBy("job_id").transformWithStateInPandas(
+    return marked.groupBy("job_id").transformWithState(
         _UntilEnd(int(keep_hours * 3_600_000)), events.schema, "Append", "EventTime"
     )

@@ -1,7 +1,8 @@
 import json
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from benchsieve.sources import schemas
@@ -173,3 +174,45 @@ def test_streams_end_with_their_job(spark, folder, provider):
     assert sum(s["numRowsTotal"] for s in progress[-1]["stateOperators"]) == 0
     # Late for the watermark, so it does not open the ended job again.
     assert 5002 not in {r.event_id for r in store.read().collect()}
+
+
+class Held:
+    """A job's state and timers, as the engine would keep them."""
+
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 1000 * 3600
+
+
+def test_the_end_of_a_job_is_found_from_rows():
+    def row(number, seconds, kind="progress", zone=timezone.utc):
+        at = datetime(1970, 1, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=seconds)
+        return Row(event_id=number, ts=at.astimezone(zone), job_id="j", type=kind)
+
+    held, process = Held(), ending._UntilEnd(1000)
+    process.init(held)
+    far = timezone(timedelta(hours=-8))
+    first = [row(1, 5), row(2, 9, "done", far), row(3, 9), row(None, 9), row(4, 20), row(5, -1, "done"), row(6, 1, zone=far)]
+    assert [r.event_id for r in process.handleInputRows(("j",), iter(first), held)] == [1, 2, 6]
+    assert held.value == (3609 * 10**6, 2, 3620 * 1000 + 1000) and held.timers == [held.value[2]]
+    later = [row(7, 8), row(8, 7, "error"), row(9, 30)]
+    assert [r.event_id for r in process.handleInputRows(("j",), iter(later), held)] == [8]
+    assert held.value[:2] == (3607 * 10**6, 8) and held.timers == [held.value[2]]
+    assert list(process.handleInputRows(("j",), iter([row(10, -5)]), held)) == []
