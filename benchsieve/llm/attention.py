@@ -100,13 +100,6 @@ def windows(ranks: np.ndarray, bounds: np.ndarray) -> tuple[Windows, np.ndarray]
     return Windows(seen, hidden, target.astype(np.int32)), text
 
 
-def _softmax(scores: np.ndarray) -> np.ndarray:
-    scores -= scores.max(-1, keepdims=True)
-    np.exp(scores, out=scores)
-    scores /= scores.sum(-1, keepdims=True)
-    return scores
-
-
 class Tables:
     """What every input number projects to, so that windows only look it up."""
 
@@ -188,51 +181,82 @@ def log_probabilities(p: Parameters, before: Parameters, t: Tables, w: Windows)
     return out.reshape(w.target.shape)
 
 
+def _summed(seen: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``d`` by input number."""
+    numbers = seen.ravel().astype(np.uint16)
+    order = np.argsort(numbers, kind="stable")
+    numbers = numbers[order]
+    starts = np.flatnonzero(np.diff(numbers.astype(np.int32), prepend=-1))
+    out = np.zeros((KNOWN + 2, d.shape[-1]), np.float32)
+    out[numbers[starts]] = np.add.reduceat(d.reshape(-1, d.shape[-1]).take(order, axis=0), starts, axis=0)
+    return out
+
+
+def _shares(logits: np.ndarray) -> np.ndarray:
+    """Exponents of rows over their sum; overwrites ``logits``."""
+    np.minimum(logits, _MOST, out=logits)
+    np.exp(logits, out=logits)
+    logits /= np.matmul(logits, _ONES[: logits.shape[-1]])
+    return logits
+
+
 def gradients(p: Parameters, before: Parameters, w: Windows) -> tuple[float, Parameters]:
     """Mean negative log probability of the targets and its gradient."""
     t = Tables(p)
     g = {k: np.zeros_like(v) for k, v in p.items()}
     q, k, v = t.look_up(w)
-    weights = _softmax(t.scores(q, k, w))
+    weights = _shares(t.scores(q, k, w))
     attended = np.matmul(weights, v)
     target = w.target.ravel()
     kept = np.flatnonzero(target >= 0)
+    group = (np.minimum(target[kept], KNOWN) // CLASS_SIZE).astype(np.uint8)
+    # Targets of a class stand together.
+    order = np.argsort(group, kind="stable")
+    kept, group = kept[order], group[order]
     n, rank = len(kept), target[kept]
     last = w.seen[:, CONTEXT:].ravel()[kept]
-    read = attended.reshape(-1, VALUE_WIDTH)[kept]
+    read = attended.reshape(-1, VALUE_WIDTH).take(kept, axis=0)
 
-    group = np.minimum(rank, KNOWN) // CLASS_SIZE
-    share = _softmax(read @ p["class"] + before["class"][last])
-    loss = -np.log(share[np.arange(n), group] + 1e-30).sum()
-    share[np.arange(n), group] -= 1
+    share = read @ p["class"]
+    share += before["class"].take(last, axis=0)
+    at = np.arange(n), group
+    loss = -np.log(_shares(share)[at] + 1e-30).sum()
+    share[at] -= 1
     share /= n
     g["class"] = read.T @ share
     d_kept = share @ p["class"].T
-    for c in np.unique(group[group < CLASSES]):
-        rows = np.flatnonzero(group == c)
-        share = _softmax(read[rows] @ p["rank"][c] + before["rank"][last[rows], c])
-        at = np.arange(len(rows)), rank[rows] % CLASS_SIZE
-        loss -= np.log(share[at] + 1e-30).sum()
-        share[at] -= 1
-        share /= n
-        g["rank"][c] = read[rows].T @ share
-        d_kept[rows] += share @ p["rank"][c].T
+    ends = np.cumsum(np.bincount(group, minlength=CLASSES + 1))
+    ranks_before = before["rank"].reshape(-1, CLASS_SIZE)
+    for c in range(CLASSES):
+        rows = slice(ends[c - 1] if c else 0, ends[c])
+        size = rows.stop - rows.start
+        if size:
+            share = read[rows] @ p["rank"][c]
+            share += ranks_before.take(last[rows] * CLASSES + c, axis=0)
+            at = np.arange(size), rank[rows] % CLASS_SIZE
+            loss -= np.log(_shares(share)[at] + 1e-30).sum()
+            share[at] -= 1
+            share /= n
+            g["rank"][c] = read[rows].T @ share
+            d_kept[rows] += share @ p["rank"][c].T
 
     d_read = np.zeros((target.size, VALUE_WIDTH), np.float32)
     d_read[kept] = d_kept
     d_read = d_read.reshape(attended.shape)
-    d_weights = np.matmul(d_read, v.transpose(0, 2, 1))
-    d_scores = weights * (d_weights - (d_weights * weights).sum(-1, keepdims=True))
+    # What a position attends to is a mean, so the sum over its weights is known from the mean.
+    d_scores = np.matmul(d_read, v.transpose(0, 2, 1))
+    d_scores -= np.matmul(d_read * attended, _ONES[:VALUE_WIDTH])
+    d_scores *= weights
     g["near"] = np.bincount(_DISTANCE.ravel(), d_scores.sum(0).ravel(), WINDOW).astype(np.float32)
     scale = np.float32(KEY_WIDTH**-0.5)
+    d_key, d_value = np.matmul(d_scores.transpose(0, 2, 1), q), np.matmul(weights.transpose(0, 2, 1), d_read)
+    of_seen = _summed(w.seen, np.concatenate([d_key, d_value], axis=2))
     into = {
-        "query": (w.seen[:, CONTEXT:], np.matmul(d_scores, k) * scale),
-        "key": (w.seen, np.matmul(d_scores.transpose(0, 2, 1), q)),
-        "value": (w.seen, np.matmul(weights.transpose(0, 2, 1), d_read)),
+        "query": _summed(w.seen[:, CONTEXT:], np.matmul(d_scores, k) * scale),
+        "key": of_seen[:, :KEY_WIDTH],
+        "value": of_seen[:, KEY_WIDTH:],
     }
-    for name, (seen, d) in into.items():
-        summed = np.zeros((KNOWN + 2, d.shape[-1]), np.float32)
-        np.add.at(summed, seen.ravel(), d.reshape(-1, d.shape[-1]))
+    for name, summed in into.items():
         g[name] = p["embed"].T @ summed
         g["embed"] += summed @ p[name].T
     return float(loss / n), g
@@ -256,18 +280,30 @@ class Adam:
             self.p[k] -= (self.rate * mean / (np.sqrt(size) + 1e-8)).astype(np.float32)
 
 
+class Trainer:
+    """Parameters that learn from windows given one set after the other, each taken once a pass."""
+
+    def __init__(self, p: Parameters, before: Parameters, rate: float, at_once: int = 64):
+        self.p = {k: v.copy() for k, v in p.items()}
+        self.before, self.rate, self.at_once = before, rate, at_once
+        self.adam = Adam(self.p, rate)
+
+    def learn(self, w: Windows, passes: int, seed) -> None:
+        """Learn ``passes`` times from windows in a seeded order; the rate falls to a tenth."""
+        draw, n = np.random.default_rng(seed), len(w.target)
+        total, done = passes * -(-n // self.at_once), 0
+        for _ in range(passes):
+            order = draw.permutation(n)
+            for start in range(0, n, self.at_once):
+                self.adam.rate = self.rate * (1 - 0.9 * done / total)
+                self.adam.step(gradients(self.p, self.before, w.take(order[start : start + self.at_once]))[1])
+                done += 1
+
+
 def train(
     p: Parameters, before: Parameters, w: Windows, rate: float, passes: int, seed: int, at_once: int = 64
 ) -> Parameters:
     """``p`` after ``passes`` over the windows in a seeded order; the rate falls to a tenth."""
-    p = {k: v.copy() for k, v in p.items()}
-    adam, draw = Adam(p, rate), np.random.default_rng(seed)
-    n = len(w.target)
-    total, done = passes * -(-n // at_once), 0
-    for _ in range(passes):
-        order = draw.permutation(n)
-        for start in range(0, n, at_once):
-            adam.rate = rate * (1 - 0.9 * done / total)
-            adam.step(gradients(p, before, w.take(order[start : start + at_once]))[1])
-            done += 1
-    return p
+    trainer = Trainer(p, before, rate, at_once)
+    trainer.learn(w, passes, seed)
+    return trainer.p

@@ -6,10 +6,11 @@ different word sequences have different ids and the probabilities of all texts s
 one. ``attention`` has the model, ``score`` its log10 probability of those ids.
 
 Everything counted is counted over all training texts: words for the unigram, ids for their
-ranks, successive ids for the model's prior. The attention is trained in two ways. A first task
-learns on about ``FIRST_WINDOWS`` windows, drawn alike from all training texts. Then every
-task goes on from there with one of ``SHARE`` of its own windows, each round with others, and
-the tasks' parameters are averaged, weighted by windows; so training grows with the corpus.
+ranks, successive ids for the model's prior. The attention learns from every window of all
+training texts. It starts with a task that learns on about ``FIRST_WINDOWS`` windows, drawn alike
+from all texts. From there each task learns from all windows of its slices, one after the other,
+in ``ROUNDS`` rounds, each with the slices of a hash; after a round the tasks' parameters are
+averaged, weighted by windows.
 
 Texts are tokenised once, into slices of about ``SLICE_BYTES`` of text. A slice keeps the hashes
 of its distinct words; hashes are cut into buckets by range, summed there, and each slice gets
@@ -49,7 +50,7 @@ IDS = END_ID + 1
 #: Entries of slices that one bucket sums.
 BUCKET_ENTRIES = 1_000_000
 FIRST_WINDOWS, FIRST_PASSES, FIRST_RATE = 16_384, 3, 0.01
-ROUNDS, SHARE, RATE = 2, 64, 0.0025
+ROUNDS, RATE, AT_ONCE = 2, 0.0025, 256
 #: Words that a worker remembers; further ones are encoded each time.
 REMEMBERED_WORDS = 2_000_000
 #: Rows of slices are large; readers and writers hold so many bytes of them.
@@ -352,15 +353,14 @@ def _unpacked(flat: np.ndarray, like: attention.Parameters) -> attention.Paramet
 _WINDOWS = "seen binary, hidden binary, target binary"
 
 
-def _chosen_windows(slices: DataFrame, ranks: np.ndarray, low: float, high: float) -> DataFrame:
-    """Rows of packed training windows whose draw is in a range, one row a slice."""
+def _first_windows(slices: DataFrame, ranks: np.ndarray, share: float) -> DataFrame:
+    """Rows of packed training windows to start with, one row a slice."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, ids, bounds in _training(batch):
                 w, _ = attention.windows(ranks[ids], bounds)
-                draw = _drawn(number, len(w.target))
-                w = w.take((draw >= low) & (draw < high))
+                w = w.take(_drawn(number, len(w.target)) < share)
                 if len(w.target):
                     columns = [pa.array([v.tobytes()], pa.binary()) for v in (w.seen, w.hidden, w.target)]
                     yield pa.RecordBatch.from_arrays(columns, ["seen", "hidden", "target"])
@@ -368,8 +368,23 @@ def _chosen_windows(slices: DataFrame, ranks: np.ndarray, low: float, high: floa
     return slices.select("slice", "held", "id_ends", "ids").mapInArrow(choose, _WINDOWS)
 
 
-def _trained(p: attention.Parameters, before: attention.Parameters, rate: float, passes: int, seed: int):
-    """Train on all windows of a task and return the parameters, weighted, in ``_PARTS`` rows."""
+_LEARNED = "part long, values binary, weight long"
+
+
+def _learned(p: attention.Parameters, n: int) -> pa.RecordBatch:
+    """A task's parameters, weighted by its windows, in ``_PARTS`` rows."""
+    parts = [v.tobytes() for v in np.array_split(_packed(p).astype(np.float64) * n, _PARTS)]
+    return pa.RecordBatch.from_pydict(
+        {
+            "part": pa.array(np.arange(_PARTS)),
+            "values": pa.array(parts, pa.binary()),
+            "weight": pa.array([n] * _PARTS, pa.int64()),
+        }
+    )
+
+
+def _started(p: attention.Parameters, before: attention.Parameters):
+    """Learn from all windows given to a task, in several passes."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [r for batch in batches for r in batch.to_pylist()]
@@ -380,20 +395,31 @@ def _trained(p: attention.Parameters, before: attention.Parameters, rate: float,
             np.concatenate([_numbers(r["hidden"], bool) for r in held]).reshape(-1, attention.WINDOW),
             np.concatenate([_numbers(r["target"], np.int32) for r in held]).reshape(-1, attention.STRIDE),
         )
-        n = len(w.target)
-        found = _packed(attention.train(p, before, w, rate, passes, seed)).astype(np.float64) * n
-        parts = [v.tobytes() for v in np.array_split(found, _PARTS)]
-        yield pa.RecordBatch.from_pydict(
-            {
-                "part": pa.array(np.arange(_PARTS)),
-                "values": pa.array(parts, pa.binary()),
-                "weight": pa.array([n] * _PARTS, pa.int64()),
-            }
-        )
+        yield _learned(attention.train(p, before, w, FIRST_RATE, FIRST_PASSES, 0), len(w.target))
 
     return learn
 
 
+def taught(
+    slices: DataFrame, ranks: np.ndarray, p: attention.Parameters, before: attention.Parameters, turn: int
+) -> DataFrame:
+    """What each task learns from all training windows of its slices that a round has."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trainer, n = attention.Trainer(p, before, RATE, AT_ONCE), 0
+        for batch in batches:
+            for number, ids, bounds in _training(batch):
+                w, _ = attention.windows(ranks[ids], bounds)
+                trainer.learn(w, 1, [number & 0xFFFFFFFF, number >> 32])
+                n += len(w.target)
+            words.release_memory()
+        if n:
+            yield _learned(trainer.p, n)
+
+    mine = slices.where(F.pmod(F.xxhash64("slice"), F.lit(ROUNDS)) == turn)
+    return mine.select("slice", "held", "id_ends", "ids").mapInArrow(learn, _LEARNED)
+
+
 def _added(group: pa.Table) -> pa.Table:
     values = sum(_numbers(v, np.float64) for v in group["values"].to_pylist())
     weight = pc.sum(group["weight"])
@@ -435,13 +461,10 @@ def learn(slices: DataFrame) -> ScoringModel:
 
     p = attention.initial()
     total = slices.agg(F.sum("n_windows")).first()[0] or 0
-    high = FIRST_WINDOWS / max(total, FIRST_WINDOWS)
-    first = _chosen_windows(slices, ranks, 0, high).repartition(1)
-    p = averaged(first.mapInArrow(_trained(p, before, FIRST_RATE, FIRST_PASSES, 0), "part long, values binary, weight long"), p)
-    for k in range(1, ROUNDS + 1):
-        rows = _chosen_windows(slices, ranks, 1 - k / SHARE, 1 - (k - 1) / SHARE)
-        rows = rows.mapInArrow(_trained(p, before, RATE, 1, k), "part long, values binary, weight long")
-        p = averaged(rows, p)
+    first = _first_windows(slices, ranks, FIRST_WINDOWS / max(total, FIRST_WINDOWS)).repartition(1)
+    p = averaged(first.mapInArrow(_started(p, before), _LEARNED), p)
+    for turn in range(ROUNDS):
+        p = averaged(taught(slices, ranks, p, before, turn), p)
     return ScoringModel(ranks, rare, before, p)
 
 

@@ -156,3 +156,14 @@ def test_nothing_to_score_and_nothing_to_learn(spark):
     assert {(r.doc_id, r.n_known, r.train_tokens) for r in found} == {(1, 0, 0), (2, 0, 0)}
     assert all(r.base_score == 0 and r.score < 0 for r in found)
     assert op13_lm.score_texts(docs.where("false"), everything, PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_every_training_window_teaches(spark, monkeypatch):
+    monkeypatch.setattr(op13_lm, "SLICE_BYTES", 2000)  # several slices a task
+    docs = spark.createDataFrame([(i, f"some words of text {i % 9} " * 30) for i in range(80)], "doc_id long, text string")
+    slices = op13_lm.tokenised(docs.repartition(3), F.col("doc_id") % 4 == 1, PATH, public_tokenizers.PATTERN)
+    ranks, before = np.arange(op13_lm.IDS), A.prior(np.zeros((A.KNOWN + 2, A.KNOWN + 1)))
+    rounds = [op13_lm.taught(slices, ranks, A.initial(), before, k) for k in range(op13_lm.ROUNDS)]
+    weights = [r.where("part = 0").agg(F.sum("weight")).first()[0] for r in rounds]
+    assert slices.count() > 20 and all(weights)
+    assert sum(weights) == slices.agg(F.sum("n_windows")).first()[0]
