@@ -237,6 +237,23 @@ def test_folds_and_cross_validation(spark):
     assert classify.cross_validate(rows.where("doc_id = 0 or label = 'mid'")).count() == 0
 
 
+def test_folds_over_few_terms_match_a_classifier_for_each(spark):
+    rows = training(spark)
+    found = {r.fold: (r.row_count, r.accuracy) for r in classify.cross_validate(rows, max_folds=3, max_features=12).collect()}
+    placed = classify.stratified_folds(rows, "label", "doc_id", 3).cache()
+    for fold in range(3):
+        model = classify.train(placed.where(F.col("fold") != fold), max_features=12)
+        report = classify.overall_report(model.score(placed.where(F.col("fold") == fold)), "label", "predicted").first()
+        assert found[fold] == pytest.approx((report.row_count, report.accuracy))
+
+
+def test_folds_over_few_terms_take_repeated_keys(spark):
+    rows = training(spark)
+    twice = rows.unionByName(rows).unionByName(rows.withColumn("doc_id", F.lit(None).cast("int")))
+    results = classify.cross_validate(twice, max_folds=2, max_features=40).collect()
+    assert sum(r.row_count for r in results) == 3 * rows.count() and min(r.accuracy for r in results) > 0.9
+
+
 def test_csv_files_are_read_by_their_own_headers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("prompt,clarity\nfirst,clear\n")
     (tmp_path / "b.csv").write_text('clarity,extra,prompt\nUNCLEAR,x,"second\nline"\n')
