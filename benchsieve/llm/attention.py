@@ -13,6 +13,7 @@ Windows overlap: a window's last ``STRIDE`` positions are scored, each once, and
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +29,8 @@ WIDTH, KEY_WIDTH, VALUE_WIDTH = 16, 8, 16
 PRIOR = 5
 #: Windows that are worked on at once, and how many of them attend at once.
 BATCH, PART = 512, 64
+#: Targets whose logits are worked on at once.
+ROWS = 2048
 
 _HIDDEN = np.float32(-1e9)
 _QUERY = np.arange(STRIDE)[:, None] + CONTEXT
@@ -100,54 +103,143 @@ def windows(ranks: np.ndarray, bounds: np.ndarray) -> tuple[Windows, np.ndarray]
     return Windows(seen, hidden, target.astype(np.int32)), text
 
 
+#: Columns of joined projections: keys, values, queries.
+_KEYS, _VALUES = slice(0, KEY_WIDTH), slice(KEY_WIDTH, KEY_WIDTH + VALUE_WIDTH)
+_QUERIES = slice(KEY_WIDTH + VALUE_WIDTH, 2 * KEY_WIDTH + VALUE_WIDTH)
+_SCALE = np.float32(KEY_WIDTH**-0.5)
+_ONES = np.ones((max(CLASSES + 1, CLASS_SIZE), 1), np.float32)
+#: Scores and logits beyond this are cut, so that their exponents can be summed as they are.
+_MOST = np.float32(60)
+#: Bounds up to this need no cut, whatever their rounding.
+_SAFE = np.float32(59)
+
+
+def _turned(rows: np.ndarray) -> np.ndarray:
+    """Each window's rows as columns, laid out anew, which small products are faster with."""
+    return np.ascontiguousarray(rows.transpose(0, 2, 1))
+
+
+def _exponents(logits: np.ndarray, cut: bool) -> np.ndarray:
+    """Exponents of logits, those of large ones cut; overwrites ``logits``."""
+    if cut:
+        np.minimum(logits, _MOST, out=logits)
+    return np.exp(logits, out=logits)
+
+
 class Tables:
-    """What every input number projects to, so that windows only look it up."""
+    """What every input number projects to, so that windows only look it up.
+
+    A value has a one behind it, so that products with values also sum weights or subtract means.
+    """
 
     def __init__(self, p: Parameters):
-        scale = np.float32(KEY_WIDTH**-0.5)
-        self.query, self.key = p["embed"] @ p["query"] * scale, p["embed"] @ p["key"]
-        self.value = p["embed"] @ p["value"]
+        self.into = np.concatenate([p["key"], p["value"], p["query"] * _SCALE], axis=1)
+        found = p["embed"] @ self.into
+        self.query = np.ascontiguousarray(found[:, _QUERIES])
+        self.both = np.concatenate([found[:, : _VALUES.stop], np.ones((len(found), 1), np.float32)], axis=1)
         self.near = p["near"][_DISTANCE] + _CAUSAL
+        # No product of two rows is beyond that of the largest norms; logits of the prior are not above 0.
+        squares = np.square(found)
+        key, value, query = (np.sqrt((squares[:, c] @ _ONES[: c.stop - c.start]).max()) for c in (_KEYS, _VALUES, _QUERIES))
+        out = np.sqrt(max(np.square(p["class"]).sum(0).max(), np.square(p["rank"]).sum(1).max()))
+        self.cut_scores, self.cut_logits = key * query + p["near"].max() > _SAFE, value * out > _SAFE
 
     def look_up(self, w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return (
-            self.query.take(w.seen[:, CONTEXT:], axis=0),
-            self.key.take(w.seen, axis=0),
-            self.value.take(w.seen, axis=0),
-        )
-
-    def scores(self, q: np.ndarray, k: np.ndarray, w: Windows) -> np.ndarray:
-        scores = np.matmul(q, k.transpose(0, 2, 1))
+        """Queries, keys, and values with their ones."""
+        both = self.both.take(w.seen, axis=0)
+        return self.query.take(w.seen[:, CONTEXT:], axis=0), both[:, :, _KEYS], both[:, :, KEY_WIDTH:]
+
+    def weights(self, q: np.ndarray, k: np.ndarray, w: Windows) -> np.ndarray:
+        """Exponents of the scores, not yet divided by their sums."""
+        scores = np.matmul(q, _turned(k))
         scores += self.near
-        edge = np.flatnonzero(w.hidden.any(1))
-        scores[edge] += np.where(w.hidden[edge], _HIDDEN, np.float32(0))[:, None, :]
-        return scores
+        # Behind a text's end nothing is scored, and nothing before it sees that.
+        edge = np.flatnonzero(w.hidden[:, 0])
+        if len(edge):
+            scores[edge] += np.where(w.hidden[edge], _HIDDEN, np.float32(0))[:, None, :]
+        return _exponents(scores, self.cut_scores)
 
 
-#: Scores and logits beyond this are cut, so that their exponents can be summed as they are.
-_MOST = np.float32(60)
-_ONES = np.ones((max(WINDOW, CLASSES + 1, CLASS_SIZE), 1), np.float32)
+def _parts(n: int) -> list[slice]:
+    return [slice(start, min(start + PART, n)) for start in range(0, n, PART)]
 
 
 def attend(t: Tables, w: Windows) -> np.ndarray:
-    """(windows, STRIDE, VALUE_WIDTH): what the scored positions attend to, part by part."""
-    out = np.empty((len(w.seen), STRIDE, VALUE_WIDTH), np.float32)
-    for start in range(0, len(out), PART):
-        part = w.take(slice(start, start + PART))
+    """(windows, STRIDE, VALUE_WIDTH + 1): what the scored positions attend to, not yet divided by
+    the sums of weights behind it, part by part."""
+    out = np.empty((len(w.seen), STRIDE, VALUE_WIDTH + 1), np.float32)
+    for rows in _parts(len(out)):
+        part = w.take(rows)
         q, k, v = t.look_up(part)
-        weights = t.scores(q, k, part)
-        np.minimum(weights, _MOST, out=weights)
-        np.exp(weights, out=weights)
-        found = np.matmul(weights, v)
-        found /= np.matmul(weights, _ONES[:WINDOW])
-        out[start : start + PART] = found
+        np.matmul(t.weights(q, k, part), v, out=out[rows])
     return out
 
 
-def _log_sum(logits: np.ndarray) -> np.ndarray:
-    """Log of the sum of exponents of rows; overwrites ``logits``."""
-    np.exp(logits, out=logits)
-    return np.log(logits @ _ONES[: logits.shape[1]])[:, 0]
+class Targets:
+    """The targets of windows in the order of their classes, in parts that fit a processor's cache."""
+
+    def __init__(self, p: Parameters, before: Parameters, t: Tables, w: Windows):
+        self.p, self.before, self.cut = p, before, t.cut_logits
+        self.ranks_before = before["rank"].reshape(-1, CLASS_SIZE)
+        target = w.target.ravel()
+        kept = np.flatnonzero(target >= 0)
+        rank = target.take(kept)
+        group = (np.minimum(rank, KNOWN) // CLASS_SIZE).astype(np.uint8)
+        order = np.argsort(group, kind="stable")
+        self.kept, self.group, self.rank = kept.take(order), group.take(order), rank.take(order) % CLASS_SIZE
+        self.last = w.seen[:, CONTEXT:].ravel().take(self.kept)
+        self.ends = np.cumsum(np.bincount(group, minlength=CLASSES + 1)).tolist()
+
+    def parts(self) -> Iterator[tuple[slice, int, list[tuple[int, slice, slice]]]]:
+        """Rows, how many of them are of known classes, and each class with its rows, in all and in the part."""
+        known = self.ends[-2]
+        for start in range(0, len(self.kept), ROWS):
+            end, runs = min(start + ROWS, len(self.kept)), []
+            for c in range(int(self.group[start]), min(int(self.group[end - 1]) + 1, CLASSES)):
+                a, b = max(start, self.ends[c - 1] if c else 0), min(end, self.ends[c])
+                if b > a:
+                    runs.append((c, slice(a, b), slice(a - start, b - start)))
+            yield slice(start, end), max(0, min(end, known) - start), runs
+
+    def class_logits(self, rows: slice, read: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of classes, and the flat places of the targets' ones."""
+        logits = read[rows] @ self.p["class"]
+        logits += self.before["class"].take(self.last[rows], axis=0)
+        return logits, np.arange(0, logits.size, CLASSES + 1) + self.group[rows]
+
+    def rank_logits(self, rows: slice, known: int, runs, read: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of ranks in the known classes of ``rows``, and the flat places of the targets' ones."""
+        rows = slice(rows.start, rows.start + known)
+        logits = np.empty((known, CLASS_SIZE), np.float32)
+        for c, of, mine in runs:
+            np.matmul(read[of], self.p["rank"][c], out=logits[mine])
+        logits += self.ranks_before.take(self.last[rows] * CLASSES + self.group[rows], axis=0)
+        return logits, np.arange(0, logits.size, CLASS_SIZE) + self.rank[rows]
+
+    def logs(self, logits: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Logs of the shares of the targets; overwrites ``logits``."""
+        found = logits.ravel().take(places)
+        if self.cut:
+            np.minimum(found, _MOST, out=found)
+        sums = _exponents(logits, self.cut) @ _ONES[: logits.shape[1]]
+        found -= np.log(sums)[:, 0]
+        return found
+
+    def errors(self, logits: np.ndarray, places: np.ndarray) -> tuple[float, np.ndarray]:
+        """Sum of negative logs of the shares of the targets, and all shares less one there; overwrites ``logits``."""
+        _exponents(logits, self.cut)
+        logits *= 1 / (logits @ _ONES[: logits.shape[1]])
+        flat = logits.ravel()
+        chosen = flat.take(places)
+        flat[places] = chosen - 1
+        return -np.log(chosen + 1e-30).sum(), logits
+
+
+def _means(attended: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What ``kept`` positions attend to, and one over their sums of weights."""
+    read = attended.reshape(-1, VALUE_WIDTH + 1).take(kept, axis=0)
+    inverse = 1 / read[:, VALUE_WIDTH:]
+    return read[:, :VALUE_WIDTH] * inverse, inverse
 
 
 def log_probabilities(p: Parameters, before: Parameters, t: Tables, w: Windows) -> np.ndarray:
@@ -156,28 +248,13 @@ def log_probabilities(p: Parameters, before: Parameters, t: Tables, w: Windows)
     ``before`` is the prior. A rank beyond the known ones gets the probability of their class.
     """
     out = np.zeros(w.target.size, np.float32)
-    kept = np.flatnonzero(w.target.ravel() >= 0)
-    read = attend(t, w).reshape(-1, VALUE_WIDTH).take(kept, axis=0)
-    last = w.seen[:, CONTEXT:].ravel().take(kept)
-    rank = w.target.ravel().take(kept)
-    group = np.minimum(rank, KNOWN) // CLASS_SIZE
-    logits = read @ p["class"]
-    logits += before["class"].take(last, axis=0)
-    np.minimum(logits, _MOST, out=logits)
-    found = logits[np.arange(len(kept)), group]
-    found -= _log_sum(logits)
-    order = np.argsort(group.astype(np.uint8), kind="stable")
-    ends = np.cumsum(np.bincount(group, minlength=CLASSES + 1))
-    ranks_before = before["rank"].reshape(-1, CLASS_SIZE)
-    for c in range(CLASSES):
-        rows = order[ends[c - 1] if c else 0 : ends[c]]
-        if len(rows):
-            logits = read.take(rows, axis=0) @ p["rank"][c]
-            logits += ranks_before.take(last[rows] * CLASSES + c, axis=0)
-            np.minimum(logits, _MOST, out=logits)
-            chosen = logits[np.arange(len(rows)), rank[rows] % CLASS_SIZE]
-            found[rows] += chosen - _log_sum(logits)
-    out[kept] = found
+    goal = Targets(p, before, t, w)
+    read, _ = _means(attend(t, w), goal.kept)
+    found = np.empty(len(read), np.float32)
+    for rows, known, runs in goal.parts():
+        found[rows] = goal.logs(*goal.class_logits(rows, read))
+        found[rows][:known] += goal.logs(*goal.rank_logits(rows, known, runs, read))
+    out[goal.kept] = found
     return out.reshape(w.target.shape)
 
 
@@ -185,108 +262,101 @@ def _summed(seen: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Sums of the rows of ``d`` by input number."""
     numbers = seen.ravel().astype(np.uint16)
     order = np.argsort(numbers, kind="stable")
-    numbers = numbers[order]
-    starts = np.flatnonzero(np.diff(numbers.astype(np.int32), prepend=-1))
+    numbers = numbers.take(order)
+    starts = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1]))
+    # Two columns are added at once, as the parts of a complex number.
+    rows = d.reshape(-1, d.shape[-1]).view(np.complex64).take(order, axis=0)
     out = np.zeros((KNOWN + 2, d.shape[-1]), np.float32)
-    out[numbers[starts]] = np.add.reduceat(d.reshape(-1, d.shape[-1]).take(order, axis=0), starts, axis=0)
+    out[numbers.take(starts)] = np.add.reduceat(rows, starts, axis=0).view(np.float32)
     return out
 
 
-def _shares(logits: np.ndarray) -> np.ndarray:
-    """Exponents of rows over their sum; overwrites ``logits``."""
-    np.minimum(logits, _MOST, out=logits)
-    np.exp(logits, out=logits)
-    logits /= np.matmul(logits, _ONES[: logits.shape[-1]])
-    return logits
-
-
 def gradients(p: Parameters, before: Parameters, w: Windows) -> tuple[float, Parameters]:
     """Mean negative log probability of the targets and its gradient."""
     t = Tables(p)
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    q, k, v = t.look_up(w)
-    weights = _shares(t.scores(q, k, w))
-    attended = np.matmul(weights, v)
-    target = w.target.ravel()
-    kept = np.flatnonzero(target >= 0)
-    group = (np.minimum(target[kept], KNOWN) // CLASS_SIZE).astype(np.uint8)
-    # Targets of a class stand together.
-    order = np.argsort(group, kind="stable")
-    kept, group = kept[order], group[order]
-    n, rank = len(kept), target[kept]
-    last = w.seen[:, CONTEXT:].ravel()[kept]
-    read = attended.reshape(-1, VALUE_WIDTH).take(kept, axis=0)
-
-    share = read @ p["class"]
-    share += before["class"].take(last, axis=0)
-    at = np.arange(n), group
-    loss = -np.log(_shares(share)[at] + 1e-30).sum()
-    share[at] -= 1
-    share /= n
-    g["class"] = read.T @ share
-    d_kept = share @ p["class"].T
-    ends = np.cumsum(np.bincount(group, minlength=CLASSES + 1))
-    ranks_before = before["rank"].reshape(-1, CLASS_SIZE)
-    for c in range(CLASSES):
-        rows = slice(ends[c - 1] if c else 0, ends[c])
-        size = rows.stop - rows.start
-        if size:
-            share = read[rows] @ p["rank"][c]
-            share += ranks_before.take(last[rows] * CLASSES + c, axis=0)
-            at = np.arange(size), rank[rows] % CLASS_SIZE
-            loss -= np.log(_shares(share)[at] + 1e-30).sum()
-            share[at] -= 1
-            share /= n
-            g["rank"][c] = read[rows].T @ share
-            d_kept[rows] += share @ p["rank"][c].T
-
-    d_read = np.zeros((target.size, VALUE_WIDTH), np.float32)
-    d_read[kept] = d_kept
-    d_read = d_read.reshape(attended.shape)
+    goal = Targets(p, before, t, w)
+    n, size = len(goal.kept), len(w.seen)
+    parts, attended = [], np.empty((size, STRIDE, VALUE_WIDTH + 1), np.float32)
+    for rows in _parts(size):
+        part = w.take(rows)
+        q, k, v = t.look_up(part)
+        weights = t.weights(q, k, part)
+        np.matmul(weights, v, out=attended[rows])
+        parts.append((rows, q, k, v, weights))
+    read, inverse = _means(attended, goal.kept)
+
+    # Errors are those of the sum over targets; the mean is taken at the end.
+    g = {"class": np.zeros_like(p["class"]), "rank": np.zeros_like(p["rank"])}
+    loss, of_class, of_rank = 0.0, np.ascontiguousarray(p["class"].T), _turned(p["rank"])
+    d_kept = np.empty((n, VALUE_WIDTH + 1), np.float32)
+    d_means = d_kept[:, :VALUE_WIDTH]
+    for rows, known, runs in goal.parts():
+        lost, share = goal.errors(*goal.class_logits(rows, read))
+        g["class"] += read[rows].T @ share
+        d_part = share @ of_class
+        lost_ranks, share = goal.errors(*goal.rank_logits(rows, known, runs, read))
+        for c, of, mine in runs:
+            g["rank"][c] += read[of].T @ share[mine]
+            d_part[mine] += share[mine] @ of_rank[c]
+        d_means[rows] = d_part
+        loss += lost + lost_ranks
+
     # What a position attends to is a mean, so the sum over its weights is known from the mean.
-    d_scores = np.matmul(d_read, v.transpose(0, 2, 1))
-    d_scores -= np.matmul(d_read * attended, _ONES[:VALUE_WIDTH])
-    d_scores *= weights
-    g["near"] = np.bincount(_DISTANCE.ravel(), d_scores.sum(0).ravel(), WINDOW).astype(np.float32)
-    scale = np.float32(KEY_WIDTH**-0.5)
-    d_key, d_value = np.matmul(d_scores.transpose(0, 2, 1), q), np.matmul(weights.transpose(0, 2, 1), d_read)
-    of_seen = _summed(w.seen, np.concatenate([d_key, d_value], axis=2))
-    into = {
-        "query": _summed(w.seen[:, CONTEXT:], np.matmul(d_scores, k) * scale),
-        "key": of_seen[:, :KEY_WIDTH],
-        "value": of_seen[:, KEY_WIDTH:],
+    d_means *= inverse
+    d_kept[:, VALUE_WIDTH:] = -((d_means * read) @ _ONES[:VALUE_WIDTH])
+    d_read = np.zeros((size * STRIDE, VALUE_WIDTH + 1), np.float32)
+    d_read[goal.kept] = d_kept
+    d_read = d_read.reshape(attended.shape)
+    d_seen = np.empty((size, WINDOW, _QUERIES.stop), np.float32)
+    d_seen[:, :CONTEXT, _QUERIES] = 0
+    d_near = np.zeros((STRIDE, WINDOW), np.float32)
+    for rows, q, k, v, weights in parts:
+        d_scores = np.matmul(d_read[rows], _turned(v))
+        d_scores *= weights
+        d_near += d_scores.sum(0)
+        np.matmul(d_scores.transpose(0, 2, 1), q, out=d_seen[rows, :, _KEYS])
+        np.matmul(weights.transpose(0, 2, 1), d_read[rows, :, :VALUE_WIDTH], out=d_seen[rows, :, _VALUES])
+        np.matmul(d_scores, k, out=d_seen[rows, CONTEXT:, _QUERIES])
+    of_seen = _summed(w.seen, d_seen)
+    of_into = p["embed"].T @ of_seen
+    g |= {
+        "embed": of_seen @ t.into.T,
+        "query": of_into[:, _QUERIES] * _SCALE,
+        "key": of_into[:, _KEYS],
+        "value": of_into[:, _VALUES],
+        "near": np.bincount(_DISTANCE.ravel(), d_near.ravel(), WINDOW).astype(np.float32),
     }
-    for name, summed in into.items():
-        g[name] = p["embed"].T @ summed
-        g["embed"] += summed @ p[name].T
-    return float(loss / n), g
+    return float(loss / n), {name: g[name] / np.float32(n) for name in p}
 
 
 class Adam:
-    """Steps along averaged gradients, each divided by its usual size."""
+    """Steps along averaged gradients, each divided by its usual size, for all parameters in one row."""
 
     def __init__(self, p: Parameters, rate: float):
-        self.p, self.rate, self.steps = p, rate, 0
-        self.mean = {k: np.zeros_like(v) for k, v in p.items()}
-        self.size = {k: np.zeros_like(v) for k, v in p.items()}
+        self.rate, self.steps, self.names = rate, 0, list(p)
+        self.values = np.concatenate([v.ravel() for v in p.values()])
+        ends = np.cumsum([v.size for v in p.values()])[:-1]
+        #: Views of the row.
+        self.p = {k: v.reshape(p[k].shape) for k, v in zip(p, np.split(self.values, ends), strict=True)}
+        self.mean, self.size = np.zeros_like(self.values), np.zeros_like(self.values)
 
     def step(self, g: Parameters) -> None:
         self.steps += 1
-        for k, v in g.items():
-            self.mean[k] += (v - self.mean[k]) * np.float32(0.1)
-            self.size[k] += (v * v - self.size[k]) * np.float32(0.01)
-            mean = self.mean[k] / (1 - 0.9**self.steps)
-            size = self.size[k] / (1 - 0.99**self.steps)
-            self.p[k] -= (self.rate * mean / (np.sqrt(size) + 1e-8)).astype(np.float32)
+        v = np.concatenate([g[k].ravel() for k in self.names])
+        self.mean += (v - self.mean) * np.float32(0.1)
+        self.size += (v * v - self.size) * np.float32(0.01)
+        mean = self.mean / (1 - 0.9**self.steps)
+        size = self.size / (1 - 0.99**self.steps)
+        self.values -= (self.rate * mean / (np.sqrt(size) + 1e-8)).astype(np.float32)
 
 
 class Trainer:
     """Parameters that learn from windows given one set after the other, each taken once a pass."""
 
     def __init__(self, p: Parameters, before: Parameters, rate: float, at_once: int = 64):
-        self.p = {k: v.copy() for k, v in p.items()}
         self.before, self.rate, self.at_once = before, rate, at_once
-        self.adam = Adam(self.p, rate)
+        self.adam = Adam(p, rate)
+        self.p = self.adam.p
 
     def learn(self, w: Windows, passes: int, seed) -> None:
         """Learn ``passes`` times from windows in a seeded order; the rate falls to a tenth."""

@@ -149,8 +149,10 @@ def _slices(path: str, pattern: str):
         for batch in batches:
             for part in words.slices(batch, most=SLICE_BYTES):
                 tokens = words.Tokens(pc.ascii_lower(pc.fill_null(part.column("text"), "")))
-                names, held = tokens.values, part.column("held").to_numpy(zero_copy_only=False).astype(bool)
-                keys = np.fromiter((xxhash.xxh3_64_intdigest(v) for v in names), np.uint64, len(names))
+                # As an array first: to_pylist makes an object of Arrow of each word.
+                names = tokens.distinct.to_numpy(zero_copy_only=False).tolist()
+                held = part.column("held").to_numpy(zero_copy_only=False).astype(bool)
+                keys = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
                 order = np.argsort(keys)
                 place = np.empty(len(keys), np.int64)
                 place[order] = np.arange(len(keys))

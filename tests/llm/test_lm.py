@@ -71,6 +71,26 @@ def test_gradients_agree_with_differences(model):
         assert (ends[0] - ends[1]) / (2 * step) == pytest.approx(float((g[name] * way).sum()), rel=0.03, abs=3e-3)
 
 
+@pytest.mark.parametrize("large", [1, 40])
+def test_sizes_of_parts_change_nothing(model, monkeypatch, large):
+    # Texts that begin and end in windows, rare ranks, classes cut by parts; large logits are cut at their bound.
+    p, before = model
+    p = {k: v * np.float32(large if k in ("query", "class") else 1) for k, v in p.items()}
+    draw = np.random.default_rng(5)
+    w, _ = A.windows(draw.integers(0, A.KNOWN + 200, 700), np.array([0, 70, 71, 400, 700]))
+    wanted = A.log_probabilities(p, before, A.Tables(p), w)
+    loss, g = A.gradients(p, before, w)
+    monkeypatch.setattr(A, "ROWS", 7)
+    monkeypatch.setattr(A, "PART", 3)
+    np.testing.assert_allclose(A.log_probabilities(p, before, A.Tables(p), w), wanted, rtol=0, atol=1e-3)
+    again, found = A.gradients(p, before, w)
+    assert again == pytest.approx(loss, rel=1e-5)
+    assert A.Tables(p).cut_logits == (large > 1)
+    for name in p:
+        assert found[name].shape == p[name].shape
+        np.testing.assert_allclose(found[name], g[name], rtol=0, atol=1e-5 + 1e-4 * np.abs(g[name]).max())
+
+
 def test_training_learns(model):
     # Text of two kinds; a token's successor depends on the kind, which only the past tells.
     draw = np.random.default_rng(4)
