@@ -90,17 +90,28 @@ def windows(ranks: np.ndarray, bounds: np.ndarray) -> tuple[Windows, np.ndarray]
     sizes = np.diff(bounds)
     counts = -(-sizes // STRIDE)
     text = np.repeat(np.arange(len(sizes)), counts)
-    first = (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)) * STRIDE
-    start, size = bounds[:-1][text][:, None], sizes[text][:, None]
-    # Position p of a text sees the token before it; position 0 sees the marker.
-    place = first[:, None] - CONTEXT + np.arange(WINDOW)
-    inside = (place > 0) & (place < size)
-    known = np.append(np.minimum(ranks, RARE), [BEGIN, BEGIN]).astype(np.int32)
-    seen = known[np.where(inside, start + place - 1, len(ranks))]
-    hidden = (place < 0) | (place >= size)
-    goal = first[:, None] + np.arange(STRIDE)
-    target = np.where(goal < size, np.append(ranks, -1)[np.minimum(start + goal, len(ranks))], -1)
-    return Windows(seen, hidden, target.astype(np.int32)), text
+    ends = np.cumsum(counts)
+    filled = np.flatnonzero(counts)
+    first, last = (ends - counts)[filled], ends[filled] - 1
+    # Each text's tokens fill its windows, the last one in part. A position sees the token before it,
+    # the first one the marker.
+    n = len(ranks)
+    slots = np.arange(n) + np.repeat((ends - counts) * STRIDE - bounds[:-1], sizes)
+    target = np.full((len(text), STRIDE), -1, np.int32)
+    target.ravel()[slots] = ranks
+    known = np.empty(n, np.int32)
+    np.minimum(ranks[:-1], RARE, out=known[1:], casting="unsafe")
+    known[bounds[:-1][filled]] = BEGIN
+    scored = np.full((len(text), STRIDE), BEGIN, np.int32)
+    scored.ravel()[slots] = known
+    seen = np.empty((len(text), WINDOW), np.int32)
+    seen[:, CONTEXT:] = scored
+    seen[1:, :CONTEXT] = scored[:-1, STRIDE - CONTEXT :]
+    seen[first, :CONTEXT] = BEGIN
+    hidden = np.zeros((len(text), WINDOW), bool)
+    hidden[first, :CONTEXT] = True
+    hidden[last, CONTEXT:] |= target[last] < 0
+    return Windows(seen, hidden, target), text
 
 
 #: Columns of joined projections: keys, values, queries.
@@ -138,11 +149,12 @@ class Tables:
         self.query = np.ascontiguousarray(found[:, _QUERIES])
         self.both = np.concatenate([found[:, : _VALUES.stop], np.ones((len(found), 1), np.float32)], axis=1)
         self.near = p["near"][_DISTANCE] + _CAUSAL
-        # No product of two rows is beyond that of the largest norms; logits of the prior are not above 0.
-        squares = np.square(found)
-        key, value, query = (np.sqrt((squares[:, c] @ _ONES[: c.stop - c.start]).max()) for c in (_KEYS, _VALUES, _QUERIES))
-        out = np.sqrt(max(np.square(p["class"]).sum(0).max(), np.square(p["rank"]).sum(1).max()))
-        self.cut_scores, self.cut_logits = key * query + p["near"].max() > _SAFE, value * out > _SAFE
+        # No score is beyond the sum of the largest products, no logit of a value beyond the product of the
+        # largest norms; logits of the prior are not above 0.
+        most, value = np.abs(found).max(0), found[:, _VALUES]
+        self.cut_scores = most[_KEYS] @ most[_QUERIES] + p["near"].max() > _SAFE
+        out = max(np.square(p["class"]).sum(0).max(), np.square(p["rank"]).sum(1).max())
+        self.cut_logits = np.sqrt(np.einsum("ij,ij->i", value, value).max() * out) > _SAFE
 
     def look_up(self, w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Queries, keys, and values with their ones."""

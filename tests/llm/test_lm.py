@@ -71,6 +71,22 @@ def test_gradients_agree_with_differences(model):
         assert (ends[0] - ends[1]) / (2 * step) == pytest.approx(float((g[name] * way).sum()), rel=0.03, abs=3e-3)
 
 
+def test_windows_hold_what_stands_around_each_place():
+    sizes = [0, 1, 16, 0, 33, 64, 65, 0]
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    ranks = np.random.default_rng(6).integers(0, 2 * A.KNOWN, bounds[-1])
+    w, text = A.windows(ranks, bounds)
+    places = [(k, i) for k, size in enumerate(sizes) for i in range(0, size, A.STRIDE)]
+    assert text.tolist() == [k for k, _ in places]
+    for n, (k, i) in enumerate(places):
+        row = ranks[bounds[k] : bounds[k + 1]]
+        for j, at in enumerate(range(i - A.CONTEXT, i + A.STRIDE)):
+            assert w.hidden[n, j] == (not 0 <= at < len(row))
+            assert w.seen[n, j] == (min(row[at - 1], A.RARE) if 0 < at < len(row) else A.BEGIN)
+        assert w.target[n].tolist() == [row[at] if at < len(row) else -1 for at in range(i, i + A.STRIDE)]
+    assert len(A.windows(ranks[:0], np.zeros(3, int))[1]) == 0
+
+
 @pytest.mark.parametrize("large", [1, 40])
 def test_sizes_of_parts_change_nothing(model, monkeypatch, large):
     # Texts that begin and end in windows, rare ranks, classes cut by parts; large logits are cut at their bound.
