@@ -238,7 +238,8 @@ def near_words(counted: DataFrame) -> DataFrame:
     theirs = counted.mapInArrow(_index(costs, ranks, only_pivots=False), schema)
     theirs = theirs.select("key", F.col("word").alias("near"), F.col("n").alias("near_n"))
     close = (F.abs(F.length("word") - F.length("near")) <= 1) & (F.levenshtein("word", "near", 1) == 1)
-    pairs = mine.join(theirs, (mine["key"] == theirs["key"]) & close).select("word", "n", "near", "near_n")
+    # A word has many keys, which the planner does not see: it takes both sides for as small as ``counted``.
+    pairs = mine.join(theirs.hint("merge"), (mine["key"] == theirs["key"]) & close).select("word", "n", "near", "near_n")
     # Each pair is wanted from both its words, however many keys hold it.
     ways = F.inline(
         F.array(
@@ -257,7 +258,7 @@ def roots(forms: DataFrame) -> DataFrame:
     step = settle(forms)
     while True:
         onward = step.select(F.col("word").alias("form"), F.col("form").alias("further"))
-        step = settle(step.join(onward, "form", "left").select("word", F.coalesce("further", "form").alias("form"), "further"))
+        step = settle(step.join(onward.hint("merge"), "form", "left").select("word", F.coalesce("further", "form").alias("form"), "further"))
         if step.where(F.col("further").isNotNull()).isEmpty():
             return step.select("word", F.col("form").alias("root"))
         step = step.drop("further")
@@ -268,7 +269,8 @@ def variants(docs: DataFrame) -> DataFrame:
     counted = settle(word_counts(docs))
     best = F.min(F.struct((-F.col("near_n")).alias("n"), F.col("near").alias("form")))
     near = near_words(counted).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
-    joined = counted.join(near, "word", "left")
+    # Words grow with the corpus, so no join sends them through the driver, however small their files are.
+    joined = counted.join(near.hint("merge"), "word", "left")
     is_form = -F.col("best.n") >= TIMES * F.col("n")
     found = settle(
         joined.select(
@@ -280,6 +282,6 @@ def variants(docs: DataFrame) -> DataFrame:
         )
     )
     ends = roots(found.where(F.col("form").isNotNull()).select("word", "form"))
-    return found.join(ends, "word", "left").select(
+    return found.join(ends.hint("merge"), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
     )

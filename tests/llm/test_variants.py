@@ -8,6 +8,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from benchsieve.functions.durable import settle
 from benchsieve.llm import op11_variants, queries
 from benchsieve.llm.words import Tokens
 
@@ -84,6 +85,21 @@ def test_chains_of_any_length_end_at_the_root(spark):
     assert found == {w: "w037" for w, _ in rows}
 
 
+def test_no_join_goes_through_the_driver(spark, monkeypatch):
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df)
+
+    monkeypatch.setattr(op11_variants, "settle", noted)
+    docs = spark.createDataFrame([(1, "lengthy " * 50), (2, "lengthyy " * 6 + "lengthi " * 5)], "doc_id long, text string")
+    found = op11_variants.variants(docs)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert {r["word"]: r["root"] for r in found.collect()} == dict.fromkeys(("lengthy", "lengthyy", "lengthi"), "lengthy")
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.text("0123456789", max_size=5), st.text("abÀÿ zß", max_size=90)), max_size=5))
 def test_hashes_of_key_and_run(rows):
